@@ -166,7 +166,7 @@ def kernel_density(df: DataFrame, col: str, points: int = 200, cut: float = 3.0)
         counts.select("_x", "_w", grid)
         .groupBy("point")
         .agg((F.sum(F.col("_w") * F.exp(-z * z / 2)) * norm).alias("density"))
-        .withColumn("at", at)
+        .withColumn("x", at)
     )
 
 

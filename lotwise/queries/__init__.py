@@ -1 +1,11 @@
+"""Queries over the driver's tables, one per operator group."""
 
+from lotwise.queries import (  # noqa: F401
+    place_queries,
+    profile_queries,
+    source_queries,
+    text_queries,
+)
+from lotwise.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
