@@ -11,6 +11,7 @@ from pyspark.ml.param.shared import HasInputCols
 from pyspark.sql import DataFrame, functions as F
 
 from lotwise.functions.numeric import nan_to_null
+from lotwise.operators.profile import numeric_columns
 from lotwise.operators.quantiles import collect_quantiles, text_modes
 
 SCALERS = ["none", "max_abs", "min_max", "normalizer", "robust", "standard"]
@@ -188,7 +189,17 @@ def feature_names(model: PipelineModel, numeric: list[str], text: list[str]) ->
 
 
 def fill_with_medians(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Every numeric column filled with its own median over the whole table."""
-    from lotwise.operators.profile import numeric_columns
-
-    return MedianImputer(cols or numeric_columns(df)).fit(df).transform(df).select(*df.columns)
+    """Numeric columns filled with their own median over the whole table.
+
+    Whole-number columns keep their type: the median is rounded half to even.
+    """
+    kinds = dict(df.dtypes)
+    cols = cols or numeric_columns(df)
+    medians = {c: q[0] for c, q in collect_quantiles(df, cols, [0.5]).items()}
+    fills = {}
+    for c, m in medians.items():
+        if kinds[c] in ("double", "float"):
+            fills[c] = F.coalesce(nan_to_null(F.col(c)), F.lit(m).cast(kinds[c]))
+        else:
+            fills[c] = F.coalesce(F.col(c), F.bround(F.lit(m), 0).cast(kinds[c]))
+    return df.withColumns(fills)

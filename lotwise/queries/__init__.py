@@ -1,9 +1,11 @@
 """Queries over the driver's tables, one per operator group."""
 
 from lotwise.queries import (  # noqa: F401
+    model_queries,
     place_queries,
     profile_queries,
     source_queries,
+    stat_queries,
     text_queries,
 )
 from lotwise.queries.base import ORACLES, QUERIES

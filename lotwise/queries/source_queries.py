@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from lotwise.functions.text import collected_text, page_number
 from lotwise.queries.base import query, r, table
@@ -165,7 +165,7 @@ def file_roundtrip(spark, sf):
     )
     files.write_pages(rows, folder)
     schema = StructType([f for f in rows.schema if f.name not in ("cidade", "estado", "pagina")])
-    schema = schema.add(StructField("cidade", StringType())).add(StructField("estado", StringType())).add("pagina", "int")
+    schema = schema.add("cidade", StringType()).add("estado", StringType()).add("pagina", IntegerType())
     back = files.read_written_pages(spark, folder, schema)
     return back.select("c_custkey", "pagina", "cidade", "c_name", "c_acctbal", "endereco")
 
