@@ -9,8 +9,8 @@ HOT_SHARE = 0.01
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most `rows` rows (counts no further than that)."""
-    return df.limit(rows + 1).count() <= rows
+    """True when the frame has at most `rows` rows; a distributed count, footers only for a plain table."""
+    return df.count() <= rows
 
 
 def lookup_join(

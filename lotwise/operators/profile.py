@@ -55,7 +55,7 @@ def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75)) -> DataFra
         cols,
         {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max},
     )
-    q = column_quantiles(df, cols, list(probs)).drop("n")
+    q = column_quantiles(df, cols, list(probs))
     for i, p in enumerate(probs):
         q = q.withColumnRenamed(f"q{i}", percent_name(p))
     return base.join(F.broadcast(q), "column", "left")

@@ -10,7 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lotwise.functions.numeric import nan_to_null
+
 ACCURACY = 10_000
+# Up to this many values in all columns together the built-in exact aggregate is used.
+EXACT_CELLS = 4_000_000
 
 
 def melt(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -23,83 +27,123 @@ def melt(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataF
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    accuracy: int = ACCURACY,
-    few_groups: bool = False,
-) -> DataFrame:
-    """One row per group: keys, n and q0..qk, the quantiles with linear interpolation."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
-    )
-    k = len(probs)
-    order = sorted(range(k), key=lambda i: probs[i])
+def _brackets(probs: list[float], accuracy: int) -> tuple[list[float], list[float]]:
+    """Sketch probabilities just below and just above each wanted one, in rising order."""
     margin = 2.0 / accuracy
-    lows = [max(0.0, probs[i] - margin) for i in order]
-    highs = [min(1.0, probs[i] + margin) for i in order]
-    sketch = F.percentile_approx("_x", F.array(*[F.lit(p) for p in lows + highs]), accuracy)
-    brackets = rows.groupBy(*keys).agg(F.count("_x").alias("n"), sketch.alias("_b"))
-    brackets = brackets.select(
-        *keys,
-        "n",
-        *[F.col("_b")[j].alias(f"_lo{j}") for j in range(k)],
-        *[F.col("_b")[k + j].alias(f"_hi{j}") for j in range(k)],
-    )
-    marked = rows.join(F.broadcast(brackets) if few_groups else brackets, keys)
-    inside = reduce(
-        Column.__or__, [F.col("_x").between(F.col(f"_lo{j}"), F.col(f"_hi{j}")) for j in range(k)]
-    )
-    part = reduce(Column.__add__, [(F.col("_x") > F.col(f"_hi{j}")).cast("int") for j in range(k)])
-    cells = (
-        marked.select(*keys, "n", part.alias("_part"), F.when(inside, F.col("_x")).alias("_in"), "_x")
-        .groupBy(*keys, "n", "_part", "_in")
-        .agg(F.count("_x").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
-    )
+    rising = sorted(probs)
+    return [max(0.0, p - margin) for p in rising], [min(1.0, p + margin) for p in rising]
+
+
+def _cell(x: Column, lows: list[Column], highs: list[Column]) -> tuple[Column, Column]:
+    """(number of brackets that end below x, x itself if it lies in a bracket)."""
+    inside = reduce(Column.__or__, [x.between(lo, hi) for lo, hi in zip(lows, highs)])
+    part = reduce(Column.__add__, [(x > hi).cast("int") for hi in highs])
+    return part, F.when(inside, x)
+
+
+def _read_ranks(cells: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles from cell counts (keys, n, _part, _in, _c, _min, _max)."""
     running = W.partitionBy(*keys).orderBy("_part", F.col("_in").asc_nulls_first())
     cells = cells.withColumn("_end", F.sum("_c").over(running.rowsBetween(W.unboundedPreceding, 0)))
 
     def picked(rank: Column) -> Column:
         """Value at a zero-based rank, seen from the cell that holds it."""
-        hit = (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
+        start = F.col("_end") - F.col("_c")
         found = (
             F.when(F.col("_in").isNotNull(), F.col("_in"))
             .when(rank == F.col("_end") - 1, F.col("_max"))
-            .when(rank == F.col("_end") - F.col("_c"), F.col("_min"))
+            .when(rank == start, F.col("_min"))
             .otherwise(F.raise_error(F.lit("quantile bracket missed a rank; raise accuracy")).cast("double"))
         )
-        return F.max(F.when(hit, found))
+        return F.max(F.when((rank >= start) & (rank < F.col("_end")), found))
 
-    aggs = []
+    aggs, out = [], []
     for i, p in enumerate(probs):
         rank = F.lit(float(p)) * (F.col("n") - 1)
         low = F.floor(rank)
-        high = F.least(low + 1, F.col("n") - 1)
         # The upper neighbour carries no weight when the rank is whole.
-        high = F.when(rank == low, low).otherwise(high)
+        high = F.when(rank == low, low).otherwise(F.least(low + 1, F.col("n") - 1))
         aggs += [picked(low).alias(f"_f{i}"), picked(high).alias(f"_c{i}")]
-    wide = cells.groupBy(*keys, "n").agg(*aggs)
-    out = []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        lerp = F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * (rank - F.floor(rank))
+        lerp = F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * (rank - low)
         out.append(lerp.alias(f"q{i}"))
-    return wide.select(*keys, "n", *out)
+    return cells.groupBy(*keys, "n").agg(*aggs).select(*keys, "n", *out)
 
 
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
-    """Quantiles of whole columns: one row per column."""
-    return grouped_quantiles(melt(df, cols), ["column"], "value", probs, accuracy, few_groups=True)
+def grouped_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """One row per group: keys, n and q0..qk, the quantiles with linear interpolation."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
+        F.col("_x").isNotNull() & ~F.isnan("_x")
+    )
+    k = len(probs)
+    lows, highs = _brackets(probs, accuracy)
+    sketch = F.percentile_approx("_x", F.array(*[F.lit(p) for p in lows + highs]), accuracy)
+    brackets = rows.groupBy(*keys).agg(F.count("_x").alias("n"), sketch.alias("_b"))
+    marked = rows.join(brackets, keys)
+    part, inside = _cell(
+        F.col("_x"), [F.col("_b")[j] for j in range(k)], [F.col("_b")[k + j] for j in range(k)]
+    )
+    cells = (
+        marked.select(*keys, "n", part.alias("_part"), inside.alias("_in"), "_x")
+        .groupBy(*keys, "n", "_part", "_in")
+        .agg(F.count("_x").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    )
+    return _read_ranks(cells, keys, probs)
 
 
 def collect_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY
+    df: DataFrame,
+    cols: list[str],
+    probs: list[float],
+    accuracy: int = ACCURACY,
+    exact_cells: int = EXACT_CELLS,
 ) -> dict[str, list[float]]:
-    """The same as a dict (columns x probabilities numbers); columns without values are absent."""
-    rows = column_quantiles(df, cols, probs, accuracy).collect()
-    return {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
+    """Quantiles of whole columns as {column: [one per probability]}; empty columns are absent.
+
+    The first pass counts and sketches. A table of proven small size is then answered by the
+    exact aggregate; any other by counting around the sketched brackets.
+    """
+    lows, highs = _brackets(probs, accuracy)
+    wanted = F.array(*[F.lit(p) for p in lows + highs])
+    xs = [nan_to_null(F.col(c).cast("double")) for c in cols]
+    first = df.agg(
+        *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+        *[F.percentile_approx(x, wanted, accuracy).alias(f"b{i}") for i, x in enumerate(xs)],
+    ).first()
+    counts = [first[f"n{i}"] for i in range(len(cols))]
+    if sum(counts) <= exact_cells:
+        exact = df.agg(
+            *[F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i, x in enumerate(xs)]
+        ).first()
+        return {c: list(exact[f"q{i}"]) for i, c in enumerate(cols) if counts[i]}
+    k, marks = len(probs), []
+    for i, (c, x) in enumerate(zip(cols, xs)):
+        if counts[i]:
+            ends = [F.lit(v) for v in first[f"b{i}"]]
+            part, inside = _cell(x, ends[:k], ends[k:])
+            marks.append(
+                F.struct(
+                    F.lit(c).alias("column"), F.lit(counts[i]).alias("n"), part.alias("_part"),
+                    inside.alias("_in"), x.alias("_x"),
+                )
+            )
+    cells = (
+        df.select(F.explode(F.array(*marks)).alias("_m"))
+        .select("_m.*")
+        .where(F.col("_x").isNotNull())
+        .groupBy("column", "n", "_part", "_in")
+        .agg(F.count("_x").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    )
+    rows = _read_ranks(cells, ["column"], probs).collect()
+    return {r["column"]: [r[f"q{i}"] for i in range(k)] for r in rows}
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Quantiles of whole columns: one row (column, q0..qk) per column."""
+    found = collect_quantiles(df, cols, probs, accuracy)
+    names = ", ".join(["column string", *[f"q{i} double" for i in range(len(probs))]])
+    return df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], names)
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -50,16 +50,14 @@ def places(poi: DataFrame) -> DataFrame:
     return p.withColumns(xyz).withColumns(index)
 
 
-def cell_tree(poi: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Cells as rows (category, node, parent, level, cnt, bounds, pts); pts only on leaves.
 
     Cells with a single child are skipped, so the number of levels follows the density.
     """
-    pts = places(poi)
     bounds = [f(a).alias(f"{a}{s}") for a in AXES for f, s in ((F.min, 0), (F.max, 1))]
     listed = F.collect_list(F.struct("lat", "lon", "x", "y", "z", "w")).alias("pts")
     columns = ["category", "node", "parent", "depth", "cnt", *[f"{a}{s}" for a in AXES for s in (0, 1)], "pts"]
-    pts = cut_lineage(pts, "places")
     if pts.groupBy("category").count().where(F.col("count") > leaf_points).isEmpty():
         flat = pts.groupBy("category").agg(F.sum("w").alias("cnt"), *bounds, listed)
         return flat.withColumns({"node": F.lit("0"), "parent": F.lit(""), "depth": F.lit(0)}).select(*columns)
@@ -110,7 +108,9 @@ class PlaceIndex:
     """The written cell table with its measured size."""
 
     def __init__(self, poi: DataFrame, leaf_points: int = LEAF_POINTS, broadcast_places: int = BROADCAST_PLACES):
-        self.nodes = cut_lineage(cell_tree(poi, leaf_points), "tree")
+        pts = places(poi).persist()
+        self.nodes = cut_lineage(cell_tree(pts, leaf_points), "tree")
+        pts.unpersist()
         size = self.nodes.agg(F.max("depth").alias("d"), F.sum(F.coalesce(F.size("pts"), F.lit(1))).alias("n")).first()
         self.depth = (size["d"] or 0) + 1 if size["n"] else 0
         self.small = (size["n"] or 0) <= broadcast_places
