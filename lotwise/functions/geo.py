@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lotwise.functions.binding import let
+
 EARTH_RADIUS_M = 6_371_000.0
 
 
@@ -62,86 +64,90 @@ def _sum3(items: Column, weight, px, py) -> Column:
     )
 
 
-def wkt_centroid(wkt: Column) -> Column:
-    """Struct (lat, lon) of the centroid; both null where the text is not a usable shape.
+_ZERO = ("w", "x", "y")
 
-    Areas are summed with the first vertex as origin, holes count negative; shapes without
-    area fall back to their lines and then to their points.
-    """
-    kind = geometry_kind(wkt)
-    bodies = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
-    # An outer ring opens directly after another bracket, a hole after a comma.
-    openers = F.regexp_extract_all(wkt, F.lit(r"(\(?)\s*\([^()]+\)"), F.lit(1))
-    rings = F.transform(bodies, _vertices)
-    origin = F.try_element_at(F.try_element_at(rings, F.lit(1)), F.lit(1))
 
-    def moved(ring: Column) -> Column:
-        return F.transform(
-            ring, lambda v: F.struct((v["x"] - origin["x"]).alias("x"), (v["y"] - origin["y"]).alias("y"))
-        )
+def _total(parts: Column) -> Column:
+    """Sum of an array of (w, x, y)."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in _ZERO])
+    return F.aggregate(parts, zero, lambda acc, s: F.struct(*[(acc[n] + s[n]).alias(n) for n in _ZERO]))
+
 
-    local = F.transform(rings, moved)
+def _ring_area(ring: Column, opener: Column) -> Column:
+    """Area and area-weighted middle of a ring; positive when it is an outer ring."""
 
     def cross(s: Column) -> Column:
         return s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
 
-    def ring_sum(ring: Column, opener: Column) -> Column:
-        s = _sum3(
-            _segments(ring),
-            cross,
-            lambda e: (e["a"]["x"] + e["b"]["x"]) / 3,
-            lambda e: (e["a"]["y"] + e["b"]["y"]) / 3,
-        )
-        sign = F.signum(s["w"]) * F.when(opener == "(", F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.struct((s["w"] * sign).alias("w"), (s["x"] * sign).alias("x"), (s["y"] * sign).alias("y"))
-
-    def total(parts: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-        return F.aggregate(
-            parts,
-            zero,
-            lambda acc, s: F.struct(
-                (acc["w"] + s["w"]).alias("w"), (acc["x"] + s["x"]).alias("x"), (acc["y"] + s["y"]).alias("y")
-            ),
-        )
+    def signed(s: Column) -> Column:
+        side = F.signum(s["w"]) * F.when(opener == "(", F.lit(1.0)).otherwise(F.lit(-1.0))
+        return F.struct(*[(s[n] * side).alias(n) for n in _ZERO])
 
-    area = total(F.zip_with(local, openers, ring_sum))
+    third = {n: (lambda e, n=n: (e["a"][n] + e["b"][n]) / 3) for n in ("x", "y")}
+    return let(_sum3(_segments(ring), cross, third["x"], third["y"]), signed)
 
+
+def _ring_length(ring: Column) -> Column:
     def length(s: Column) -> Column:
         return F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
 
-    line = total(
-        F.transform(
-            local,
-            lambda ring: _sum3(
-                _segments(ring),
-                length,
-                lambda e: (e["a"]["x"] + e["b"]["x"]) / 2,
-                lambda e: (e["a"]["y"] + e["b"]["y"]) / 2,
+    half = {n: (lambda e, n=n: (e["a"][n] + e["b"][n]) / 2) for n in ("x", "y")}
+    return _sum3(_segments(ring), length, half["x"], half["y"])
+
+
+def _middle(kind: Column, openers: Column, rings: Column) -> Column:
+    """Centroid of parsed rings: by area, else by line length, else by points."""
+
+    def around(origin: Column) -> Column:
+        local = F.transform(
+            rings,
+            lambda ring: F.transform(
+                ring,
+                lambda v: F.struct((v["x"] - origin["x"]).alias("x"), (v["y"] - origin["y"]).alias("y")),
             ),
         )
-    )
-    points = _sum3(F.flatten(local), lambda v: F.lit(1.0), lambda v: v["x"], lambda v: v["y"])
-    best = (
-        F.when(kind.isin("POLYGON", "MULTIPOLYGON") & (area["w"] != 0), area)
-        .when(~kind.isin("POINT", "MULTIPOINT") & (line["w"] != 0), line)
-        .otherwise(points)
-    )
-    usable = F.coalesce(
-        wkt.rlike(_SHAPE)
-        & (F.size(bodies) > 0)
-        & ~F.exists(F.flatten(rings), lambda v: F.coalesce(v["x"] + v["y"], F.lit(float("nan"))) == F.lit(float("nan"))),
-        F.lit(False),
-    )
-    return F.when(
-        usable,
-        F.struct(
-            (origin["y"] + F.try_divide(best["y"], best["w"])).alias("lat"),
-            (origin["x"] + F.try_divide(best["x"], best["w"])).alias("lon"),
-        ),
-    ).otherwise(
-        F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    )
+
+        def place(s: Column) -> Column:
+            return F.struct(
+                (origin["y"] + F.try_divide(s["y"], s["w"])).alias("lat"),
+                (origin["x"] + F.try_divide(s["x"], s["w"])).alias("lon"),
+            )
+
+        def choose(shape: Column) -> Column:
+            points = _sum3(F.flatten(shape), lambda v: F.lit(1.0), lambda v: v["x"], lambda v: v["y"])
+
+            def by_line(s: Column) -> Column:
+                return F.when(~kind.isin("POINT", "MULTIPOINT") & (s["w"] != 0), s).otherwise(points)
+
+            def by_area(s: Column) -> Column:
+                return F.when(kind.isin("POLYGON", "MULTIPOLYGON") & (s["w"] != 0), s).otherwise(
+                    let(_total(F.transform(shape, _ring_length)), by_line)
+                )
+
+            return let(let(_total(F.zip_with(shape, openers, _ring_area)), by_area), place)
+
+        return let(local, choose)
+
+    return let(F.element_at(F.element_at(rings, 1), 1), around)
+
+
+def wkt_centroid(wkt: Column) -> Column:
+    """Struct (lat, lon) of the centroid; both null where the text is not a usable shape.
+
+    Areas are summed with the first vertex as origin, holes count negative; shapes without
+    area fall back to their lines and then to their points.
+    """
+    missing = F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    bodies = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    # An outer ring opens directly after another bracket, a hole after a comma.
+    openers = F.regexp_extract_all(wkt, F.lit(r"(\(?)\s*\([^()]+\)"), F.lit(1))
+
+    def parsed(rings: Column) -> Column:
+        bad = F.exists(F.flatten(rings), lambda v: (v["x"] + v["y"]).isNull())
+        usable = (F.size(rings) > 0) & ~bad
+        return F.when(usable, _middle(geometry_kind(wkt), openers, rings)).otherwise(missing)
+
+    return F.when(wkt.rlike(_SHAPE), let(F.transform(bodies, _vertices), parsed)).otherwise(missing)
 
 
 def with_centroid(df, geometry: str | None = None):
@@ -159,6 +165,8 @@ def with_centroid(df, geometry: str | None = None):
 
 def standard_geometry(wkt: Column) -> Column:
     """Points stay as they are, every other shape becomes its centroid point."""
-    c = wkt_centroid(wkt)
-    point = F.concat(F.lit("POINT ("), c["lon"].cast("string"), F.lit(" "), c["lat"].cast("string"), F.lit(")"))
-    return F.when(geometry_kind(wkt) == "POINT", wkt).when(c["lat"].isNotNull(), point)
+    def as_point(c: Column) -> Column:
+        text = F.concat(F.lit("POINT ("), c["lon"].cast("string"), F.lit(" "), c["lat"].cast("string"), F.lit(")"))
+        return F.when(c["lat"].isNotNull(), text)
+
+    return F.when(geometry_kind(wkt) == "POINT", wkt).otherwise(let(wkt_centroid(wkt), as_point))

@@ -6,6 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotwise.functions.binding import let
 from lotwise.functions.text import first_match, strip
 
 # Markers of the listing markup.
@@ -39,8 +40,11 @@ def decode_entities(text: Column) -> Column:
         )
         return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(piece)
 
-    pieces = F.split(text, r"(?=&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+[0-9]*);)")
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    def decoded(t: Column) -> Column:
+        pieces = F.split(t, r"(?=&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+[0-9]*);)")
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(t)
+
+    return let(text, decoded)
 
 
 def without_scripts(html: Column) -> Column:
@@ -80,32 +84,39 @@ def flat_elements(html: Column, tag: str) -> Column:
 
 def nested_elements(html: Column, tag: str) -> Column:
     """Elements in document order, inner ones included, closed at their own end tag."""
-    parts = F.split(html, rf"(?i)(?=<{tag}[\s>/])|(?=</{tag}\s*>)")
-    steps = F.transform(
-        parts,
-        lambda s: F.when(s.rlike(rf"(?i)^<{tag}[\s>/]"), F.lit(1))
-        .when(s.rlike(rf"(?i)^</{tag}\s*>"), F.lit(-1))
-        .otherwise(F.lit(0)),
-    )
-    depth = F.slice(
-        F.aggregate(
+    def step(s: Column) -> Column:
+        return (
+            F.when(s.rlike(rf"(?i)^<{tag}[\s>/]"), F.lit(1))
+            .when(s.rlike(rf"(?i)^</{tag}\s*>"), F.lit(-1))
+            .otherwise(F.lit(0))
+        )
+
+    def running(steps: Column) -> Column:
+        sums = F.aggregate(
             steps,
             F.array(F.lit(0)),
             lambda acc, k: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1) + k, F.lit(0)))),
-        ),
-        F.lit(2),
-        F.size(steps),
-    )
-    rows = F.arrays_zip(parts.alias("p"), steps.alias("k"), depth.alias("d"), F.sequence(F.lit(1), F.size(parts)).alias("i"))
+        )
+        return F.slice(sums, F.lit(2), F.size(steps))
+
+    def found(parts: Column) -> Column:
+        def closed(steps: Column) -> Column:
+            def cut(depth: Column) -> Column:
+                numbers = F.sequence(F.lit(1), F.size(parts))
+
+                def element(i: Column) -> Column:
+                    later = F.slice(depth, i + 1, F.size(depth))
+                    close = F.array_position(later, F.element_at(depth, i) - 1).cast("int")
+                    length = F.when(close > 0, close).otherwise(F.size(parts) - i + 1)
+                    return F.array_join(F.slice(parts, i, length), "")
 
-    def element(r: Column) -> Column:
-        later = F.slice(depth, r["i"] + 1, F.size(depth))
-        close = F.array_position(later, r["d"] - 1).cast("int")
-        length = F.when(close > 0, close).otherwise(F.size(parts) - r["i"] + 1)
-        return F.array_join(F.slice(parts, r["i"], length), "")
+                return F.transform(F.filter(numbers, lambda i: F.element_at(steps, i) == 1), element)
 
-    return _as_elements(F.transform(F.filter(rows, lambda r: r["k"] == 1), element), tag)
+            return let(running(steps), cut)
 
+        return let(F.transform(parts, step), closed)
+
+    return _as_elements(let(F.split(html, rf"(?i)(?=<{tag}[\s>/])|(?=</{tag}\s*>)"), found), tag)
 
 
 def cards(pages: DataFrame) -> DataFrame:
@@ -124,7 +135,7 @@ def cards(pages: DataFrame) -> DataFrame:
     )
 
     def tier(n: int, found: Column) -> Column:
-        return F.when(F.size(found) > 0, F.struct(F.lit(n).alias("tier"), found.alias("cards")))
+        return let(found, lambda c: F.when(F.size(c) > 0, F.struct(F.lit(n).alias("tier"), c.alias("cards"))))
 
     # Pages without the class marker never reach the nested scan.
     has_box = F.col("_html").rlike(r"(?is)<div\b[^>]*class\s*=[^>]*card")
@@ -156,9 +167,13 @@ def _first_nonzero(title_value: Column, spans: Column, wanted, number: str) -> C
         ),
         lambda v: v.isNotNull(),
     )
-    other = F.try_element_at(F.filter(found, lambda v: v != 0), F.lit(1))
-    zero = F.coalesce(title_value, F.when(F.size(found) > 0, F.lit(0.0)))
-    return F.coalesce(F.nullif(title_value, F.lit(0.0)), other, zero)
+
+    def pick(values: Column) -> Column:
+        other = F.try_element_at(F.filter(values, lambda v: v != 0), F.lit(1))
+        zero = F.coalesce(title_value, F.when(F.size(values) > 0, F.lit(0.0)))
+        return F.coalesce(F.nullif(title_value, F.lit(0.0)), other, zero)
+
+    return let(found, pick)
 
 
 def listings_from_cards(
