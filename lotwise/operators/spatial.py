@@ -300,4 +300,5 @@ def poi_features(
         out = listings.withColumns({distance_name(c): F.lit(None).cast("double") for c in radii}).withColumns(
             {count_name(c, r): F.lit(None).cast("long") for c, r in radii.items()}
         )
-    return out.withColumns({count_name(c, r): F.coalesce(count_name(c, r), F.lit(0)) for c, r in radii.items()})
+    filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in (count_name(c, r) for c, r in radii.items())}
+    return out.withColumns(filled)

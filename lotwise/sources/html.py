@@ -78,7 +78,7 @@ def _as_elements(found: Column, tag: str) -> Column:
 
 
 def flat_elements(html: Column, tag: str) -> Column:
-    """Elements that cannot contain themselves (a, p, h2, button)."""
+    """Elements that cannot contain themselves (a, p, h2)."""
     return _as_elements(F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"), F.lit(1)), tag)
 
 
@@ -246,8 +246,8 @@ def page_count(html: Column, default: int = DEFAULT_PAGE_COUNT) -> Column:
     marked = decode_entities(F.regexp_replace(clean, r"(?s)<[^>]*>", _BREAK))
     stated = first_match(marked, r"(?Uiu)de\s+(\d+)\s+página").try_cast("int")
     labels = F.transform(
-        flat_elements(clean, "button"),
-        lambda e: first_match(attribute(e["open"], "aria-label"), r"(?Uiu)página\s+(\d+)").try_cast("int"),
+        F.regexp_extract_all(clean, F.lit(r"(?is)(<button\b[^>]*>)"), F.lit(1)),
+        lambda tag: first_match(attribute(tag, "aria-label"), r"(?Uiu)página\s+(\d+)").try_cast("int"),
     )
     return F.coalesce(stated, F.array_max(labels), F.lit(default))
 
