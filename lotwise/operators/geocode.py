@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.functions.text import geocode_key, short_key
 from lotwise.operators.dedup import keep_first
-from lotwise.operators.joins import lookup_join
+from lotwise.operators.joins import is_small, lookup_join
+
+
+def _from_cache(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Left join to a cache; its raw row count decides on the broadcast."""
+    return lookup_join(df, one_per_key(cache, key), [key], small=is_small(cache))
 
 
 def one_per_key(cache: DataFrame, key: str) -> DataFrame:
@@ -31,11 +36,11 @@ def resolve(
     area_cache(endereco_bairro, lat_bairro, lon_bairro).
     """
     out = df.withColumn("endereco_geo", geocode_key(F.col(street), F.col(area), *suffix))
-    out = lookup_join(out, one_per_key(cache, "endereco_geo"), ["endereco_geo"])
+    out = _from_cache(out, cache, "endereco_geo")
     stage = F.when(F.col("lat").isNotNull(), F.lit("rua_bairro"))
     if alt_cache is not None:
         out = out.withColumn("endereco_alt", short_key(F.col(street), *suffix))
-        out = lookup_join(out, one_per_key(alt_cache, "endereco_alt"), ["endereco_alt"])
+        out = _from_cache(out, alt_cache, "endereco_alt")
         stage = stage.when(F.col("lat_alt").isNotNull(), F.lit("rua"))
     out = out.withColumn("geocode_stage", stage)
     if alt_cache is not None:
@@ -48,7 +53,7 @@ def resolve(
     )
     if area_cache is not None:
         out = out.withColumn("endereco_bairro", F.when(F.col("lat").isNull(), area_key))
-        out = lookup_join(out, one_per_key(area_cache, "endereco_bairro"), ["endereco_bairro"])
+        out = _from_cache(out, area_cache, "endereco_bairro")
         found = F.col("geocode_stage").isNull() & F.col("lat_bairro").isNotNull()
         out = out.withColumns(
             {
@@ -91,4 +96,4 @@ def lookup_status(df: DataFrame, key: str, cache: DataFrame, cache_key: str = "e
         .when(F.col("_known"), F.lit("nao_encontrado"))
         .otherwise(F.lit("erro"))
     )
-    return lookup_join(df, known, [key]).withColumn("status", status).drop("_lat", "_known")
+    return lookup_join(df, known, [key], small=is_small(cache)).withColumn("status", status).drop("_lat", "_known")

@@ -20,18 +20,20 @@ def lookup_join(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     small: bool | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left or inner join to a table that holds each key once.
 
     A lookup of proven size is broadcast. A larger one is shuffled, but keys that hold more
     than HOT_SHARE of the left rows, and null keys, never enter that shuffle: there are at
     most 1/HOT_SHARE such keys, so their lookup rows are broadcast and the left rows stay put.
+    `small` and `hot` take what the caller has measured already.
     """
     if small is None:
         small = is_small(lookup, broadcast_rows)
     if small:
         return left.join(F.broadcast(lookup), on, how)
-    hot = hot_keys(left, on)
+    hot = hot_keys(left, on) if hot is None else hot
     no_key = F.greatest(*[F.col(k).isNull() for k in on]) if len(on) > 1 else F.col(on[0]).isNull()
     flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
     apart = F.coalesce(F.col("_hot"), F.lit(False)) | no_key

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lotwise.functions.numeric import nan_to_null
 from lotwise.operators.dedup import union_all
 from lotwise.operators.quantiles import (
+    beside_groups,
     collect_quantiles,
     column_modes,
     column_quantiles,
     grouped_quantiles,
     melt,
 )
+from lotwise.session import cut_lineage
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -180,9 +182,10 @@ def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
     q = grouped_quantiles(df.where(F.col(key).isNotNull()), [key], value, [0.25, 0.5, 0.75]).select(
         key, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
+    q = cut_lineage(q, "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
-    return counts.join(q, key).groupBy(key, "n", "q1", "median", "q3").agg(
+    return beside_groups(counts, q, [key]).groupBy(key, "n", "q1", "median", "q3").agg(
         F.min(F.when(within, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(within, F.col("_x"))).alias("whisker_high"),
         F.sum(F.when(within, F.lit(0)).otherwise(F.col("_w"))).cast("long").alias("outliers"),

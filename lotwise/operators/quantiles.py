@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lotwise.functions.numeric import nan_to_null
+from lotwise.operators.joins import HOT_SHARE, lookup_join
+from lotwise.session import cut_lineage
 
 ACCURACY = 10_000
 # Up to this many values in all columns together the built-in exact aggregate is used.
@@ -80,7 +82,8 @@ def grouped_quantiles(
     lows, highs = _brackets(probs, accuracy)
     sketch = F.percentile_approx("_x", F.array(*[F.lit(p) for p in lows + highs]), accuracy)
     brackets = rows.groupBy(*keys).agg(F.count("_x").alias("n"), sketch.alias("_b"))
-    marked = rows.join(brackets, keys)
+    brackets = cut_lineage(brackets, "brackets")
+    marked = beside_groups(rows, brackets, keys)
     part, inside = _cell(
         F.col("_x"), [F.col("_b")[j] for j in range(k)], [F.col("_b")[k + j] for j in range(k)]
     )
@@ -146,6 +149,16 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     return df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], names)
 
 
+def beside_groups(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with their group's figures. `stats` is a written table with the group size `n`.
+
+    Few groups are broadcast; of many, the hot ones are, so no group is gathered in one task.
+    """
+    total = stats.agg(F.sum("n").alias("t"))
+    hot = stats.where(F.col("n") > F.lit(HOT_SHARE) * total.scalar()).select(*keys)
+    return lookup_join(rows, stats, keys, how, hot=hot)
+
+
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """Most frequent value per numeric column, the smallest one on ties."""
     counts = melt(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))

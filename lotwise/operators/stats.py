@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from lotwise.functions.numeric import nan_to_null
 from lotwise.operators.distributions import f_tail, t_two_sided
-from lotwise.operators.joins import lookup_join
-from lotwise.operators.quantiles import grouped_quantiles
+from lotwise.operators.quantiles import beside_groups, grouped_quantiles
 from lotwise.operators.sampling import stable_sample
 from lotwise.session import cut_lineage
 
@@ -143,16 +142,11 @@ def anova_two_way(df: DataFrame, y: str, a: str, b: str, interaction: bool = Fal
     return df.sparkSession.createDataFrame(rows, "term string, sum_sq double, df double, F double, p double")
 
 
-def _beside_groups(df: DataFrame, stats: DataFrame, group: str) -> DataFrame:
-    """Rows with a per-group figure attached; a hot group is never gathered."""
-    return lookup_join(df, cut_lineage(stats, "groups"), [group], "inner")
-
-
 def levene(df: DataFrame, y: str, group: str, p_value: bool = True) -> DataFrame:
     """One-way analysis of absolute deviations from the group medians: (W, p, df1, df2)."""
     rows = df.select(group, nan_to_null(F.col(y).cast("double")).alias("_y")).dropna()
-    med = grouped_quantiles(rows, [group], "_y", [0.5]).select(group, F.col("q0").alias("_m"))
-    z = _beside_groups(rows, med, group).select(group, F.abs(F.col("_y") - F.col("_m")).alias("_z"))
+    med = grouped_quantiles(rows, [group], "_y", [0.5]).select(group, "n", F.col("q0").alias("_m"))
+    z = beside_groups(rows, cut_lineage(med, "medians"), [group]).select(group, F.abs(F.col("_y") - F.col("_m")).alias("_z"))
     table = anova_one_way(z, "_z", group, p_value)
     return table.agg(
         F.max("F").alias("W"),
@@ -164,9 +158,10 @@ def levene(df: DataFrame, y: str, group: str, p_value: bool = True) -> DataFrame
 
 def group_residuals(df: DataFrame, y: str, group: str) -> DataFrame:
     """Rows with `residual`, the distance of y from its group mean."""
-    means = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(y).alias("_mean"))
-    joined = _beside_groups(df.where(F.col(group).isNotNull()), means, group)
-    return joined.withColumn("residual", F.col(y) - F.col("_mean")).drop("_mean")
+    rows = df.where(F.col(group).isNotNull())
+    means = rows.groupBy(group).agg(F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("n"))
+    joined = beside_groups(rows, cut_lineage(means, "means"), [group])
+    return joined.select(*df.columns, (F.col(y) - F.col("_mean")).alias("residual"))
 
 
 def jarque_bera(df: DataFrame, col: str) -> DataFrame:
@@ -236,32 +231,39 @@ def normality(df: DataFrame, col: str, keys: list[str], sample: int = 5000, seed
     )
 
 
-def durbin_watson(df: DataFrame, residual: str, order: str, buckets: int = 200) -> DataFrame:
+def _neighbour_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per sorted partition: sums of squared steps and squares, and both end values."""
+    start = first = last = None
+    steps = squares = 0.0
+    for pdf in batches:
+        e = pdf["_e"].to_numpy()
+        if not len(e):
+            continue
+        if first is None:
+            start, first = float(pdf["_o"].iloc[0]), float(e[0])
+        else:
+            steps += (e[0] - last) ** 2
+        steps += float((np.diff(e) ** 2).sum())
+        squares += float((e**2).sum())
+        last = float(e[-1])
+    if first is not None:
+        yield pd.DataFrame([(start, first, last, steps, squares)], columns=["start", "first", "last", "steps", "squares"])
+
+
+def durbin_watson(df: DataFrame, residual: str, order: str) -> DataFrame:
     """Sum of squared steps between neighbours in `order` over the sum of squares.
 
-    The order column must be unique. Rows are cut into ranges of the order, neighbours are
-    compared inside a range, and the ends of adjoining ranges are compared afterwards.
+    The order column must be unique. Rows are range-partitioned and sorted, each partition is
+    read once as a stream of batches, and the ends of adjoining partitions (one row each) are
+    compared afterwards.
     """
     rows = df.select(F.col(order).cast("double").alias("_o"), F.col(residual).alias("_e")).dropna()
-    cut = QuantileDiscretizer(numBuckets=buckets, inputCol="_o", outputCol="_b", relativeError=0.001)
-    ranged = cut.fit(rows).transform(rows)
-    within = W.partitionBy("_b").orderBy("_o")
-    step = F.col("_e") - F.lag("_e").over(within)
-    parts = (
-        ranged.withColumn("_s", step)
-        .groupBy("_b")
-        .agg(
-            F.coalesce(F.sum(F.col("_s") * F.col("_s")), F.lit(0.0)).alias("steps"),
-            F.sum(F.col("_e") * F.col("_e")).alias("squares"),
-            F.min_by("_e", "_o").alias("first"),
-            F.max_by("_e", "_o").alias("last"),
-        )
+    parts = rows.repartitionByRange("_o").sortWithinPartitions("_o").mapInPandas(
+        _neighbour_steps, "start double, first double, last double, steps double, squares double"
     )
-    seam = F.col("first") - F.lag("last").over(W.orderBy("_b"))
+    seam = F.col("first") - F.lag("last").over(W.orderBy("start"))
     parts = parts.withColumn("seam", F.coalesce(seam * seam, F.lit(0.0)))
-    return parts.agg(
-        ((F.sum("steps") + F.sum("seam")) / F.sum("squares")).alias("durbin_watson")
-    )
+    return parts.agg(((F.sum("steps") + F.sum("seam")) / F.sum("squares")).alias("durbin_watson"))
 
 
 class LinearFit:

@@ -131,14 +131,22 @@ class ColumnScaler(_Columns):
 
 
 class DropFirstEncoder(_Columns):
-    """One-hot vectors without the alphabetically first value; that one, unknown and null are all zeros."""
+    """One-hot vectors without the alphabetically first value; that one, unknown and null are all zeros.
+
+    The labels are the vector's width and end up on the driver, so columns with more than
+    `widest` distinct values are refused.
+    """
 
     suffix = "_onehot"
+    widest = 100_000
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         cols = self.getInputCols()
         cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
-        found = df.select(F.explode(cells).alias("e")).select("e.*").where("v is not null").distinct().collect()
+        values = df.select(F.explode(cells).alias("e")).select("e.*").where("v is not null").distinct()
+        found = values.limit(self.widest + 1).collect()
+        if len(found) > self.widest:
+            raise ValueError(f"more than {self.widest} distinct values to encode in {cols}")
         steps = []
         for c in cols:
             labels = sorted(r["v"] for r in found if r["c"] == c)[1:]

@@ -63,7 +63,7 @@ _SCORE_SQL = ", ".join(
 @query(
     f"""WITH {_PAIRS}, w AS (SELECT c_custkey, {_DIST}, {_COUNT} FROM d GROUP BY 1), s AS (SELECT c_custkey, {_SCORE_SQL} FROM w)
     SELECT c_custkey, {', '.join(f'round({s}, 6) AS {s}' for s in SCORES)},
-           round(score_escola_privada - 0.2::double * score_escola_publica, 6) AS score_educacao FROM s"""
+           round(score_escola_privada - 0.2::double * score_escola_publica, 6) + 0.0::double AS score_educacao FROM s"""
 )
 def proximity_scores(spark, sf):
     out = with_scores(poi_features(_listings(spark, sf), _poi(spark, sf)))

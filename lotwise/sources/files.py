@@ -78,10 +78,10 @@ def write_united(df: DataFrame, folder: str, city: str | None = None, state: str
 
 
 def write_pages(df: DataFrame, folder: str, page: str = "pagina", mode: str = "overwrite") -> None:
-    """One folder per city, state and page; rows of a page are written by one task each."""
+    """One folder per city, state and page, few files each; an oversized page is split over tasks."""
     (
         df.withColumnRenamed(page, "pagina")
-        .repartition("cidade", "estado", "pagina")
+        .hint("rebalance", "cidade", "estado", "pagina")
         .write.mode(mode)
         .partitionBy("cidade", "estado", "pagina")
         .option("header", True)
@@ -97,4 +97,4 @@ def read_written_pages(spark: SparkSession, folder: str, schema: StructType) ->
 
 def land(df: DataFrame, folder: str, mode: str = "append") -> None:
     """Typed listings as parquet, laid out by state and city for partition pruning."""
-    df.write.mode(mode).partitionBy("estado", "cidade").parquet(folder)
+    df.hint("rebalance", "estado", "cidade").write.mode(mode).partitionBy("estado", "cidade").parquet(folder)
