@@ -14,9 +14,9 @@ from lotwise.functions.numeric import nan_to_null
 from lotwise.operators.joins import HOT_SHARE, lookup_join
 from lotwise.session import cut_lineage
 
-ACCURACY = 10_000
+ACCURACY = 100_000
 # Up to this many values in all columns together the built-in exact aggregate is used.
-EXACT_CELLS = 4_000_000
+EXACT_CELLS = 500_000
 
 
 def melt(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -25,9 +25,11 @@ from lotwise.operators.transformers import (
 )
 from lotwise.plans.prepare import prepare
 from lotwise.plans.score import score
+from lotwise.plans.serve import price_new_listings
 from lotwise.plans.train import fit_full, train
-from lotwise.queries.base import ols2_sql, query, r, rounded, table
+from lotwise.queries.base import ols2_sql, query, r, rounded, table, with_place
 from lotwise.session import shared_folder
+from lotwise.sources.predictions import read_predictions
 from lotwise.sources.runs import load_model
 
 NUMERIC = ["quartos", "banheiros", "vagas_garagem", "area_m2"]
@@ -399,3 +401,37 @@ def prepare_flow(spark, sf):
     scores = ["score_escola_privada", "score_seguranca", "score_educacao"]
     out = prepare(rows).select("p_partkey", "tipo_imovel_cat", "faixa_area", "area_m2", "log_preco", *scores)
     return rounded(out, 6, "log_preco", *scores)
+
+
+@query(
+    """
+    SELECT CASE WHEN c_custkey % 11 = 0 THEN 'sem_endereco' WHEN c_custkey % 7 = 0 THEN 'erro' WHEN c_custkey % 5 = 0 THEN 'nao_encontrado' ELSE 'sucesso' END AS status,
+           count(*) AS n, count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0) AS gravadas FROM customer GROUP BY 1
+    """
+)
+def online_flow(spark, sf):
+    """Every customer as a new listing: resolved, featured, priced and appended, or set aside."""
+    c = with_place(table(spark, sf, "customer"), "c_custkey")
+    k = F.col("c_custkey")
+    new = c.select(
+        F.when(k % 11 != 0, F.col("c_name")).otherwise(F.lit(" ")).alias("rua"), F.col("c_mktsegment").alias("bairro"),
+        F.lit("Cidade").alias("cidade"), F.lit("PR").alias("estado"), (F.abs("c_acctbal") / 20).alias("area_m2"),
+        (k % 5).alias("quartos"), (k % 3).alias("banheiros"), (k % 2).alias("vagas_garagem"),
+    )
+    known = k % 5 != 0
+    cache = c.where(k % 7 != 0).select(
+        F.concat_ws(", ", "c_name", "c_mktsegment", F.lit("Cidade"), F.lit("PR"), F.lit("Brasil")).alias("endereco_geo"),
+        F.when(known, F.col("lat")).alias("lat"), F.when(known, F.col("lon")).alias("lon"),
+    )
+    names = F.array(*[F.lit(n) for n in RADII])
+    poi = with_place(table(spark, sf, "supplier"), "s_suppkey").select(
+        F.element_at(names, (F.col("s_nationkey") % 7 + 1).cast("int")).alias("category"), "lat", "lon"
+    )
+    rows = homes(spark, sf)
+    model = fit_full(rows, models.linear(rows, "log_preco"), "log_preco", NUMERIC, ["faixa_area"])
+    folder = shared_folder(spark, "online")
+    _, aside = price_new_listings(new, cache, poi, model, "modelo", "1.0.0", folder)
+    stored = read_predictions(spark, folder).where("preco_predito > 0 and score_parque is not null")
+    done = stored.groupBy(F.lit("sucesso").alias("status")).agg(F.count(F.lit(1)).alias("n")).withColumn("gravadas", F.col("n"))
+    rest = aside.groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("gravadas", F.lit(0).cast("long"))
+    return done.unionByName(rest)
