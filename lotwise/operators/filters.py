@@ -24,10 +24,19 @@ def valid_types(col: str = "tipo_imovel_cat", types: list[str] | None = None) ->
     return F.col(col).isin(types or VALID_TYPES)
 
 
-def within_reach(df: DataFrame, cols: list[str], limit: float = DISTANCE_LIMIT_M) -> DataFrame:
-    """Rows whose largest non-null distance is below the limit; all-null rows fail."""
+def reachable(cols: list[str], limit: float = DISTANCE_LIMIT_M) -> Column:
+    """The largest non-null distance is below the limit; a row without any fails."""
     largest = F.greatest(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
-    return df.where(largest < limit)
+    return F.coalesce(largest < limit, F.lit(False))
+
+
+def within_reach(df: DataFrame, cols: list[str], limit: float = DISTANCE_LIMIT_M) -> DataFrame:
+    return df.where(reachable(cols, limit))
+
+
+def finite(cols: list[str]) -> Column:
+    """No column is null, NaN or infinite."""
+    return reduce(Column.__and__, [inf_to_null(F.col(c).cast("double")).isNotNull() for c in cols])
 
 
 def finite_rows(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -11,9 +11,9 @@ from lotwise.functions.numeric import nan_to_null
 from lotwise.operators.dedup import union_all
 from lotwise.operators.quantiles import (
     beside_groups,
+    collect_profile,
     collect_quantiles,
     column_modes,
-    column_quantiles,
     grouped_quantiles,
     melt,
 )
@@ -29,38 +29,18 @@ def columns_like(df: DataFrame, part: str) -> list[str]:
     return [c for c in df.columns if part in c]
 
 
-def _long(df: DataFrame, cols: list[str], measures: dict) -> DataFrame:
-    """One aggregate over the table, turned into a row per column."""
-    def num(c: str) -> Column:
-        return nan_to_null(F.col(c).cast("double"))
-
-    wide = df.agg(
-        *[F.struct(*[make(num(c)).alias(m) for m, make in measures.items()]).alias(f"_{i}") for i, c in enumerate(cols)]
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}.{m}").alias(m) for m in measures])
-            for i, c in enumerate(cols)
-        ]
-    )
-    return wide.select(F.explode(cells).alias("_r")).select("_r.*")
-
-
 def percent_name(p: float) -> str:
     return f"p{p * 100:g}".replace(".", "_")
 
 
 def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """count, mean, std (n-1), min, quantiles, max: one row per column."""
-    base = _long(
-        df,
-        cols,
-        {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max},
-    )
-    q = column_quantiles(df, cols, list(probs))
-    for i, p in enumerate(probs):
-        q = q.withColumnRenamed(f"q{i}", percent_name(p))
-    return base.join(F.broadcast(q), "column", "left")
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = collect_profile(df, cols, list(probs), measures)
+    names = [percent_name(p) for p in probs]
+    rows = [(c, *[v[m] for m in measures], *(v["q"] or [None] * len(names))) for c, v in found.items()]
+    schema = "column string, count long, mean double, std double, min double, max double"
+    return df.sparkSession.createDataFrame(rows, ", ".join([schema, *[f"{n} double" for n in names]]))
 
 
 def corrected_skew(n: Column, g1: Column) -> Column:
@@ -74,36 +54,23 @@ def corrected_kurtosis(n: Column, g2: Column) -> Column:
 def detailed_statistics(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """mean, median, mode, std, variance, skewness, kurtosis, min, max, range per column."""
     cols = cols or numeric_columns(df)
-    base = _long(
-        df,
-        cols,
-        {
-            "n": lambda c: F.count(c).cast("double"),
-            "mean": F.avg,
-            "std": F.stddev_samp,
-            "variance": F.var_samp,
-            "_g1": F.skewness,
-            "_g2": F.kurtosis,
-            "min": F.min,
-            "max": F.max,
-        },
-    )
-    n = F.col("n")
-    flat = F.col("variance") == 0
-    base = base.withColumns(
+    measures = {
+        "n": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp,
+        "g1": F.skewness, "g2": F.kurtosis, "min": F.min, "max": F.max,
+    }
+    found = collect_profile(df, cols, [0.5], measures)
+    rows = [(c, *[v[m] for m in measures], v["q"][0] if v["q"] else None) for c, v in found.items()]
+    schema = ", ".join(["column string", *[f"{m} double" for m in measures], "median double"])
+    n, flat = F.col("n"), F.col("variance") == 0
+    base = df.sparkSession.createDataFrame(rows, schema).withColumns(
         {
-            "skewness": F.when(flat & (n >= 3), F.lit(0.0)).otherwise(corrected_skew(n, F.col("_g1"))),
-            "kurtosis": F.when(flat & (n >= 4), F.lit(0.0)).otherwise(corrected_kurtosis(n, F.col("_g2"))),
+            "skewness": F.when(flat & (n >= 3), F.lit(0.0)).otherwise(corrected_skew(n, F.col("g1"))),
+            "kurtosis": F.when(flat & (n >= 4), F.lit(0.0)).otherwise(corrected_kurtosis(n, F.col("g2"))),
             "range": F.col("max") - F.col("min"),
         }
     )
-    medians = column_quantiles(df, cols, [0.5]).select("column", F.col("q0").alias("median"))
-    return (
-        base.join(F.broadcast(medians), "column", "left")
-        .join(F.broadcast(column_modes(df, cols)), "column", "left")
-        .select(
-            "column", "mean", "median", "mode", "std", "variance", "skewness", "kurtosis", "min", "max", "range"
-        )
+    return base.join(F.broadcast(column_modes(df, cols)), "column", "left").select(
+        "column", "mean", "median", "mode", "std", "variance", "skewness", "kurtosis", "min", "max", "range"
     )
 
 
@@ -118,12 +85,9 @@ def value_counts(df: DataFrame, col: str, order: Column | None = None, top: int
 
 def group_stats(df: DataFrame, key: str, value: str, min_rows: int = 30) -> DataFrame:
     """Median, mean and row count per group with at least `min_rows` rows, by median."""
-    base = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.avg(value).alias("mean"), F.count(value).alias("n")
-    )
-    medians = grouped_quantiles(df.where(F.col(key).isNotNull()), [key], value, [0.5])
-    medians = medians.select(key, F.col("q0").alias("median"))
-    return base.where(F.col("n") >= min_rows).join(medians, key).orderBy("median", key)
+    rows = df.where(F.col(key).isNotNull())
+    stats = grouped_quantiles(rows, [key], value, [0.5], also={"mean": F.avg}, min_rows=min_rows)
+    return stats.select(key, F.col("q0").alias("median"), "mean", "n").orderBy("median", key)
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

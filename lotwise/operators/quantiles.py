@@ -72,49 +72,85 @@ def _read_ranks(cells: DataFrame, keys: list[str], probs: list[float]) -> DataFr
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = ACCURACY
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: list[float],
+    accuracy: int = ACCURACY,
+    also: dict | None = None,
+    min_rows: int = 1,
 ) -> DataFrame:
-    """One row per group: keys, n and q0..qk, the quantiles with linear interpolation."""
+    """One row per group of at least `min_rows` values: keys, n, `also`, and q0..qk.
+
+    Quantiles interpolate linearly. `also` maps names to aggregate functions of the value; they
+    ride on the first pass, and groups too small are gone before the second.
+    """
+    also = also or {}
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x")
     )
     k = len(probs)
     lows, highs = _brackets(probs, accuracy)
     sketch = F.percentile_approx("_x", F.array(*[F.lit(p) for p in lows + highs]), accuracy)
-    brackets = rows.groupBy(*keys).agg(F.count("_x").alias("n"), sketch.alias("_b"))
-    brackets = cut_lineage(brackets, "brackets")
+    brackets = rows.groupBy(*keys).agg(
+        F.count("_x").alias("n"), sketch.alias("_b"), *[f("_x").alias(name) for name, f in also.items()]
+    )
+    brackets = cut_lineage(brackets.where(F.col("n") >= min_rows), "brackets")
     marked = beside_groups(rows, brackets, keys)
     part, inside = _cell(
         F.col("_x"), [F.col("_b")[j] for j in range(k)], [F.col("_b")[k + j] for j in range(k)]
     )
+    named = [*keys, *also]
     cells = (
-        marked.select(*keys, "n", part.alias("_part"), inside.alias("_in"), "_x")
-        .groupBy(*keys, "n", "_part", "_in")
+        marked.select(*named, "n", part.alias("_part"), inside.alias("_in"), "_x")
+        .groupBy(*named, "n", "_part", "_in")
         .agg(F.count("_x").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     )
-    return _read_ranks(cells, keys, probs)
+    return _read_ranks(cells, named, probs)
 
 
-def collect_quantiles(
+def collect_profile(
     df: DataFrame,
     cols: list[str],
     probs: list[float],
+    measures: dict | None = None,
     accuracy: int = ACCURACY,
     exact_cells: int = EXACT_CELLS,
-) -> dict[str, list[float]]:
-    """Quantiles of whole columns as {column: [one per probability]}; empty columns are absent.
+) -> dict[str, dict]:
+    """Whole-column figures {column: {measure: value, ..., "q": [one per probability]}}.
 
-    The first pass counts and sketches. A table of proven small size is then answered by the
-    exact aggregate; any other by counting around the sketched brackets.
+    The first pass takes all measures, counts and sketches. A table of proven small size is
+    then answered by the exact aggregate; any other by counting around the sketched brackets.
+    Without values a column's "q" is None.
     """
+    measures = measures or {}
     lows, highs = _brackets(probs, accuracy)
     wanted = F.array(*[F.lit(p) for p in lows + highs])
     xs = [nan_to_null(F.col(c).cast("double")) for c in cols]
     first = df.agg(
-        *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-        *[F.percentile_approx(x, wanted, accuracy).alias(f"b{i}") for i, x in enumerate(xs)],
+        *[F.count(x).alias(f"_n{i}") for i, x in enumerate(xs)],
+        *[F.percentile_approx(x, wanted, accuracy).alias(f"_b{i}") for i, x in enumerate(xs)],
+        *[f(x).alias(f"{name}{i}") for i, x in enumerate(xs) for name, f in measures.items()],
     ).first()
-    counts = [first[f"n{i}"] for i in range(len(cols))]
+    found = {c: {name: first[f"{name}{i}"] for name in measures} for i, c in enumerate(cols)}
+    ranks = _second_pass(df, cols, xs, probs, first, exact_cells)
+    return {c: {**found[c], "q": ranks.get(c)} for c in cols}
+
+
+def collect_quantiles(
+    df: DataFrame,
+    cols: list[str],
+    probs: list[float],
+    accuracy: int = ACCURACY,
+    exact_cells: int = EXACT_CELLS,
+) -> dict[str, list[float]]:
+    """Quantiles of whole columns as {column: [one per probability]}; empty columns are absent."""
+    found = collect_profile(df, cols, probs, None, accuracy, exact_cells)
+    return {c: v["q"] for c, v in found.items() if v["q"] is not None}
+
+
+def _second_pass(df: DataFrame, cols: list[str], xs: list[Column], probs, first, exact_cells: int) -> dict:
+    counts = [first[f"_n{i}"] for i in range(len(cols))]
     if sum(counts) <= exact_cells:
         exact = df.agg(
             *[F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i, x in enumerate(xs)]
@@ -123,7 +159,7 @@ def collect_quantiles(
     k, marks = len(probs), []
     for i, (c, x) in enumerate(zip(cols, xs)):
         if counts[i]:
-            ends = [F.lit(v) for v in first[f"b{i}"]]
+            ends = [F.lit(v) for v in first[f"_b{i}"]]
             part, inside = _cell(x, ends[:k], ends[k:])
             marks.append(
                 F.struct(
@@ -142,13 +178,6 @@ def collect_quantiles(
     return {r["column"]: [r[f"q{i}"] for i in range(k)] for r in rows}
 
 
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
-    """Quantiles of whole columns: one row (column, q0..qk) per column."""
-    found = collect_quantiles(df, cols, probs, accuracy)
-    names = ", ".join(["column string", *[f"q{i} double" for i in range(len(probs))]])
-    return df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], names)
-
-
 def beside_groups(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Rows with their group's figures. `stats` is a written table with the group size `n`.
 

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lotwise.functions import numeric, rules, text
 from lotwise.operators.dedup import keep_first, union_all
 from lotwise.operators.filters import (
-    finite_rows,
+    finite,
     geocode_failed,
     has_coordinates,
     minimum_address,
     ordered_features,
+    reachable,
     substring_share,
     with_violations,
-    within_reach,
     without_last,
 )
 from lotwise.operators.profile import columns_like, numeric_columns, value_counts
@@ -356,24 +356,19 @@ def row_filters(spark, sf):
     rows = o.join(sums, o.o_orderkey == sums.l_orderkey, "left").withColumn("g", F.col("o_orderkey") % 5)
     rows = rows.withColumns({"lat": F.when(F.col("g") != 0, F.col("q")), "lon": F.when(F.col("g") != 1, F.col("p"))})
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias(name))
-
-    metres = rows.withColumns({"da": F.col("lat") * 1000, "db": F.col("lon")})
     inf = F.when(F.col("g") == 3, F.lit(float("inf"))).when(F.col("o_totalprice") > 1000, F.col("o_totalprice"))
-    parts = {
-        "com_coordenadas": rows.where(has_coordinates()),
-        "falhas": rows.where(geocode_failed()),
-        "sem_itens": rows.where(F.col("q").isNull()),
-        "alcance": within_reach(metres, ["da", "db"]),
-        "tipos": rows.where(F.col("g").isin(1, 2)),
-        "sem_ultimo": without_last(rows, ["o_orderkey"]),
-        "finitos": finite_rows(rows.withColumn("x", inf), ["x", "lat"]),
-    }
-    out = rows.withColumn("chave", F.col("o_orderkey").cast("string")).agg(
-        F.round(substring_share("chave", "7"), 8).alias("com_sete")
+    rows = rows.withColumns(
+        {"da": F.col("lat") * 1000, "db": F.col("lon"), "x": inf, "chave": F.col("o_orderkey").cast("string")}
+    )
+    out = rows.agg(
+        F.count_if(has_coordinates()).alias("com_coordenadas"),
+        F.count_if(geocode_failed()).alias("falhas"),
+        F.count_if(F.col("q").isNull()).alias("sem_itens"),
+        F.count_if(reachable(["da", "db"])).alias("alcance"),
+        F.count_if(F.col("g").isin(1, 2)).alias("tipos"),
+        F.count_if(finite(["x", "lat"])).alias("finitos"),
+        F.round(substring_share("chave", "7"), 8).alias("com_sete"),
     )
-    for name, part in parts.items():
-        out = out.withColumn(name, counted(part, name).scalar())
-    last = without_last(rows, ["o_orderkey"]).agg(F.max("o_orderkey").alias("m"))
-    return out.withColumn("novo_ultimo", last.scalar())
+    kept = without_last(o, ["o_orderkey"]).agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("m")).alias("s"))
+    last = out.withColumn("s", kept.scalar())
+    return last.withColumns({"sem_ultimo": F.col("s.n"), "novo_ultimo": F.col("s.m")}).drop("s")
