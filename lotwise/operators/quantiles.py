@@ -156,26 +156,22 @@ def _second_pass(df: DataFrame, cols: list[str], xs: list[Column], probs, first,
             *[F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i, x in enumerate(xs)]
         ).first()
         return {c: list(exact[f"q{i}"]) for i, c in enumerate(cols) if counts[i]}
-    k, marks = len(probs), []
-    for i, (c, x) in enumerate(zip(cols, xs)):
-        if counts[i]:
-            ends = [F.lit(v) for v in first[f"_b{i}"]]
-            part, inside = _cell(x, ends[:k], ends[k:])
-            marks.append(
-                F.struct(
-                    F.lit(c).alias("column"), F.lit(counts[i]).alias("n"), part.alias("_part"),
-                    inside.alias("_in"), x.alias("_x"),
-                )
-            )
+    k = len(probs)
+    names = [f"_{side}{j}" for side in ("lo", "hi") for j in range(k)]
+    ends = [(i, counts[i], *first[f"_b{i}"]) for i in range(len(cols)) if counts[i]]
+    schema = ", ".join(["_i int", "n long", *[f"{name} double" for name in names]])
+    brackets = F.broadcast(df.sparkSession.createDataFrame(ends, schema))
+    part, inside = _cell(F.col("_x"), [F.col(c) for c in names[:k]], [F.col(c) for c in names[k:]])
     cells = (
-        df.select(F.explode(F.array(*marks)).alias("_m"))
-        .select("_m.*")
+        df.select(F.posexplode(F.array(*xs)).alias("_i", "_x"))
         .where(F.col("_x").isNotNull())
-        .groupBy("column", "n", "_part", "_in")
+        .join(brackets, "_i")
+        .select("_i", "n", part.alias("_part"), inside.alias("_in"), "_x")
+        .groupBy("_i", "n", "_part", "_in")
         .agg(F.count("_x").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     )
-    rows = _read_ranks(cells, ["column"], probs).collect()
-    return {r["column"]: [r[f"q{i}"] for i in range(k)] for r in rows}
+    rows = _read_ranks(cells, ["_i"], probs).collect()
+    return {cols[r["_i"]]: [r[f"q{j}"] for j in range(k)] for r in rows}
 
 
 def beside_groups(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
