@@ -23,6 +23,8 @@ LEAF_POINTS = 256
 # Cells of level 13 are about 20 cm wide; each level is four times finer per axis.
 FINEST_LEVEL = 13
 BROADCAST_PLACES = 500_000
+# In the shuffled form a crowded cell's listings are spread over this many copies of it.
+SALTS = 16
 AXES = ("x", "y", "z")
 
 
@@ -116,7 +118,14 @@ class PlaceIndex:
         self.small = (size["n"] or 0) <= broadcast_places
 
     def _sized(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
+        """Broadcast when small, else SALTS copies to shuffle."""
+        if self.small:
+            return F.broadcast(df.withColumn("_salt", F.lit(0)))
+        return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def salt(self) -> Column:
+        """The copy that a listing's coordinates are sent to."""
+        return F.lit(0) if self.small else F.pmod(F.xxhash64("lat", "lon"), F.lit(SALTS)).cast("int")
 
     def children(self) -> DataFrame:
         c = self.nodes.select(
@@ -131,7 +140,7 @@ class PlaceIndex:
 
     def leaves(self) -> DataFrame:
         found = self.nodes.where(F.col("pts").isNotNull())
-        return self._sized(found.select("category", F.col("node").alias("leaf"), "pts"))
+        return self._sized(found.select(F.col("category").alias("_cat"), F.col("node").alias("_leaf"), "pts"))
 
 
 def distinct_points(listings: DataFrame) -> DataFrame:
@@ -169,16 +178,27 @@ def _squared_chord() -> Column:
     return out
 
 
+def _spread_key(name: str) -> Column:
+    """The cell key; rows without one get spread-out keys that match nothing."""
+    return F.coalesce(F.col(name), F.concat(F.lit("-"), F.pmod(F.xxhash64("lat", "lon"), F.lit(4096)).cast("string")))
+
+
 def _step(state: DataFrame, index: PlaceIndex) -> DataFrame:
     """Rows with an open cell meet its children, the others (node is null) pass through."""
-    return state.join(
-        index.children(), (F.col("category") == F.col("_cat")) & (F.col("node") == F.col("_parent")), "left"
+    same = (
+        (F.col("category") == F.col("_cat"))
+        & (_spread_key("node") == F.col("_parent"))
+        & (index.salt() == F.col("_salt"))
     )
+    return state.join(index.children(), same, "left")
 
 
 def _leaf_places(state: DataFrame, index: PlaceIndex) -> DataFrame:
     """One row per place `_p` of every leaf still in play (at most LEAF_POINTS per row)."""
-    met = state.join(index.leaves(), ["category", "leaf"], "left")
+    same = (
+        (F.col("category") == F.col("_cat")) & (_spread_key("leaf") == F.col("_leaf")) & (index.salt() == F.col("_salt"))
+    )
+    met = state.join(index.leaves(), same, "left").drop("_cat", "_leaf", "_salt")
     return met.select("*", F.explode_outer("pts").alias("_p")).drop("pts")
 
 

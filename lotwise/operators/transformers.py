@@ -203,6 +203,10 @@ def fill_with_medians(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     """
     kinds = dict(df.dtypes)
     cols = cols or numeric_columns(df)
+    gaps = df.agg(*[F.count_if(nan_to_null(F.col(c).cast("double")).isNull()).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    cols = [c for i, c in enumerate(cols) if gaps[f"_{i}"]]
+    if not cols:
+        return df
     medians = {c: q[0] for c, q in collect_quantiles(df, cols, [0.5]).items()}
     fills = {}
     for c, m in medians.items():

@@ -50,7 +50,7 @@ def train(
     """Search on the training part, fit the best setting and a linear baseline, report both on
     the held-out part (log scale, and the currency scale beside it), log and register."""
     spark = table.sparkSession
-    rows = table.select(*keys, *numeric, *text, label).where(F.col(label).isNotNull())
+    rows = table.select(*keys, *numeric, *text, label).where(F.col(label).isNotNull()).persist()
     fit_rows, held = hash_split(rows, keys, test_size, seed)
     params, _ = search(fit_rows, label, numeric, text, keys, trials, build)
     model = fit_full(fit_rows, build(fit_rows, label, **params), label, numeric, text)
@@ -71,4 +71,6 @@ def train(
         }
         run_id = log_run(spark, folder, experiment, "tuned_final", logged, metrics, baseline, path)
         register(spark, folder, model_name, run_id, path)
-    return TrainingResult(model, params, metrics, baseline, metrics_dict(money, "y"), run_id)
+    currency = metrics_dict(money, "y")
+    rows.unpersist()
+    return TrainingResult(model, params, metrics, baseline, currency, run_id)
