@@ -88,16 +88,18 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     )
     kept = inner.join(branching.select("category", "node"), ["category", "node"], "left_semi")
     leaf_pts = (
-        levels.join(leaves.select("category", "node"), ["category", "node"])
+        lookup_join(levels, leaves.select("category", "node"), ["category", "node"], "inner")
         .groupBy("category", "node")
         .agg(listed)
     )
     nodes = leaves.join(leaf_pts, ["category", "node"]).unionByName(kept, allowMissingColumns=True)
-    ancestors = (
+    above = (
         nodes.where("level > 0")
         .withColumn("_above", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
         .select("category", "node", "_above", _cell_key(F.col("_above")).alias("parent"))
-        .join(kept.select("category", F.col("node").alias("parent")), ["category", "parent"])
+    )
+    ancestors = (
+        lookup_join(above, kept.select("category", F.col("node").alias("parent")), ["category", "parent"], "inner")
         .groupBy("category", "node")
         .agg(F.max_by("parent", "_above").alias("parent"), F.count(F.lit(1)).cast("int").alias("depth"))
     )

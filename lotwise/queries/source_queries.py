@@ -141,7 +141,7 @@ def coverage_share(spark, sf):
 )
 def empty_run_cutoff(spark, sf):
     e = table(spark, sf, "events")
-    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600) + 1
+    hour = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 3600) + 1
     pages = e.groupBy("event_type", hour.alias("page")).agg(F.count_if(F.col("value") > 60).alias("n"))
     kept = html.useful_pages(pages, ["event_type"], "page")
     return kept.groupBy("event_type", "last_page").agg(F.count(F.lit(1)).alias("pages"))

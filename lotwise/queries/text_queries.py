@@ -23,14 +23,14 @@ from lotwise.queries.base import query, r, table
 
 @query(
     """
-    SELECT user_id, event_type, event_id, value, ts FROM (
+    SELECT user_id, event_type, event_id, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS primeiro FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events)
     WHERE rn = 1
     """
 )
 def dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     first = keep_first(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"])
-    return first.select("user_id", "event_type", "event_id", "value", "ts")
+    return first.select("user_id", "event_type", "event_id", "value", text.collected_text(F.col("ts")).alias("primeiro"))
 
 
 @query(
@@ -320,7 +320,7 @@ def log_targets(spark, sf):
 @query(
     """
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS data_coleta,
-           epoch(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S'))::bigint AS segundos FROM events
+           strftime(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S'), '%Y%m%d %H') AS hora FROM events
     """
 )
 def timestamp_text(spark, sf):
@@ -329,7 +329,7 @@ def timestamp_text(spark, sf):
     return e.select(
         "event_id",
         shown.alias("data_coleta"),
-        F.unix_timestamp(text.collected_at(shown)).alias("segundos"),
+        F.date_format(text.collected_at(shown), "yyyyMMdd HH").alias("hora"),
     )
 
 
