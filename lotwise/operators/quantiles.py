@@ -184,10 +184,19 @@ def beside_groups(rows: DataFrame, stats: DataFrame, keys: list[str], how: str =
     return lookup_join(rows, stats, keys, how, hot=hot)
 
 
+def _most_frequent(counts: DataFrame, key: str) -> DataFrame:
+    """Per key the value with the highest `_n`, the smallest one on ties."""
+    best = counts.groupBy(key).agg(F.max("_n").alias("_n"))
+    return counts.join(F.broadcast(best), [key, "_n"]).groupBy(key).agg(F.min("value").alias("mode"))
+
+
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """Most frequent value per numeric column, the smallest one on ties."""
-    counts = melt(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("_n"), F.col("value"))).alias("mode"))
+    xs = [nan_to_null(F.col(c).cast("double")) for c in cols]
+    cells = df.select(F.posexplode(F.array(*xs)).alias("_i", "value")).where(F.col("value").isNotNull())
+    modes = _most_frequent(cells.groupBy("_i", "value").agg(F.count(F.lit(1)).alias("_n")), "_i")
+    names = F.array(*[F.lit(c) for c in cols])
+    return modes.select(F.element_at(names, F.col("_i") + 1).alias("column"), "mode")
 
 
 def text_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
@@ -200,5 +209,4 @@ def text_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    best = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("_n"), F.col("value"))).alias("mode"))
-    return {r["column"]: r["mode"] for r in best.collect()}
+    return {r["column"]: r["mode"] for r in _most_frequent(counts, "column").collect()}

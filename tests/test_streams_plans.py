@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 import tempfile
 
 from pyspark.sql import functions as F
@@ -64,3 +66,16 @@ def test_poi_plan_has_no_cross_join_in_either_form(spark):
 def test_scan_is_pruned(spark, folder):
     text = plan(queries()["boxplot_groups"](spark, folder))
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in text
+
+
+def test_functions_travel_without_the_package():
+    """A worker that cannot import the package can still run what is sent to it."""
+    from pyspark import cloudpickle
+
+    from lotwise.operators.distributions import f_tail
+    from lotwise.operators.explain import shapley_rows
+
+    blob = cloudpickle.dumps((f_tail, shapley_rows)).hex()
+    code = f"import pickle; f, s = pickle.loads(bytes.fromhex('{blob}')); print(round(f(1.0, 7, 7), 6))"
+    got = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, env={})
+    assert got.stdout.strip() == "0.5", got.stderr
