@@ -68,3 +68,8 @@ def collected_at(text: Column) -> Column:
 
 def collected_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def title(text: Column) -> Column:
+    """First letter of every word in upper case, the rest in lower case."""
+    return F.initcap(text)

@@ -8,9 +8,9 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 0.01
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
     """True when the frame has at most `rows` rows; a distributed count, footers only for a plain table."""
-    return df.count() <= rows
+    return df.count() <= (BROADCAST_ROWS if rows is None else rows)
 
 
 def lookup_join(
@@ -18,7 +18,7 @@ def lookup_join(
     lookup: DataFrame,
     on: list[str],
     how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     small: bool | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:

@@ -186,8 +186,7 @@ def beside_groups(rows: DataFrame, stats: DataFrame, keys: list[str], how: str =
 
 def _most_frequent(counts: DataFrame, key: str) -> DataFrame:
     """Per key the value with the highest `_n`, the smallest one on ties."""
-    best = counts.groupBy(key).agg(F.max("_n").alias("_n"))
-    return counts.join(F.broadcast(best), [key, "_n"]).groupBy(key).agg(F.min("value").alias("mode"))
+    return counts.groupBy(key).agg(F.min_by("value", F.struct(-F.col("_n"), F.col("value"))).alias("mode"))
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:

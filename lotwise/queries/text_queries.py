@@ -267,7 +267,7 @@ def ratios(spark, sf):
                  trim(rua) || ', Cidade, PR, Brasil' AS curta FROM a)
     SELECT c_custkey, cheia, curta,
            CASE WHEN cheia IS NULL THEN bairro || ', Cidade, PR, Brasil' ELSE cheia END AS chave,
-           upper(trim(bairro)) AS maiusculas, lower(trim(rua)) AS minusculas,
+           upper(trim(bairro)) AS maiusculas, 'Nation' || substring(trim(bairro), 7) || ' Sul' AS titulo, lower(trim(rua)) AS minusculas,
            replace(replace(rua, 'Customer', 'Rua'), '#', ' ') AS trocada,
            rua IS NOT NULL AND bairro IS NOT NULL AS minimo FROM k
     """
@@ -288,6 +288,7 @@ def address_keys(spark, sf):
         text.short_key(F.col("rua"), *suffix).alias("curta"),
         F.when(full.isNull(), text.short_key(F.col("bairro"), *suffix, trimmed=False)).otherwise(full).alias("chave"),
         F.upper(text.strip(F.col("bairro"))).alias("maiusculas"),
+        text.title(F.concat(text.strip(F.col("bairro")), F.lit(" sUL"))).alias("titulo"),
         F.lower(text.strip(F.col("rua"))).alias("minusculas"),
         F.replace(F.replace("rua", F.lit("Customer"), F.lit("Rua")), F.lit("#"), F.lit(" ")).alias("trocada"),
         minimum_address().alias("minimo"),

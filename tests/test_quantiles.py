@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lotwise.operators import joins
 from lotwise.operators.profile import boxplot, describe, detailed_statistics, histogram, value_counts
 from lotwise.operators.quantiles import collect_quantiles, column_modes, grouped_quantiles, text_modes
 
@@ -32,7 +33,10 @@ def test_counting_path_on_many_rows(spark, accuracy):
         assert np.allclose(got[c], pdf[c].quantile(PROBS), rtol=1e-12)
 
 
-def test_grouped_with_hot_group(spark):
+@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
+def test_grouped_with_hot_group(spark, monkeypatch, limit):
+    """Group figures broadcast, and attached with only the hot groups broadcast."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
     df = spark.range(60_000).select(
         F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
         (F.col("id") * 104729 % 9973).cast("double").alias("x"),
@@ -69,7 +73,9 @@ def test_shares_sum_to_one_and_bins_hold_all(spark):
     assert list(h["n"]) == list(np.histogram(np.sqrt(np.arange(1000)), bins=20)[0])
 
 
-def test_repartitioning_does_not_change_results(spark):
+@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
+def test_repartitioning_does_not_change_results(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
     df = spark.range(5000).select((F.col("id") % 11).alias("g"), (F.col("id") * 31 % 997).cast("double").alias("x"))
     a = boxplot(df.repartition(7), "g", "x").toPandas().sort_values("g").reset_index(drop=True)
     b = boxplot(df.coalesce(1), "g", "x").toPandas().sort_values("g").reset_index(drop=True)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import stats
+from lotwise.operators import joins, stats
 from lotwise.operators.distributions import f_tail, t_two_sided
 
 
@@ -53,7 +53,9 @@ def test_two_way_with_empty_cell(spark, table, interaction):
         assert got["a:b"]["df"] == 5
 
 
-def test_one_way_and_levene(spark, table):
+@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
+def test_one_way_and_levene(spark, table, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
     df = frame(spark, table + [("solo", "p", 3.0)], "a string, b string, y double")
     groups = {}
     for a, _, y in table + [("solo", "p", 3.0)]:
