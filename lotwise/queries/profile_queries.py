@@ -226,7 +226,7 @@ def ranked_results(spark, sf):
 @query(f"""WITH b AS ({_BRANDS}) SELECT "Model", "R2" FROM b ORDER BY "R2" DESC LIMIT 1""")
 def best_result(spark, sf):
     brands = table(spark, sf, "part").groupBy(F.col("p_brand").alias("Model")).agg(r(F.avg("p_retailprice") / 1000, 6).alias("R2"))
-    return best_by(brands, "Model", "R2")
+    return best_by(brands, "R2")
 
 
 @query(
