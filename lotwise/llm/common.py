@@ -9,16 +9,25 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_WORDS = 400_000  # words a task keeps at once in a cache; the cache starts anew beyond that
+MAX_WORDS = 1_000_000  # words a worker keeps at once in a cache, some 250 MB; the cache starts anew beyond that
 
 
-def share(spark: SparkSession, value) -> Callable:
-    """Broadcast of a model or word list whose size the caller has bounded; the result, called in a task, gives it.
+def share(spark: SparkSession, value, make: Callable = lambda value: value) -> Callable:
+    """Broadcast of a model or word list whose size the caller has bounded; called in a task, the result gives
+    `make(value)`.
 
-    It travels with its classes, so workers need no copy of this package.
+    The value travels with its classes, so workers need no copy of this package. What `make` returns lives as long as
+    the worker process uses the broadcast, so a cache inside it serves all tasks of that process.
     """
-    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(data.value)
+    held = spark.sparkContext.broadcast({"data": cloudpickle.dumps(value)})
+
+    def get():
+        here = held.value
+        if "made" not in here:
+            here["made"] = make(pickle.loads(here["data"]))
+        return here["made"]
+
+    return get
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,18 +35,14 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
-    """Rows for which `keep(list of texts) -> list of booleans` holds; all columns pass through unchanged.
-
-    `keep` is made once per task by calling `keep()`, so that it can hold a cache.
-    """
+def filter_rows(docs: DataFrame, text_col: str, judge: Callable) -> DataFrame:
+    """Rows for which `judge()(text)` holds; all columns pass through unchanged."""
     place = docs.columns.index(text_col)
 
     def run(batches):
-        judge = keep()
+        keeps = judge()
         for batch in batches:
             if batch.num_rows:
-                mask = judge(batch.column(place).to_pylist())
-                yield batch.filter(pa.array(mask, pa.bool_()))
+                yield batch.filter(pa.array([keeps(v.as_py()) for v in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,12 +16,13 @@ that Spark writes to holds them and a lost executor costs only its running tasks
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -110,46 +111,69 @@ class Segment:
         return values
 
 
-_GAP = re.compile(r"(?<=\S)(?= )")
-_WIDE_GAP = re.compile(r"\s ")
+# The tokenizer's own split into words, as its library publishes it.
+BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PART = 1 << 20  # characters of a text that are split at once
 
 
-def byte_bpe_chunks(text: str) -> list[str]:
-    """The text cut before single spaces, where the tokenizer's own pattern always starts anew.
+def byte_table() -> dict[int, str]:
+    """The printable character that stands for each byte: itself where it is printable, else one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text cut before single spaces that follow a non-space; no word of the tokenizer spans such a place."""
+    at = 0
+    while len(text) - at > PART:
+        cut = at + PART
+        while cut < len(text) and (text[cut] != " " or text[cut - 1].isspace()):
+            cut += 1
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
-    A match of that pattern can hold a space only at its start or inside a run of white space, so a cut
-    between a non-space and a space changes no token.
-    """
-    if _WIDE_GAP.search(text) or text[:1] == " ":
-        return _GAP.split(text)
-    head, *tail = text.split(" ")
-    return [head, *[" " + w for w in tail]]
+
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 def text_encoder(tokenizer_json: str):
-    """`encode(text) -> bytes` of little-endian u32 ids; chunks met before come from a cache."""
+    """`encode(text) -> bytes` of little-endian u32 ids.
+
+    Words are split by the tokenizer's pattern and encoded by the library's model; those met before come from a
+    cache. Texts are ordinary text throughout, also where they spell a special token.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
+    words_of, table = BYTE_LEVEL.findall, byte_table()
+    model = Tokenizer.from_str(tokenizer_json).model
+    known: dict[str, bytes] = {}  # by word of the pattern
+    after: dict[str, bytes] = {}  # by run of characters that one space precedes
+
+    def ids_of(word: str) -> bytes:
+        ids = known.get(word)
+        if ids is None:
+            found = model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))
+            ids = known[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
+
+    def encode_part(text: str) -> bytes:
+        if len(known) + len(after) > MAX_WORDS:
+            known.clear()
+            after.clear()
+        if text[-1:].isspace() or any(c + " " in text for c in SPACES):
+            return b"".join(map(ids_of, words_of(text)))
+        head, *runs = text.split(" ")  # a place between a non-space and a space always parts words
+        for run in set(runs).difference(after):
+            after[run] = b"".join(map(ids_of, words_of(" " + run)))
+        return b"".join([*map(ids_of, words_of(head)), *map(after.__getitem__, runs)])
 
     def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        chunks = byte_bpe_chunks(text)
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > MAX_WORDS:
-                known.clear()
-            new = list(set(chunks).difference(known))
-            for chunk, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, chunks))
+        return encode_part(text) if len(text) <= PART else b"".join(map(encode_part, parts(text)))
 
     return encode
 
@@ -164,10 +188,10 @@ def write_codes(
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary file, a few MB
-        vocabulary = share(spark, f.read())
+        vocabulary = share(spark, f.read(), text_encoder)
 
     def run(batches):
-        encode, part = text_encoder(vocabulary()), TaskContext.get().partitionId()
+        encode, part = vocabulary(), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seq, start, size = 0, 0, 0
         doc_ids, ends, pieces = [], [], []

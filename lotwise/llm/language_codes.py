@@ -11,11 +11,9 @@ and only languages x buckets numbers reach the driver.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import product
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +22,37 @@ from pyspark.sql import DataFrame, functions as F
 from lotwise.llm.common import MAX_WORDS, filter_rows, id_and_text, share
 
 BUCKETS = 1 << 14  # n-gram hash buckets
-LONGEST = 3  # characters of an n-gram
 MAX_BITS = 63  # codeword length; fewer languages than 7 take every split there is
 SMOOTHING = 0.5
+EVIDENCE = 40  # words beyond which more of the same share of votes makes a text no surer
+VOTE = 4.0  # most that one word can add to a bit
 AMBIGUOUS = 0.1  # gap between the two best scores below which a text is flagged
 UNDECIDED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers of the n-gram hash
 
 
-def ngram_buckets(token: str) -> list[int]:
-    """Buckets of all n-grams of the letter runs in a token, lower-cased, with word ends marked."""
-    found = []
-    for run in _LETTERS.findall(token.lower()):
-        data = f"<{run}>"
-        for n in range(1, LONGEST + 1):
-            found.extend(crc32(data[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(data) - n + 1))
-    return found
+def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, word numbers) of the n-grams of 1 to 3 characters of all letter runs of the words, lower-cased.
+
+    Runs are bounded by a mark that belongs to their first and last n-grams. Words hold no white space.
+    """
+    text = "\n" + "\n".join(words).lower() + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    kinds, at = np.unique(codes, return_inverse=True)
+    letter = np.array([chr(int(k)).isalpha() for k in kinds])[at]
+    word = np.cumsum(codes == 10) - 1
+    codes = np.where(letter, codes, 0)
+    one = np.flatnonzero(letter)
+    two = np.flatnonzero(letter[:-1] | letter[1:])  # the mark before or after a run included
+    owner = np.where(letter[two], word[two], word[two + 1])
+    keys = [
+        codes[one] * P1,
+        codes[two] * P2 + codes[two + 1] * P1 + np.uint64(1),
+        (codes[one - 1] * P2 + codes[one]) * P2 + codes[one + 1] * P1 + np.uint64(2),
+    ]
+    buckets = [((k * P2) >> np.uint64(32)) % np.uint64(BUCKETS) for k in keys]
+    return np.concatenate(buckets).astype(np.int64), np.concatenate([word[one], owner, word[one]])
 
 
 def has_letter(text: str | None) -> bool:
@@ -87,19 +99,21 @@ class LanguageModel:
             trust *= code.shape[1] / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9)
         return cls(languages, code, weights, trust)
 
-    def word_row(self, word: str) -> bytes:
-        """Summed bit scores and the number of n-grams."""
-        buckets = ngram_buckets(word)
-        row = np.empty(self.code.shape[1] + 1, np.float32)
-        row[:-1] = self.weights[buckets].sum(axis=0)
-        row[-1] = len(buckets)
-        return row.tobytes()
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """Per word its vote on every bit, and 1 if it has a letter."""
+        buckets, word = ngram_buckets(words)
+        rows = np.zeros((len(words), self.code.shape[1] + 1), np.float32)
+        rows[word, -1] = 1
+        for b in range(self.code.shape[1]):
+            rows[:, b] = np.clip(np.bincount(word, self.weights[buckets, b], len(words)), -VOTE, VOTE)
+        return rows
 
     def decode(self, sums: np.ndarray) -> tuple[str, float, float]:
-        """(language, score, gap to the second best score) from a text's summed word rows."""
+        """(language, score, gap to the second best score) from the sum of a text's word rows."""
         if len(self.languages) < 2:
             return (self.languages[0], 1.0, 1.0) if self.languages else (UNDECIDED, 0.0, 0.0)
-        bits = sums[:-1] / np.sqrt(max(sums[-1], 1.0))
+        words = max(sums[-1], 1.0)
+        bits = sums[:-1] / words * np.sqrt(min(words, EVIDENCE))
         loss = (self.trust * np.logaddexp(0.0, -self.code * bits)).sum(axis=1)
         p = np.exp(loss.min() - loss)
         p /= p.sum()
@@ -118,8 +132,9 @@ def predictor(model: LanguageModel):
         words = text.split()
         if len(known) > MAX_WORDS:
             known.clear()
-        for word in set(words).difference(known):
-            known[word] = model.word_row(word)
+        new = list(set(words).difference(known))
+        if new:
+            known.update(zip(new, model.word_rows(new).view(f"V{4 * width}").ravel().tolist()))
         rows = np.frombuffer(b"".join(map(known.__getitem__, words)), np.float32).reshape(-1, width)
         return model.decode(rows.sum(axis=0, dtype=np.float64))
 
@@ -136,9 +151,10 @@ def train_language_codes(labelled: DataFrame, text_col: str = "text", lang_col:
 
         def flush():
             for lang, counter in words.items():
-                for word, n in counter.items():
-                    for bucket in ngram_buckets(word):
-                        totals[lang][bucket] += n
+                if counter:
+                    buckets, word = ngram_buckets(list(counter))
+                    counts = np.fromiter(counter.values(), np.int64, len(counter))
+                    totals[lang] += np.bincount(buckets, counts[word], BUCKETS).astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -174,10 +190,10 @@ def predict_languages(
 ) -> DataFrame:
     """Per row: doc_id, lang_pred, score, ambiguous. `und` and score 0 for texts that are null or have no letter,
     and for every text if nothing was learned."""
-    shared = share(docs.sparkSession, model)  # BUCKETS x at most MAX_BITS floats: under 5 MB
+    shared = share(docs.sparkSession, model, predictor)  # BUCKETS x at most MAX_BITS floats: under 5 MB
 
     def run(batches):
-        predict = predictor(shared())
+        predict = shared()
         for batch in batches:
             found = [predict(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch(
@@ -195,10 +211,10 @@ def predict_languages(
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Rows of `docs` with a language; texts that are null or have no letter go. Ambiguous texts stay: a short or
     mixed text is not a bad one."""
-    shared = share(docs.sparkSession, model)
+    shared = share(docs.sparkSession, model, predictor)
 
     def judge():
-        predict = predictor(shared())
-        return lambda texts: [predict(t)[0] != UNDECIDED for t in texts]
+        predict = shared()
+        return lambda text: predict(text)[0] != UNDECIDED
 
     return filter_rows(docs, text_col, judge)

@@ -2,15 +2,17 @@
 
 Text form: one space is put before the text, spaces become the mark U+2581, nothing else is normalised. A mark
 that stands in the text itself goes through byte pieces, so decoding gives back every text exactly. Characters
-outside the vocabulary, and those for which bytes score better, become the byte pieces of their UTF-8 form.
+at which no piece ends become the byte pieces of their UTF-8 form.
 
-The best split has the largest sum of piece scores; of equal sums the one with fewer pieces wins, and then the one
-whose last piece is longest, and so on from the right.
+The best split has the largest sum of piece scores less a very small cost for each piece; of equal sums the one whose
+last piece is longest wins, and so on from the right.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,9 @@ from pyspark.sql import DataFrame
 from lotwise.llm.common import MAX_WORDS, id_and_text, share
 
 MARK = "▁"
-UNKNOWN_SCORE = -100_000.0  # of one byte piece; below every piece of the vocabulary
+LEAST_SCORE = -50_000.0  # pieces that the file gives a placeholder score below this count as this
+BYTE_SCORE = -100_000.0  # of one byte piece
+PIECE_COST = 2.0**-16  # beside its score, so that of equal sums the one with fewer pieces wins
 
 
 @dataclass
@@ -50,7 +54,7 @@ class Vocabulary:
 
 
 class Automaton:
-    """Trie of the pieces with failure links and, per state, the chain of pieces that end there."""
+    """Trie of the pieces with failure links; per state the pieces that end there, along the output links."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.next: list[dict[str, int]] = [{}]
@@ -62,7 +66,7 @@ class Automaton:
                 if state == len(self.next):
                     self.next.append({})
                     self.piece.append(None)
-            self.piece[state] = (len(text), i, score)
+            self.piece[state] = (len(text), i, max(score, LEAST_SCORE) - PIECE_COST)
         self.fail = [0] * len(self.next)
         self.output = [0] * len(self.next)  # nearest state on the failure path that spells a piece
         queue = list(self.next[0].values())
@@ -75,71 +79,108 @@ class Automaton:
                 to = self.next[back].get(c, 0)
                 self.fail[child] = to
                 self.output[child] = to if self.piece[to] else self.output[to]
+        self.ending: dict[int, list] = {0: []}  # filled as states are met
+        self.moves: list[dict[str, int]] = [dict(d) for d in self.next]  # with moves over failure links as met
+
+    def follow(self, state: int, c: str) -> int:
+        back = state
+        while back and c not in self.next[back]:
+            back = self.fail[back]
+        to = self.moves[state][c] = self.next[back].get(c, 0)
+        return to
+
+    def pieces_at(self, state: int) -> list[tuple[int, int, float]]:
+        """Pieces that end in a state, longest first."""
+        found, out = [], state if self.piece[state] else self.output[state]
+        while out:
+            found.append(self.piece[out])
+            out = self.output[out]
+        self.ending[state] = found
+        return found
 
     def best(self, text: str, bytes_first: int) -> list[int]:
         """Piece ids of the best split of `text`, in which marks are already in place."""
-        nxt, fail, output, piece = self.next, self.fail, self.output, self.piece
-        score, count, came = [0.0], [0], [(0, -1)]
-        state = 0
-        for end, c in enumerate(text, 1):
-            while state and c not in nxt[state]:
-                state = fail[state]
-            state = nxt[state].get(c, 0)
-            n = len(c.encode("utf-8", "surrogatepass"))
-            top, fewest, by = score[end - 1] + UNKNOWN_SCORE * n, count[end - 1] + n, (end - 1, -1)
-            out = state if piece[state] else output[state]
-            while out:
-                length, i, s = piece[out]
-                s += score[end - length]
-                k = count[end - length] + 1
-                if s > top or s == top and k < fewest:
-                    top, fewest, by = s, k, (end - length, i)
-                out = output[out]
+        moves, ending = self.moves, self.ending
+        score, came, state, end = [0.0], [None], 0, 0
+        for c in text:
+            end += 1
+            try:
+                state = moves[state][c]
+            except KeyError:
+                state = self.follow(state, c)
+            found = ending.get(state)
+            if found is None:
+                found = self.pieces_at(state)
+            top, by = -math.inf, None
+            for piece in found:
+                s = score[end - piece[0]] + piece[2]
+                if s > top:
+                    top, by = s, piece
+            if by is None:  # no piece ends here
+                top = score[-1] + (BYTE_SCORE - PIECE_COST) * len(c.encode("utf-8", "surrogatepass"))
             score.append(top)
-            count.append(fewest)
             came.append(by)
-        ids, end = [], len(text)
+        ids: list[int] = []
         while end:
-            start, i = came[end]
-            if i >= 0:
-                ids.append(i)
+            by = came[end]
+            if by:
+                ids.append(by[1])
+                end -= by[0]
             else:
-                ids.extend(bytes_first + b for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
-            end = start
+                end -= 1
+                ids.extend(bytes_first + b for b in reversed(text[end].encode("utf-8", "surrogatepass")))
         return ids[::-1]
 
 
-_WORDS = re.compile(r" *[^ \n]+| +|\n")
+_WORDS = re.compile(r" *[^ ]+| +")
 
 
 def encoder(vocabulary: Vocabulary):
-    """`encode(text) -> bytes` of little-endian i32 ids. Words met before come from a cache."""
-    automaton = Automaton(vocabulary)
-    lone_newline = not any("\n" in p for p in vocabulary.pieces)
-    splits = vocabulary.breaks_at_marks() and lone_newline
-    known: dict[str, bytes] = {}
+    """`encode(text) -> bytes` of little-endian i32 ids. Words met before come from a cache.
+
+    No piece holds a mark after another character (checked), nor two characters that never stand side by side in a
+    piece, so a text falls apart at such places without changing its best split.
+    """
+    automaton, first = Automaton(vocabulary), vocabulary.bytes_first
+    splits = vocabulary.breaks_at_marks()
+    pairs = {p[k : k + 2] for p in vocabulary.pieces for k in range(len(p) - 1)}
+    known: dict[str, bytes] = {}  # by word with the space before it
+    after: dict[str, bytes] = {}  # by word, for words with one space before them
+
+    def best(text: str) -> bytes:
+        ids = automaton.best(text.replace(" ", MARK), first)
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def ids_of(word: str) -> bytes:
-        ids: list[int] = []
-        for k, part in enumerate(word.split(MARK)):
-            if k:  # a mark of the text itself
-                ids.extend(vocabulary.bytes_first + b for b in MARK.encode())
-            ids.extend(automaton.best(part.replace(" ", MARK), vocabulary.bytes_first))
-        return np.array(ids, "<i4").tobytes()
+        if MARK in word:  # a mark of the text itself
+            return struct.pack("<3i", *(first + b for b in MARK.encode())).join(map(best, word.split(MARK)))
+        end = len(word)
+        while end and not word[end - 1].isalnum():
+            end -= 1
+        if 0 < end < len(word) and word[end - 1 : end + 1] not in pairs:
+            return cached(word[:end]) + cached(word[end:])
+        return best(word)
+
+    def cached(word: str) -> bytes:
+        ids = known.get(word)
+        if ids is None:
+            ids = known[word] = ids_of(word)
+        return ids
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        text = " " + text
-        words = _WORDS.findall(text) if splits else [text]
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > MAX_WORDS:
-                known.clear()
-            for word in set(words).difference(known):
-                known[word] = ids_of(word)
-            return b"".join(map(known.__getitem__, words))
+        if len(known) + len(after) > MAX_WORDS:
+            known.clear()
+            after.clear()
+        if not splits:
+            return ids_of(" " + text)
+        if text[0] == " " or text[-1] == " " or "  " in text:
+            return b"".join(map(cached, _WORDS.findall(" " + text)))
+        words = text.split(" ")
+        for word in set(words).difference(after):
+            after[word] = cached(" " + word)
+        return b"".join(map(after.__getitem__, words))
 
     return encode
 
@@ -161,10 +202,10 @@ def decoder(vocabulary: Vocabulary):
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, ids (array of int), n_pieces. Null and empty texts have no ids; rows keep their number."""
     spark = docs.sparkSession
-    shared = share(spark, Vocabulary.load(model_path))  # a vocabulary file, 32,000 pieces
+    shared = share(spark, Vocabulary.load(model_path), encoder)  # a vocabulary file, 32,000 pieces
 
     def run(batches):
-        encode = encoder(shared())
+        encode = shared()
         for batch in batches:
             data = [encode(t.as_py() or "") for t in batch.column(1)]
             sizes = np.array([len(d) // 4 for d in data], np.int64)
@@ -180,10 +221,10 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: doc_id, text. Null ids decode to null, no ids to the empty text."""
-    shared = share(encoded.sparkSession, Vocabulary.load(model_path))
+    shared = share(encoded.sparkSession, Vocabulary.load(model_path), decoder)
 
     def run(batches):
-        decode = decoder(shared())
+        decode = shared()
         for batch in batches:
             texts = [None if not x.is_valid else decode(x.values.to_numpy(zero_copy_only=False).tolist())
                      for x in batch.column(1)]
@@ -196,10 +237,10 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
 
 def checked_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_pieces, ids, same (whether decoding gives back the text; null counts as empty)."""
-    shared = share(docs.sparkSession, Vocabulary.load(model_path))
+    shared = share(docs.sparkSession, Vocabulary.load(model_path), lambda v: (encoder(v), decoder(v)))
 
     def run(batches):
-        encode, decode = encoder(shared()), decoder(shared())
+        encode, decode = shared()
         for batch in batches:
             data, same = [], []
             for value in batch.column(1):

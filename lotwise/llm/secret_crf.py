@@ -38,6 +38,7 @@ ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
     r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")  # one of them is in every match
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # greedy runs of 24 and more
 TRIGGERS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "bearer", "auth", "credential")
@@ -45,7 +46,9 @@ TRIGGERS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key",
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    low, found = text.lower(), []
+    if any(w in low for w in ASSIGN_WORDS):
+        found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -56,7 +59,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 _CLASSES = [(re.compile(p), c) for p, c in ((r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[0-9]+", "0"), (r"[^\x00-\x7f]+", "u"))]
-_PLAIN = re.compile(r"[A-Z]?[a-zÀ-ɏ]*[.,;!?]*")
+_PLAIN = re.compile(r"(?:[A-Z]?[a-zÀ-ɏ]*|[A-ZÀ-ɏ]*)[^\w\s=:]*")  # a word with punctuation after it
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _DIGIT = re.compile("[0-9]")
 _TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
@@ -352,10 +355,10 @@ def span_finder(field: SecretField):
 
 def scan_secrets(docs: DataFrame, field: SecretField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf. Null texts count as empty."""
-    shared = share(docs.sparkSession, field)  # FEATURES x 3 floats
+    shared = share(docs.sparkSession, field, span_finder)  # FEATURES x 3 floats
 
     def run(batches):
-        find = span_finder(shared())
+        find = shared()
         for batch in batches:
             out = []
             for value in batch.column(1):
@@ -388,12 +391,12 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
 def redact_secrets(docs: DataFrame, field: SecretField, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns of `docs` with secrets replaced in the text; `length_col`, if given and present, follows
     the new text where the text changed. Null texts stay null."""
-    shared = share(docs.sparkSession, field)
+    shared = share(docs.sparkSession, field, span_finder)
     place = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
-        find = span_finder(shared())
+        find = shared()
         for batch in batches:
             texts, columns, changed = [], list(batch.columns), {}
             for k, value in enumerate(batch.column(place)):

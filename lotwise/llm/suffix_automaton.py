@@ -175,7 +175,7 @@ def load_items(items: DataFrame, id_col: str, text_col: str):
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"{size} bytes of item texts; pass the items in parts of at most {MAX_ITEM_BYTES}")
     found = [(r["item"], words_of(r["text"])) for r in rows.orderBy("item", "text").collect()]
-    return share(items.sparkSession, found)
+    return share(items.sparkSession, found, scanner)
 
 
 def scanner(items: list):
@@ -206,7 +206,7 @@ def find_contamination(
     shared = load_items(items, item_id, item_text)
 
     def run(batches):
-        scan = scanner(shared())
+        scan = shared()
         for batch in batches:
             out = []
             for value in batch.column(1):
@@ -245,7 +245,7 @@ def decontaminate(
     place = docs.columns.index(text_col)
 
     def run(batches):
-        scan = scanner(shared())
+        scan = shared()
         for batch in batches:
             texts = [v.as_py() for v in batch.column(place)]
             hits = [scan(words_of(t))[0] for t in texts]
