@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from lotwise.llm.common import MAX_WORDS, filter_rows, id_and_text, share
 
 BUCKETS = 1 << 14  # n-gram hash buckets
+WORDS_AT_ONCE = 100_000  # different words whose n-grams are counted together in training
 MAX_BITS = 63  # codeword length; fewer languages than 7 take every split there is
 SMOOTHING = 0.5
 EVIDENCE = 40  # words beyond which more of the same share of votes makes a text no surer
@@ -163,7 +164,7 @@ def train_language_codes(labelled: DataFrame, text_col: str = "text", lang_col:
                 held -= len(counter)
                 counter.update(text.as_py().split())
                 held += len(counter)
-                if held > MAX_WORDS:
+                if held > WORDS_AT_ONCE:
                     flush()
                     held = 0
         flush()
