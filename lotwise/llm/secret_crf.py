@@ -305,7 +305,14 @@ def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     windows = []
     for kind in ("secret", "odd", "any"):
-        rows = drawn.where(F.col("kind") == kind).orderBy("key", "tokens", "labels").limit(SAMPLE_WINDOWS).collect()
+        kept = drawn.where(F.col("kind") == kind)
+        n = kept.count()
+        if not n:
+            continue
+        # a bound on the wanted keys first, so that no task sends more than its part of the sample
+        share_kept = min(1.0, 1.2 * SAMPLE_WINDOWS / n)
+        bound = kept.agg(F.percentile_approx("key", share_kept, 100_000)).first()[0]
+        rows = kept.where(F.col("key") <= bound).orderBy("key", "tokens", "labels").limit(SAMPLE_WINDOWS).collect()
         windows += [
             ([window_features(r["tokens"], t, r["about"]) for t in range(len(r["tokens"]))], r["labels"]) for r in rows
         ]
