@@ -140,7 +140,10 @@ def kd_shards(
     key = ["size", "text_crc32", *extra]
     groups = cut_lineage(rows.groupBy(*key).agg(F.count("*").alias("n")), "groups")
     pieces = cut_nodes(groups, list(dims), shards)
-    homes = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("lo", "n", "shard"))).alias("homes"))
+    # written first, so that a frequent text's rows can be split among tasks of the join
+    homes = cut_lineage(
+        pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("lo", "n", "shard"))).alias("homes")), "pieces"
+    )
     placed = cut_lineage(rows.join(homes, key), "homes")
     whole = placed.where(F.size("homes") == 1).withColumn("shard", F.col("homes")[0]["shard"])
     cut = numbered(placed.where(F.size("homes") > 1), key, ["doc_id"], None, "rank")  # at most one group per cut
