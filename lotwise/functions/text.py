@@ -45,10 +45,10 @@ def money_label(amount: Column) -> Column:
     return F.concat(F.lit("R$ "), F.format_number(amount, 2))
 
 
-def geocode_key(street: Column, area: Column, *suffix: str) -> Column:
-    """Address key; null as soon as one part is null."""
-    tail = F.lit("".join(", " + s for s in suffix))
-    return F.concat(strip(street), F.lit(", "), strip(area), tail)
+def geocode_key(street: Column, area: Column, *suffix: str | Column) -> Column:
+    """Address key; null as soon as one part is null. Parts that are columns are trimmed, texts are fixed."""
+    tail = [x for s in suffix for x in (F.lit(", "), F.lit(s) if isinstance(s, str) else strip(s))]
+    return F.concat(strip(street), F.lit(", "), strip(area), *tail)
 
 
 def short_key(part: Column, *suffix: str, trimmed: bool = True) -> Column:
@@ -71,5 +71,6 @@ def collected_text(ts: Column) -> Column:
 
 
 def title(text: Column) -> Column:
-    """First letter of every word in upper case, the rest in lower case."""
-    return F.initcap(text)
+    """First letter of every run of letters in upper case, the others in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")

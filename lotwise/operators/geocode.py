@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.functions.text import geocode_key, short_key
 from lotwise.operators.dedup import keep_first
-from lotwise.operators.joins import is_small, lookup_join
+from lotwise.operators.joins import lookup_join
 
 
 def _from_cache(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """Left join to a cache; its raw row count decides on the broadcast."""
-    return lookup_join(df, one_per_key(cache, key), [key], small=is_small(cache))
+    """Left join to a cache that may hold a key more than once."""
+    return lookup_join(df, one_per_key(cache, key), [key], written=False)
 
 
 def one_per_key(cache: DataFrame, key: str) -> DataFrame:
@@ -96,4 +96,4 @@ def lookup_status(df: DataFrame, key: str, cache: DataFrame, cache_key: str = "e
         .when(F.col("_known"), F.lit("nao_encontrado"))
         .otherwise(F.lit("erro"))
     )
-    return lookup_join(df, known, [key], small=is_small(cache)).withColumn("status", status).drop("_lat", "_known")
+    return lookup_join(df, known, [key], written=False).withColumn("status", status).drop("_lat", "_known")

@@ -1,53 +1,20 @@
-"""Joins against lookup tables whose size is measured, with hot keys kept apart."""
+"""Joins against lookup tables that hold each key once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-HOT_SHARE = 0.01
+from lotwise.session import cut_lineage
 
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """True when the frame has at most `rows` rows; a distributed count, footers only for a plain table."""
-    return df.count() <= (BROADCAST_ROWS if rows is None else rows)
-
-
-def lookup_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    how: str = "left",
-    broadcast_rows: int | None = None,
-    small: bool | None = None,
-    hot: DataFrame | None = None,
-) -> DataFrame:
+def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", written: bool = True) -> DataFrame:
     """Left or inner join to a table that holds each key once.
 
-    A lookup of proven size is broadcast. A larger one is shuffled, but keys that hold more
-    than HOT_SHARE of the left rows, and null keys, never enter that shuffle: there are at
-    most 1/HOT_SHARE such keys, so their lookup rows are broadcast and the left rows stay put.
-    `small` and `hot` take what the caller has measured already.
+    One plan that reads the left side once, at any size: adaptive execution broadcasts the lookup where its measured
+    bytes allow it, and splits the left rows of a frequent key, or of null, among tasks where they do not. For the
+    latter both sides must come straight from a shuffle, so a computed lookup (`written=False`) is written first.
     """
-    if small is None:
-        small = is_small(lookup, broadcast_rows)
-    if small:
-        return left.join(F.broadcast(lookup), on, how)
-    hot = hot_keys(left, on) if hot is None else hot
-    no_key = F.greatest(*[F.col(k).isNull() for k in on]) if len(on) > 1 else F.col(on[0]).isNull()
-    flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    apart = F.coalesce(F.col("_hot"), F.lit(False)) | no_key
-    hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    near = flagged.where(apart).drop("_hot").join(F.broadcast(hot_lookup), on, how)
-    far = flagged.where(~apart).drop("_hot").join(lookup, on, how)
-    return near.unionByName(far)
-
-
-def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than a share of all rows; at most 1/share of them exist."""
-    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t"))
-    return counts.where(F.col("_n") > F.lit(share) * total.scalar()).select(*on)
+    return left.join(lookup if written else cut_lineage(lookup, "lookup"), on, how)
 
 
 def pending_keys(df: DataFrame, key: str, cache: DataFrame, cache_key: str | None = None) -> DataFrame:

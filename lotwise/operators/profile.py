@@ -91,8 +91,8 @@ def group_stats(df: DataFrame, key: str, value: str, min_rows: int = 30) -> Data
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Counts of `bins` equal-width bins over [min, max]; the last bin is closed."""
-    x = F.col(col).cast("double")
+    """Counts of `bins` equal-width bins over [min, max]; the last bin is closed. NaN counts as null."""
+    x = nan_to_null(F.col(col).cast("double"))
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     place = F.coalesce(F.try_divide((x - lo) * bins, hi - lo), F.lit(0.0))
@@ -114,7 +114,7 @@ def kernel_density(df: DataFrame, col: str, points: int = 200, cut: float = 3.0)
     Equal values are counted first; the grid is laid out per value inside the task and summed
     there, so only grid points are shuffled.
     """
-    x = F.col(col).cast("double")
+    x = nan_to_null(F.col(col).cast("double"))
     s = (
         df.where(x.isNotNull())
         .agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"))
@@ -138,9 +138,10 @@ def kernel_density(df: DataFrame, col: str, points: int = 200, cut: float = 3.0)
 
 def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles and whiskers per group: the outermost values inside the 1.5 IQR fences."""
+    x = nan_to_null(F.col(value).cast("double"))
     counts = (
-        df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-        .groupBy(key, F.col(value).cast("double").alias("_x"))
+        df.where(F.col(key).isNotNull() & x.isNotNull())
+        .groupBy(key, x.alias("_x"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     q = grouped_quantiles(df.where(F.col(key).isNotNull()), [key], value, [0.25, 0.5, 0.75]).select(
@@ -156,17 +157,22 @@ def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def iqr_fences(df: DataFrame, col: str, factor: float = 1.5) -> dict[str, float]:
-    q1, q3 = collect_quantiles(df, [col], [0.25, 0.75])[col]
+def iqr_fences(df: DataFrame, col: str, factor: float = 1.5) -> dict[str, float | None]:
+    """Quartiles and fences; all None for a column without values."""
+    found = collect_quantiles(df, [col], [0.25, 0.75])
+    if col not in found:
+        return dict.fromkeys(("q1", "q3", "low", "high"))
+    q1, q3 = found[col]
     return {"q1": q1, "q3": q3, "low": q1 - factor * (q3 - q1), "high": q3 + factor * (q3 - q1)}
 
 
 def iqr_outliers(df: DataFrame, col: str, factor: float = 1.5) -> DataFrame:
-    """Rows outside the fences, with the fences beside them."""
+    """Rows outside the fences, with the fences beside them; null and NaN are not outside."""
     f = iqr_fences(df, col, factor)
-    x = F.col(col)
-    return df.where((x < f["low"]) | (x > f["high"])).withColumns(
-        {"fence_low": F.lit(f["low"]), "fence_high": F.lit(f["high"])}
+    x = nan_to_null(F.col(col).cast("double"))
+    low, high = (F.lit(f[k]).cast("double") for k in ("low", "high"))
+    return df.where((x < low) | (x > high)).withColumns(
+        {"fence_low": low, "fence_high": high}
     )
 
 

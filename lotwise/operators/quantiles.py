@@ -11,12 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lotwise.functions.numeric import nan_to_null
-from lotwise.operators.joins import HOT_SHARE, lookup_join
+from lotwise.operators.joins import lookup_join
 from lotwise.session import cut_lineage
 
 ACCURACY = 100_000
-# Up to this many values in all columns together the built-in exact aggregate is used.
-EXACT_CELLS = 500_000
 
 
 def melt(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -115,12 +113,10 @@ def collect_profile(
     probs: list[float],
     measures: dict | None = None,
     accuracy: int = ACCURACY,
-    exact_cells: int = EXACT_CELLS,
 ) -> dict[str, dict]:
     """Whole-column figures {column: {measure: value, ..., "q": [one per probability]}}.
 
-    The first pass takes all measures, counts and sketches. A table of proven small size is
-    then answered by the exact aggregate; any other by counting around the sketched brackets.
+    The first pass takes all measures, counts and sketches, the second counts around the sketched brackets.
     Without values a column's "q" is None.
     """
     measures = measures or {}
@@ -133,7 +129,7 @@ def collect_profile(
         *[f(x).alias(f"{name}{i}") for i, x in enumerate(xs) for name, f in measures.items()],
     ).first()
     found = {c: {name: first[f"{name}{i}"] for name in measures} for i, c in enumerate(cols)}
-    ranks = _second_pass(df, cols, xs, probs, first, exact_cells)
+    ranks = _second_pass(df, cols, xs, probs, first)
     return {c: {**found[c], "q": ranks.get(c)} for c in cols}
 
 
@@ -142,20 +138,16 @@ def collect_quantiles(
     cols: list[str],
     probs: list[float],
     accuracy: int = ACCURACY,
-    exact_cells: int = EXACT_CELLS,
 ) -> dict[str, list[float]]:
     """Quantiles of whole columns as {column: [one per probability]}; empty columns are absent."""
-    found = collect_profile(df, cols, probs, None, accuracy, exact_cells)
+    found = collect_profile(df, cols, probs, None, accuracy)
     return {c: v["q"] for c, v in found.items() if v["q"] is not None}
 
 
-def _second_pass(df: DataFrame, cols: list[str], xs: list[Column], probs, first, exact_cells: int) -> dict:
+def _second_pass(df: DataFrame, cols: list[str], xs: list[Column], probs, first) -> dict:
     counts = [first[f"_n{i}"] for i in range(len(cols))]
-    if sum(counts) <= exact_cells:
-        exact = df.agg(
-            *[F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i, x in enumerate(xs)]
-        ).first()
-        return {c: list(exact[f"q{i}"]) for i, c in enumerate(cols) if counts[i]}
+    if not any(counts):
+        return {}
     k = len(probs)
     names = [f"_{side}{j}" for side in ("lo", "hi") for j in range(k)]
     ends = [(i, counts[i], *first[f"_b{i}"]) for i in range(len(cols)) if counts[i]]
@@ -175,13 +167,8 @@ def _second_pass(df: DataFrame, cols: list[str], xs: list[Column], probs, first,
 
 
 def beside_groups(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Rows with their group's figures. `stats` is a written table with the group size `n`.
-
-    Few groups are broadcast; of many, the hot ones are, so no group is gathered in one task.
-    """
-    total = stats.agg(F.sum("n").alias("t"))
-    hot = stats.where(F.col("n") > F.lit(HOT_SHARE) * total.scalar()).select(*keys)
-    return lookup_join(rows, stats, keys, how, hot=hot)
+    """Rows with their group's figures; `stats` is a written table of one row per group."""
+    return lookup_join(rows, stats, keys, how)
 
 
 def _most_frequent(counts: DataFrame, key: str) -> DataFrame:

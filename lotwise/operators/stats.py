@@ -222,8 +222,10 @@ def shapiro_wilk(values: list[float]) -> tuple[float, float]:
 
 def normality(df: DataFrame, col: str, keys: list[str], sample: int = 5000, seed: int = 42) -> DataFrame:
     """W test on a reproducible sample of at most 5,000 rows, beside the whole-table moments test."""
+    if sample > 5000:
+        raise ValueError("the W test is defined for at most 5,000 values")
     rows = df.where(F.col(col).isNotNull())
-    picked = [r[col] for r in stable_sample(rows.select(*keys, col), keys, min(sample, 5000), seed).collect()]
+    picked = [r[col] for r in stable_sample(rows.select(*keys, col), keys, sample, seed).collect()]
     w, p = shapiro_wilk(picked)
     whole = jarque_bera(rows, col).select("n", "skew", "kurtosis", "jarque_bera", F.col("p").alias("jb_p"))
     return whole.select(
@@ -240,7 +242,7 @@ def _neighbour_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(e):
             continue
         if first is None:
-            start, first = float(pdf["_o"].iloc[0]), float(e[0])
+            start, first = pdf["_o"].iloc[0], float(e[0])
         else:
             steps += (e[0] - last) ** 2
         steps += float((np.diff(e) ** 2).sum())
@@ -257,9 +259,10 @@ def durbin_watson(df: DataFrame, residual: str, order: str) -> DataFrame:
     read once as a stream of batches, and the ends of adjoining partitions (one row each) are
     compared afterwards.
     """
-    rows = df.select(F.col(order).cast("double").alias("_o"), F.col(residual).alias("_e")).dropna()
+    rows = df.select(F.col(order).alias("_o"), F.col(residual).cast("double").alias("_e")).dropna()
+    kind = dict(rows.dtypes)["_o"]
     parts = rows.repartitionByRange("_o").sortWithinPartitions("_o").mapInPandas(
-        _neighbour_steps, "start double, first double, last double, steps double, squares double"
+        _neighbour_steps, f"start {kind}, first double, last double, steps double, squares double"
     )
     seam = F.col("first") - F.lag("last").over(W.orderBy("start"))
     parts = parts.withColumn("seam", F.coalesce(seam * seam, F.lit(0.0)))

@@ -6,9 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from lotwise.functions.scores import RADII, with_scores
+from lotwise.functions.text import geocode_key
 from lotwise.operators.filters import minimum_address
 from lotwise.operators.geocode import lookup_status, one_per_key
-from lotwise.operators.joins import is_small, lookup_join
+from lotwise.operators.joins import lookup_join
 from lotwise.operators.spatial import poi_features
 from lotwise.plans.score import score
 from lotwise.sources.predictions import append_predictions, prediction_rows
@@ -17,8 +18,9 @@ COUNTRY = "Brasil"
 
 
 def with_status(new: DataFrame, cache: DataFrame) -> DataFrame:
-    """Adds the address key and `status`: sem_endereco, sucesso, nao_encontrado or erro."""
-    key = F.concat_ws(", ", "rua", "bairro", "cidade", "estado", F.lit(COUNTRY))
+    """Adds the address key, as the batch path builds it, and `status`: sem_endereco (no street, neighbourhood, city or
+    state), sucesso, nao_encontrado or erro."""
+    key = geocode_key(F.col("rua"), F.col("bairro"), F.col("cidade"), F.col("estado"), COUNTRY)
     keyed = new.withColumn("endereco_geo", F.when(minimum_address(), key))
     found = lookup_status(keyed, "endereco_geo", cache)
     return found.withColumn("status", F.when(F.col("endereco_geo").isNull(), F.lit("sem_endereco")).otherwise(F.col("status")))
@@ -36,7 +38,7 @@ def price_new_listings(
     """(priced rows, rows without coordinates and their status); priced rows are appended to `table`."""
     checked = with_status(new, cache)
     places = one_per_key(cache, "endereco_geo")
-    good = lookup_join(checked.where("status = 'sucesso'"), places, ["endereco_geo"], small=is_small(cache))
+    good = lookup_join(checked.where("status = 'sucesso'"), places, ["endereco_geo"], written=False)
     featured = with_scores(poi_features(good, poi, RADII)).drop("score_educacao")
     priced = score(model, featured, missing="zero", model_name=model_name, version=version)
     if table is not None:

@@ -10,7 +10,7 @@ from lotwise.queries.base import query, r, table
 from lotwise.session import shared_folder
 from lotwise.sources import files, html, runs
 from lotwise.sources.predictions import append_predictions, prediction_rows, read_predictions
-from lotwise.streaming.landing import once_per_key, run_to_table
+from lotwise.streaming.landing import land_once
 from lotwise.streaming.scoring import score_stream
 
 _LINKS = r"""regexp_extract_all(html, '(?s)<a\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1)"""
@@ -196,10 +196,7 @@ def run_registry(spark, sf):
     numbered = runs.versions(
         log.select(F.col("experiment").alias("name"), "run_id", F.col("start_time").alias("created_at"))
     )
-    newest = None
-    for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
-        one = runs.latest_run(log, p).select("experiment", "run_id", F.lit(True).alias("latest"))
-        newest = one if newest is None else newest.unionByName(one)
+    newest = runs.latest_runs(log).withColumn("latest", F.lit(True))
     return (
         log.join(numbered.withColumnRenamed("name", "experiment"), ["experiment", "run_id"])
         .join(newest, ["experiment", "run_id"], "left")
@@ -239,11 +236,9 @@ def _event_stream(spark, sf) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf):
-    stream = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _event_stream(spark, sf)
     folder = shared_folder(spark, "stream-dedup")
-    # The watermark spans the whole table, so each key appears once in all of it.
-    once = once_per_key(stream, ["user_id", "event_type"], "ts", "365 days")
-    run_to_table(once.select("user_id", "event_type"), f"{folder}/table", f"{folder}/state")
+    land_once(stream, ["user_id", "event_type"], f"{folder}/table", f"{folder}/state")
     return spark.read.parquet(f"{folder}/table").select("user_id", "event_type")
 
 

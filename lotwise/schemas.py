@@ -63,7 +63,7 @@ POI_RESPONSE = T.StructType(
 )
 
 PREDICTIONS = _struct(
-    "id long,area_m2 double,bairro string,banheiros int,quartos int,vagas_garagem int,"
+    "id string,area_m2 double,bairro string,banheiros int,quartos int,vagas_garagem int,"
     "score_escola_privada double,score_escola_publica double,score_farmacia double,"
     "score_hospitais double,score_mercado double,score_parque double,score_seguranca double,"
     "preco_predito double,modelo string,versao_modelo string,cidade string,created_at timestamp"

@@ -17,8 +17,8 @@ STREET_MARK = "rp-cardProperty-street-txt"
 DEFAULT_PAGE_COUNT = 10
 
 _BREAK = "\u0001"
-# Named characters of Latin-1 and XML.
-_ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items()) if c < 256} | {"apos": "'"}
+# Named characters of HTML and XML.
+_ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
 
 
 def decode_entities(text: Column) -> Column:

@@ -10,11 +10,11 @@ from lotwise.schemas import PREDICTIONS
 def prediction_rows(scored: DataFrame, model: str, version: str, price: str = "preco_estimado") -> DataFrame:
     """Scored listings in the layout of the prediction table.
 
-    The id is unique without a counter shared between tasks: a hash of the row's uuid.
+    The id is a uuid, unique without a counter shared between tasks.
     """
     stamped = scored.withColumns(
         {
-            "id": F.abs(F.xxhash64(F.uuid())),
+            "id": F.uuid(),
             "preco_predito": F.col(price),
             "modelo": F.lit(model),
             "versao_modelo": F.lit(version),
@@ -31,9 +31,10 @@ def prediction_rows(scored: DataFrame, model: str, version: str, price: str = "p
 
 
 def append_predictions(rows: DataFrame, folder: str) -> None:
-    """Append, one folder per day. The city is required."""
+    """Append, one folder per day. The city is required: a row without one fails the whole append."""
+    missing = F.raise_error(F.lit("a prediction has no city")).cast("string")
     (
-        rows.where(F.col("cidade").isNotNull())
+        rows.withColumn("cidade", F.coalesce("cidade", missing))
         .withColumn("dia", F.to_date("created_at"))
         .write.mode("append")
         .partitionBy("dia")

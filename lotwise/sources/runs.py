@@ -43,6 +43,11 @@ def latest_run(runs: DataFrame, experiment: str) -> DataFrame:
     return runs.where(F.col("experiment") == experiment).orderBy(F.desc("start_time"), F.desc("run_id")).limit(1)
 
 
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """(experiment, run_id) of every experiment's latest run, by one aggregate."""
+    return runs.groupBy("experiment").agg(F.max_by("run_id", F.struct("start_time", "run_id")).alias("run_id"))
+
+
 def register(spark: SparkSession, folder: str, name: str, run_id: str, source: str) -> None:
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     row = (name, run_id, now, source)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotwise.functions.text import collected_at
 from lotwise.schemas import RAW_LISTINGS
@@ -21,19 +23,21 @@ def listing_stream(spark: SparkSession, folder: str, glob: str = "*_pagina*.csv"
     )
 
 
-def once_per_key(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
-    """First arrival of each key; state for a key is dropped once the watermark passes it."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def land_once(stream: DataFrame, keys: list[str], table: str, checkpoint: str) -> None:
+    """Append rows whose keys the landed table does not hold yet, then stop; late rows land like any other.
 
+    What has landed is the state, so nothing is forgotten. Each micro-batch writes its own folder `batch=<number>` and
+    compares with earlier ones, so a repeated batch replaces itself. Null keys count as one key.
+    """
 
-def run_to_table(stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Process what is there and stop; a restart goes on after the last finished batch."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    def land(rows: DataFrame, number: int) -> None:
+        first = rows.dropDuplicates(keys)
+        if number:
+            known = rows.sparkSession.read.parquet(table).where(F.col("batch") < number)
+            known = known.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).distinct()
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+            first = first.join(known, same, "left_anti")
+        first.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -83,7 +83,9 @@ def test_comparison_saves_its_best(spark):
     board = models.ModelComparison(rows, "y", ["a", "b"], ["id"]).prepare().fit_all(
         {"linear": models.linear, "ridge": lambda d, t: models.ridge(d, t, 50.0)}
     )
-    assert board.best()[0] == "linear" and board.report().first()["model"] == "linear"
-    path = board.save_best(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    assert board.report().first()["model"] == "linear"
+    path = board.keep_winner(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "run1")
+    board.close()
+    assert path.endswith("/run1")
     again = PipelineModel.load(path).transform(rows)
     assert again.where(F.abs(F.col("prediction") - F.col("y")) > 1e-6).count() == 0

@@ -5,8 +5,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lotwise.operators import joins
-from lotwise.operators.profile import boxplot, describe, detailed_statistics, histogram, value_counts
+
+from lotwise.operators.profile import (
+    boxplot, describe, detailed_statistics, histogram, iqr_fences, iqr_outliers, value_counts,
+)
 from lotwise.operators.quantiles import collect_quantiles, column_modes, grouped_quantiles, text_modes
 
 PROBS = [0.5, 0.01, 0.25, 0.99, 0.75, 1.0, 0.0]
@@ -16,7 +18,7 @@ PROBS = [0.5, 0.01, 0.25, 0.99, 0.75, 1.0, 0.0]
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60))
 def test_counting_path_equals_numpy(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = collect_quantiles(df, ["x"], PROBS, exact_cells=0)["x"]
+    got = collect_quantiles(df, ["x"], PROBS)["x"]
     assert np.allclose(got, np.quantile(values, PROBS), rtol=1e-12, atol=1e-9)
 
 
@@ -28,15 +30,16 @@ def test_counting_path_on_many_rows(spark, accuracy):
         F.when(F.col("id") % 5 != 0, F.col("id").cast("double")).alias("y"),
     )
     pdf = df.toPandas()
-    got = collect_quantiles(df, ["x", "y"], PROBS, accuracy=accuracy, exact_cells=0)
+    got = collect_quantiles(df, ["x", "y"], PROBS, accuracy=accuracy)
     for c in ("x", "y"):
         assert np.allclose(got[c], pdf[c].quantile(PROBS), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
-def test_grouped_with_hot_group(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_grouped_with_hot_group(spark, request, limit):
     """Group figures broadcast, and attached with only the hot groups broadcast."""
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     df = spark.range(60_000).select(
         F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
         (F.col("id") * 104729 % 9973).cast("double").alias("x"),
@@ -73,10 +76,21 @@ def test_shares_sum_to_one_and_bins_hold_all(spark):
     assert list(h["n"]) == list(np.histogram(np.sqrt(np.arange(1000)), bins=20)[0])
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
-def test_repartitioning_does_not_change_results(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_repartitioning_does_not_change_results(spark, request, limit):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     df = spark.range(5000).select((F.col("id") % 11).alias("g"), (F.col("id") * 31 % 997).cast("double").alias("x"))
     a = boxplot(df.repartition(7), "g", "x").toPandas().sort_values("g").reset_index(drop=True)
     b = boxplot(df.coalesce(1), "g", "x").toPandas().sort_values("g").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_nan_and_empty_columns(spark):
+    values = [1.0, 2.0, 3.0, 4.0, 100.0, float("nan"), None]
+    df = spark.createDataFrame([("g", v, None) for v in values], "g string, x double, y double")
+    assert [r["x"] for r in iqr_outliers(df, "x").collect()] == [100.0]
+    assert iqr_outliers(df, "y").collect() == [] and set(iqr_fences(df, "y").values()) == {None}
+    assert [r["n"] for r in histogram(df, "x", 2).orderBy("bin").collect()] == [4, 1]
+    box = boxplot(df, "g", "x").first()
+    assert (box["n"], box["outliers"], box["whisker_high"]) == (5, 1, 4.0)

@@ -150,9 +150,12 @@ def test_runs_and_registry(spark):
 
 def test_predictions_append(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    scored = spark.createDataFrame([("C", 2, 10.5), (None, 1, 1.0)], "cidade string, quartos int, preco_estimado double")
+    scored = spark.createDataFrame([("C", 2, 10.5)], "cidade string, quartos int, preco_estimado double")
     for _ in range(2):
         predictions.append_predictions(predictions.prediction_rows(scored, "m", "1"), folder)
+    lacking = scored.withColumn("cidade", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="no city"):
+        predictions.append_predictions(predictions.prediction_rows(lacking, "m", "1"), folder)
     rows = predictions.read_predictions(spark, folder).collect()
     assert len(rows) == 2 and len({r["id"] for r in rows}) == 2
     assert all(r["cidade"] == "C" and r["preco_predito"] == 10.5 and r["modelo"] == "m" for r in rows)

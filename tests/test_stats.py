@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import joins, stats
+from lotwise.operators import stats
 from lotwise.operators.distributions import f_tail, t_two_sided
 
 
@@ -53,9 +53,10 @@ def test_two_way_with_empty_cell(spark, table, interaction):
         assert got["a:b"]["df"] == 5
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_ROWS, 0])
-def test_one_way_and_levene(spark, table, monkeypatch, limit):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_one_way_and_levene(spark, table, request, limit):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     df = frame(spark, table + [("solo", "p", 3.0)], "a string, b string, y double")
     groups = {}
     for a, _, y in table + [("solo", "p", 3.0)]:
@@ -130,3 +131,15 @@ def test_group_residuals_with_hot_group(spark):
     out = stats.group_residuals(df, "y", "g")
     assert out.count() == 9000
     assert out.groupBy("g").agg(F.abs(F.avg("residual")).alias("m")).agg(F.max("m")).first()[0] < 1e-9
+
+
+def test_durbin_watson_keeps_long_and_text_keys_apart(spark):
+    rows = spark.range(2000).select("id", (F.col("id") + F.lit(1 << 60)).alias("far"), F.sin(F.col("id") / 50).alias("e"))
+    rows = rows.withColumn("word", F.lpad(F.col("id").cast("string"), 6, "0")).repartition(7, F.rand(3))
+    found = [stats.durbin_watson(rows, "e", k).first()[0] for k in ("id", "far", "word")]
+    assert found[0] == pytest.approx(found[1], rel=1e-9) == pytest.approx(found[2], rel=1e-9) and found[0] < 0.01
+
+
+def test_normality_refuses_larger_samples(spark):
+    with pytest.raises(ValueError, match="5,000"):
+        stats.normality(spark.range(10).select("id", F.col("id").cast("double").alias("x")), "x", ["id"], sample=6000)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from lotwise.operators.spatial import poi_features
 from lotwise.schemas import RAW_LISTINGS
-from lotwise.streaming.landing import listing_stream, once_per_key, run_to_table
+from lotwise.streaming.landing import land_once, listing_stream
 from lotwise.streaming.scoring import score_stream
 
 
@@ -22,15 +22,16 @@ def test_stream_landing_keeps_first_and_restarts(spark):
     src, out = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(2))
 
     def run():
-        stream = once_per_key(listing_stream(spark, src), ["link"], "coletado")
-        run_to_table(stream, f"{out}/table", f"{out}/state")
+        land_once(listing_stream(spark, src), ["link"], f"{out}/table", f"{out}/state")
         return sorted(r["link"] for r in spark.read.parquet(f"{out}/table").collect())
 
     write(src, "c_pr_pagina1.csv", [("a", "2026-02-09 08:00:00"), ("b", "2026-02-09 08:00:00"), ("a", "2026-02-09 08:10:00")])
     assert run() == ["a", "b"]
     write(src, "c_pr_pagina2.csv", [("b", "2026-02-09 08:20:00"), ("c", "2026-02-09 08:30:00")])
     assert run() == ["a", "b", "c"]
-    assert run() == ["a", "b", "c"]
+    write(src, "c_pr_pagina3.csv", [("late", "2020-01-01 00:00:00"), ("a", "2026-02-10 08:00:00")])
+    assert run() == ["a", "b", "c", "late"]
+    assert run() == ["a", "b", "c", "late"]
 
 
 def test_stream_scoring_replaces_a_repeated_batch(spark):

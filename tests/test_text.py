@@ -82,3 +82,18 @@ def test_keys_and_pages(spark):
         text.short_key(F.col("r"), "C"), text.page_number(F.lit("x_pr_pagina12.csv")), text.page_number(F.lit("x.csv")),
     ).first()
     assert tuple(row) == ("Rua A, Centro, C, PR", None, "Rua A, C", 12, 0)
+
+
+def test_title_starts_after_any_other_character(spark):
+    from lotwise.functions.text import title
+
+    words = ["ponta-grossa", "SÃO josé d'oeste", "", None, "2a via"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(title(F.col("w"))).collect()] == [w if w is None else w.title() for w in words]
+
+
+def test_all_named_characters(spark):
+    from lotwise.sources.html import decode_entities
+
+    df = spark.createDataFrame([("a &ndash; b &euro; &rsquo; &eacute; &nosuch;",)], "w string")
+    assert df.select(decode_entities(F.col("w"))).first()[0] == "a – b € ’ é &nosuch;"
