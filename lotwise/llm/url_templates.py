@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotwise.session import cut_lineage
+
 # (action, host, path prefix); the longest rule that fits decides.
 RULES = (
     ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
@@ -81,10 +83,13 @@ def template_verdicts(trees: DataFrame) -> DataFrame:
     """
     parts = [f"s{k}" for k in range(1, LEVELS + 1)]
     for level in range(1, LEVELS + 1):
-        trees = generalise(trees, level)
+        trees = cut_lineage(generalise(trees, level), "trees")  # read several times below
     leaf, branch = ["host", *parts, "more"], ["host", "s1"]
     shape = [*parts, "more"]
-    leaves = trees.groupBy(*leaf).agg(F.sum("bad").cast("double").alias("bad"), F.sum("seen").cast("double").alias("seen"))
+    leaves = cut_lineage(
+        trees.groupBy(*leaf).agg(F.sum("bad").cast("double").alias("bad"), F.sum("seen").cast("double").alias("seen")),
+        "leaves",
+    )
     judged = (
         leaves.join(sums(leaves, branch, "branch_bad", "branch_seen"), branch)
         .withColumn("low", similar("bad", "seen", "branch_bad", "branch_seen"))
@@ -98,6 +103,7 @@ def template_verdicts(trees: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("/"), F.concat_ws("/", *[F.when(F.col(p) != ABSENT, F.col(p)) for p in parts]),
                             F.when(F.col("more"), F.lit("/**")).otherwise(F.lit("")))),
     })
+    judged = cut_lineage(judged, "judged")
     pooled = sums(judged, ["host", "template"], "pool_bad", "pool_seen")
     shapes = sums(leaves, shape, "shape_bad", "shape_seen")
     overall = leaves.agg(F.sum("bad").alias("all_bad"), F.sum("seen").alias("all_seen"))
@@ -134,7 +140,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         F.count("*").alias("n"), F.count("action").alias("seen"),
         F.sum(F.when(F.col("action") == "block", 1).otherwise(0)).alias("bad"),
     ).withColumns({f"s{k}": F.col(f"o{k}") for k in range(1, LEVELS + 1)})
-    verdicts = template_verdicts(trees)
+    verdicts = template_verdicts(cut_lineage(trees, "trees"))
     return rows.join(verdicts, ["host", *originals, "more"]).select(
         "page_id", "host", "path", "rule", F.coalesce("action", "method").alias("verdict"), "template", "purity",
     )
