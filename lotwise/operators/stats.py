@@ -89,46 +89,84 @@ def anova_one_way(df: DataFrame, y: str, group: str, p_value: bool = True) -> Da
     return t.select(F.explode(terms).alias("r")).select("r.*")
 
 
-def _additive_sse(n: np.ndarray, mean: np.ndarray) -> tuple[float, int]:
-    """Weighted residual sum of cell means around the additive two-way fit, and its rank.
+MAX_LEVELS = 1000  # levels of the smaller factor of a two-way analysis: its square is what one task holds
 
-    n and mean are level-by-level tables; the larger factor is eliminated, so the system that
-    is solved has the size of the smaller one.
+
+def _overlaps(cells: DataFrame, wide: str, width: int) -> np.ndarray:
+    """Sum over the levels of `wide` of the outer product of their cell counts, divided by the level's count.
+
+    A level has at most `width` cells (column _k numbers them), a task keeps one width x width sum.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for pdf in batches:
+            for ks, ns in zip(pdf["ks"], pdf["ns"]):
+                v = np.zeros(width)
+                v[np.asarray(ks)] = ns
+                total += np.outer(v, v) / v.sum()
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    pairs = cells.select(wide, F.struct("_k", "n").alias("c")).groupBy(wide).agg(F.collect_list("c").alias("c"))
+    parts = pairs.select(F.col("c._k").alias("ks"), F.col("c.n").alias("ns")).mapInPandas(run, "i long, j long, v double")
+    out = np.zeros((width, width))
+    for i, j, v in parts.groupBy("i", "j").agg(F.sum("v")).collect():  # at most width x width rows
+        out[i, j] = v
+    return out
+
+
+def _additive_sse(cells: DataFrame, levels: dict[str, DataFrame], wide: str, narrow: str) -> tuple[float, int]:
+    """Weighted residual sum of cell means around the additive fit, and the rank of its narrow part.
+
+    The wide factor is eliminated level by level, so the system that is solved is as wide as the narrow one.
     """
-    if n.shape[0] < n.shape[1]:
-        n, mean = n.T, mean.T
-    rows = n.sum(axis=1)
-    row_mean = (n * mean).sum(axis=1) / rows
-    schur = np.diag(n.sum(axis=0)) - n.T @ (n / rows[:, None])
-    rhs = (n * mean).sum(axis=0) - n.T @ row_mean
-    beta = np.linalg.pinv(schur, hermitian=True) @ rhs
-    alpha = row_mean - (n @ beta) / rows
-    resid = mean - alpha[:, None] - beta[None, :]
-    rank = n.shape[0] + int(np.linalg.matrix_rank(schur, hermitian=True))
-    return float((n * resid**2).sum()), rank
+    known = [(r[narrow], k, float(r["n"])) for k, r in enumerate(levels[narrow].orderBy(narrow).collect())]
+    if not known:
+        return 0.0, 0
+    kind = cells.schema[narrow].dataType.simpleString()
+    places = cells.sparkSession.createDataFrame([x[:2] for x in known], f"{narrow} {kind}, _k int")
+    around = levels[wide].select(wide, F.col("n").alias("_n"), F.col("mean").alias("_m"))
+    placed = cut_lineage(cells.join(F.broadcast(places), narrow).join(around, wide), "cells")  # MAX_LEVELS rows
+    system = np.diag([x[2] for x in known]) - _overlaps(placed, wide, len(known))
+    right = np.zeros(len(known))
+    for k, v in placed.groupBy("_k").agg(F.sum(F.col("n") * (F.col("mean") - F.col("_m")))).collect():
+        right[k] = v
+    beta = np.linalg.pinv(system, hermitian=True) @ right
+    effects = cells.sparkSession.createDataFrame(list(enumerate(beta.tolist())), "_k int, _beta double")
+    rest = placed.join(F.broadcast(effects), "_k").withColumn("_e", F.col("mean") - F.col("_m") - F.col("_beta"))
+    own = rest.groupBy(wide).agg((F.sum(F.col("n") * F.col("_e")) / F.sum("n")).alias("_own"))
+    gap = F.col("_e") - F.col("_own")
+    spread = rest.join(own, wide).agg(F.sum(F.col("n") * gap * gap)).first()[0]
+    return float(spread), int(np.linalg.matrix_rank(system, hermitian=True))
 
 
 def anova_two_way(df: DataFrame, y: str, a: str, b: str, interaction: bool = False) -> DataFrame:
     """Type II sums of squares from the cell counts and means; empty cells are allowed.
 
-    Only one row per combination of levels leaves the cluster.
+    Cells stay on the cluster; one factor may have any number of levels, the other at most MAX_LEVELS, because a
+    matrix as wide as its levels is solved on the driver.
     """
-    cells = _cells(df, y, [a, b]).toPandas()
-    la, lb = sorted(cells[a].unique()), sorted(cells[b].unique())
-    shape = (len(la), len(lb))
-    n, mean = np.zeros(shape), np.zeros(shape)
-    for va, vb, c, m in cells[[a, b, "n", "mean"]].itertuples(index=False):
-        n[la.index(va), lb.index(vb)], mean[la.index(va), lb.index(vb)] = c, m
-    ssw, total = float(cells["ss"].sum()), int(n.sum())
-
-    def one_factor(axis: int) -> float:
-        level = (n * mean).sum(axis=axis, keepdims=True) / n.sum(axis=axis, keepdims=True)
-        return ssw + float((n * (mean - level) ** 2).sum())
-
-    spread, rank = _additive_sse(n, mean)
-    additive, only_a, only_b = ssw + spread, one_factor(1), one_factor(0)
-    rank_cells = int((n > 0).sum())
-    terms = [(a, only_b - additive, rank - shape[1]), (b, only_a - additive, rank - shape[0])]
+    cells = _cells(df, y, [a, b]).select(F.col(a).alias("_a"), F.col(b).alias("_b"), "n", "mean", "ss")
+    cells = cut_lineage(cells, "cells")
+    mean = (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")
+    levels = {k: cut_lineage(cells.groupBy(k).agg(F.sum("n").alias("n"), mean), "levels") for k in ("_a", "_b")}
+    count = {k: levels[k].count() for k in levels}
+    if min(count.values()) > MAX_LEVELS:
+        raise ValueError(f"one of the two factors may have at most {MAX_LEVELS} levels")
+    wide, narrow = ("_a", "_b") if count["_a"] >= count["_b"] else ("_b", "_a")
+    whole = cells.agg(F.sum("ss").alias("ss"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    ssw, total, rank_cells = whole["ss"] or 0.0, whole["n"] or 0, whole["cells"]
+
+    def one_factor(key: str) -> float:
+        off = F.col("mean") - F.col("_m")
+        beside = cells.join(levels[key].select(key, F.col("mean").alias("_m")), key)
+        return ssw + (beside.agg(F.sum(F.col("n") * off * off)).first()[0] or 0.0)
+
+    spread, rank = _additive_sse(cells, levels, wide, narrow)
+    rank += count[wide]
+    additive, only_a, only_b = ssw + spread, one_factor("_a"), one_factor("_b")
+    terms = [(a, only_b - additive, rank - count["_b"]), (b, only_a - additive, rank - count["_a"])]
     if interaction:
         terms.append((f"{a}:{b}", additive - ssw, rank_cells - rank))
         error, error_df = ssw, total - rank_cells
@@ -136,7 +174,7 @@ def anova_two_way(df: DataFrame, y: str, a: str, b: str, interaction: bool = Fal
         error, error_df = additive, total - rank
     rows = []
     for name, ss, d in terms:
-        f = (ss / d) / (error / error_df) if d > 0 and error > 0 else float("nan")
+        f = (ss / d) / (error / error_df) if d > 0 and error > 0 and error_df > 0 else float("nan")
         rows.append((name, ss, float(d), f, f_tail(f, d, error_df) if d > 0 else float("nan")))
     rows.append(("residual", error, float(error_df), None, None))
     return df.sparkSession.createDataFrame(rows, "term string, sum_sq double, df double, F double, p double")

@@ -53,6 +53,30 @@ def test_two_way_with_empty_cell(spark, table, interaction):
         assert got["a:b"]["df"] == 5
 
 
+def test_two_way_with_many_levels(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), "pq"[int(j)], float(i % 7 + 2 * j + e)) for i, j, e in zip(rng.integers(0, 60, 900), rng.integers(0, 2, 900), rng.normal(0, 1, 900))]
+    rows += [(None, "p", 1.0), (3, None, 1.0), (4, "q", float("nan"))]
+    df = spark.createDataFrame(rows, "a long, b string, y double")
+    full = [r for r in rows if None not in r and r[2] == r[2]]
+    y, one = np.array([r[2] for r in full]), np.ones((len(full), 1))
+    da, db = dummies([r[0] for r in full]), dummies([r[1] for r in full])
+    add = sse(np.hstack([one, da, db]), y)
+    monkeypatch.setattr(stats, "MAX_LEVELS", 2)
+    for first, second in (("a", "b"), ("b", "a")):
+        got = {r["term"]: r["sum_sq"] for r in stats.anova_two_way(df, "y", first, second).collect()}
+        want = {"a": sse(np.hstack([one, db]), y) - add, "b": sse(np.hstack([one, da]), y) - add, "residual": add}
+        assert got == pytest.approx(want)
+    monkeypatch.setattr(stats, "MAX_LEVELS", 1)
+    with pytest.raises(ValueError, match="at most 1 levels"):
+        stats.anova_two_way(df, "y", "a", "b")
+
+
+def test_two_way_without_rows(spark):
+    got = stats.anova_two_way(spark.createDataFrame([], "a long, b string, y double"), "y", "a", "b", True).collect()
+    assert [r["term"] for r in got] == ["a", "b", "a:b", "residual"] and all(r["sum_sq"] == 0 for r in got)
+
+
 @pytest.mark.parametrize("limit", ["10MB", "-1"])
 def test_one_way_and_levene(spark, table, request, limit):
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
