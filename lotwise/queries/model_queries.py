@@ -80,13 +80,18 @@ def clip_scale(spark, sf):
     clipped = rows
     for step in (MedianImputer(cols), QuantileClipper(cols)):
         clipped = step.fit(clipped).transform(clipped)
-    out = None
-    for kind in ("none", "max_abs", "min_max", "normalizer", "robust", "standard"):
-        scaled = ColumnScaler(cols, kind).fit(clipped).transform(clipped)
-        part = scaled.groupBy(F.lit(kind).alias("scaler"), "l_returnflag").agg(
-            *[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
-        )
-        out = part if out is None else out.unionByName(part)
+    kinds = ("none", "max_abs", "min_max", "normalizer", "robust", "standard")
+    scaled = clipped.select("l_returnflag", *[F.col(c).alias(f"{k}_{c}") for k in kinds for c in cols])
+    for kind in kinds:  # every scaler has its own copy of the columns, so one aggregate reads them all
+        own = [f"{kind}_{c}" for c in cols]
+        fitted = ColumnScaler(own, kind).fit(clipped.select(*[F.col(c).alias(o) for c, o in zip(cols, own)]))
+        scaled = fitted.transform(scaled)
+    measures = (("mean", F.avg), ("min", F.min), ("max", F.max))
+    wide = scaled.groupBy("l_returnflag").agg(*[
+        F.struct(F.lit(k).alias("scaler"), *[f(f"{k}_{c}").alias(f"{n}_{c}") for c in cols for n, f in measures]).alias(k)
+        for k in kinds
+    ])
+    out = wide.select("l_returnflag", F.inline(F.array(*kinds)))
     return rounded(out, 6, *[f"{n}_{c}" for c in cols for n in ("mean", "min", "max")])
 
 

@@ -78,12 +78,12 @@ def write_united(df: DataFrame, folder: str, city: str | None = None, state: str
 
 
 def write_pages(df: DataFrame, folder: str, page: str = "pagina", mode: str = "overwrite") -> None:
-    """One folder per city, state and page, few files each; an oversized page is split over tasks."""
+    """One folder per city and state, few files each, the page as a column; a large city is split over tasks."""
     (
         df.withColumnRenamed(page, "pagina")
-        .hint("rebalance", "cidade", "estado", "pagina")
+        .hint("rebalance", "cidade", "estado")
         .write.mode(mode)
-        .partitionBy("cidade", "estado", "pagina")
+        .partitionBy("cidade", "estado")
         .option("header", True)
         .option("escape", '"')
         .csv(folder)
@@ -91,7 +91,7 @@ def write_pages(df: DataFrame, folder: str, page: str = "pagina", mode: str = "o
 
 
 def read_written_pages(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """Read back what write_pages wrote; city, state and page come from the folders."""
+    """Read back what write_pages wrote; city and state come from the folders, `schema` names the rest in order."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(folder)
 
 
