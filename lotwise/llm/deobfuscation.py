@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m.groups()):
                 found.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")

@@ -279,6 +279,12 @@ def test_no_disguise(text):
     assert deobfuscation.find_identifiers(text) == ([], [])
 
 
+def test_personal_long_digit_runs():
+    zeros = "0" * 6000
+    assert deobfuscation.base_spans(f"{zeros}1.{zeros}.2.{zeros}255") == [("ip", 0, 6001 + 1 + 6000 + 3 + 6003)]
+    assert deobfuscation.base_spans(f"{'9' * 6000}.1.1.1") == []
+
+
 def test_shards(spark, sf):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     copies = docs.limit(0).unionByName(spark.createDataFrame([(10_000 + k, "copy " * 300, "en", "a", 1500) for k in range(800)], docs.schema))
