@@ -11,6 +11,7 @@ collapsed on both sides first.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -204,8 +205,13 @@ def _leaf_places(state: DataFrame, index: PlaceIndex) -> DataFrame:
     return met.select("*", F.explode_outer("pts").alias("_p")).drop("pts")
 
 
-def radius_counts(points: DataFrame, index: PlaceIndex, radii: dict[str, float]) -> DataFrame:
-    """(lat, lon, category, n): POIs within the category's radius, the edge included."""
+def radii_of(radii: dict[str, float | Sequence[float]]) -> list[tuple[str, float]]:
+    """(category, radius) of a mapping whose values are one radius or several."""
+    return [(c, r) for c, rs in radii.items() for r in (rs if isinstance(rs, (list, tuple)) else (rs,))]
+
+
+def radius_counts(points: DataFrame, index: PlaceIndex, radii: dict[str, float | Sequence[float]]) -> DataFrame:
+    """(lat, lon, category, radius, n): POIs within each of the category's radii, the edge included."""
     requests = F.explode(
         F.array(
             *[
@@ -216,7 +222,7 @@ def radius_counts(points: DataFrame, index: PlaceIndex, radii: dict[str, float])
                     F.lit(max(_chord(r) * (1 - 1e-9) - 1e-14, 0.0) ** 2).alias("sure_in"),
                     F.lit((_chord(r) * (1 + 1e-9) + 1e-14) ** 2).alias("sure_out"),
                 )
-                for c, r in radii.items()
+                for c, r in radii_of(radii)
             ]
         )
     )
@@ -248,9 +254,9 @@ def radius_counts(points: DataFrame, index: PlaceIndex, radii: dict[str, float])
     )
     return (
         _leaf_places(state, index)
-        .select("lat", "lon", "category", counted.alias("n"))
+        .select("lat", "lon", "category", "radius", counted.alias("n"))
         .where("n > 0")
-        .groupBy("lat", "lon", "category")
+        .groupBy("lat", "lon", "category", "radius")
         .agg(F.sum("n").alias("n"))
     )
 
@@ -296,11 +302,11 @@ def nearest_distance(points: DataFrame, index: PlaceIndex, categories: list[str]
 def poi_features(
     listings: DataFrame,
     poi: DataFrame,
-    radii: dict[str, float] = RADII,
+    radii: dict[str, float | Sequence[float]] = RADII,
     leaf_points: int = LEAF_POINTS,
     broadcast_places: int = BROADCAST_PLACES,
 ) -> DataFrame:
-    """Listings plus nearest distance (null without POIs) and count in radius per category.
+    """Listings plus nearest distance (null without POIs) per category and a count for each of its radii.
 
     `listings` has lat/lon, `poi` has category/lat/lon. Listings at equal coordinates share
     one computation; hot coordinates are kept out of the shuffle of the join back.
@@ -311,16 +317,16 @@ def poi_features(
         found = nearest_distance(points, index, list(radii)).unionByName(
             radius_counts(points, index, radii), allowMissingColumns=True
         )
-        aggs = []
-        for c, r in radii.items():
-            mine = F.col("category") == c
-            aggs.append(F.min(F.when(mine, F.col("metres"))).alias(distance_name(c)))
-            aggs.append(F.max(F.when(mine, F.col("n"))).alias(count_name(c, r)))
+        mine = F.col("category")
+        aggs = [F.min(F.when(mine == c, F.col("metres"))).alias(distance_name(c)) for c in radii] + [
+            F.max(F.when((mine == c) & (F.col("radius") == F.lit(float(r))), F.col("n"))).alias(count_name(c, r))
+            for c, r in radii_of(radii)
+        ]
         wide = cut_lineage(found.groupBy("lat", "lon").agg(*aggs), "poi-features")
         out = lookup_join(listings, wide, ["lat", "lon"])
     else:
         out = listings.withColumns({distance_name(c): F.lit(None).cast("double") for c in radii}).withColumns(
-            {count_name(c, r): F.lit(None).cast("long") for c, r in radii.items()}
+            {count_name(c, r): F.lit(None).cast("long") for c, r in radii_of(radii)}
         )
-    filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in (count_name(c, r) for c, r in radii.items())}
+    filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in (count_name(c, r) for c, r in radii_of(radii))}
     return out.withColumns(filled)

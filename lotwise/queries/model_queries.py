@@ -322,6 +322,72 @@ def train_and_register(spark, sf):
     return metrics.unionByName(rows)
 
 
+_STEPS = ["x0", "x1", "x2"]
+_STEP_ROWS = """t0 AS (SELECT p_partkey, CAST(p_partkey % 4 AS DOUBLE) AS x0, CAST(p_size % 3 AS DOUBLE) AS x1, CAST(p_size % 5 AS DOUBLE) AS x2,
+    p_retailprice / 100 * (1 + (p_partkey % 4) / 20.0::double) * (1 + (p_size % 3) / 10.0::double) AS y FROM part)"""
+
+
+def _stump_sql(source: str, target: str, name: str) -> str:
+    """CTE `name`: the rows of `source` with the split of least squared error, as {name}_f, {name}_p and {name}_m."""
+    long = " UNION ALL ".join(f"SELECT {i} AS f, {x} AS x, {target} AS t FROM {source}" for i, x in enumerate(_STEPS))
+    return f"""
+    {name}_v AS (SELECT f, x, CAST(count(*) AS DOUBLE) AS n, sum(t) AS s FROM ({long}) GROUP BY 1, 2),
+    {name}_c AS (SELECT f, x, sum(n) OVER (PARTITION BY f ORDER BY x) AS nl, sum(s) OVER (PARTITION BY f ORDER BY x) AS sl,
+        sum(n) OVER (PARTITION BY f) AS na, sum(s) OVER (PARTITION BY f) AS sa FROM {name}_v),
+    {name}_b AS (SELECT * FROM {name}_c WHERE nl < na ORDER BY sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) DESC, f, x LIMIT 1),
+    {name} AS (SELECT r.*, b.f AS {name}_f, sa / na AS {name}_m,
+        CASE WHEN CASE b.f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= b.x THEN sl / nl ELSE (sa - sl) / (na - nl) END AS {name}_p
+        FROM {source} r, {name}_b b)"""
+
+
+_STUMP = f"WITH {_STEP_ROWS}, {_stump_sql('t0', 'y', 'a')}"
+_TWO_STUMPS = f"{_STUMP}, {_stump_sql('a', '2 * (y - a_p)', 'b')}"  # the second tree is fitted to the negative gradient
+
+
+def _step_rows(spark, sf) -> DataFrame:
+    """Prices that depend on features of few values, so that every possible split is tried."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", (k % 4).cast("double").alias("x0"), (size % 3).cast("double").alias("x1"), (size % 5).cast("double").alias("x2"),
+        (F.col("p_retailprice") / 100 * (1 + (k % 4) / F.lit(20.0)) * (1 + (size % 3) / F.lit(10.0))).alias("y"),
+    )
+    return FeatureAssembler(numeric=_STEPS, text=[]).fit(rows).transform(rows)
+
+
+def _two_stumps(rows: DataFrame):
+    return models.sampled_boosting(rows, "y", 2, learning_rate=0.5, max_depth=1, subsample=1.0, colsample_bytree=1.0).fit(rows)
+
+
+@query(f"{_STUMP} SELECT p_partkey, round(a_p, 6) AS prediction FROM a")
+def tree_stump(spark, sf):
+    """A regression tree of one split."""
+    rows = _step_rows(spark, sf)
+    return rounded(models.decision_tree(rows, "y", max_depth=1).fit(rows).transform(rows).select("p_partkey", "prediction"), 6, "prediction")
+
+
+@query(f"{_TWO_STUMPS} SELECT p_partkey, round(a_p + 0.5::double * b_p, 6) AS prediction FROM b")
+def boosted_stumps(spark, sf):
+    """Two boosted trees of one split each."""
+    rows = _step_rows(spark, sf)
+    return rounded(_two_stumps(rows).transform(rows).select("p_partkey", "prediction"), 6, "prediction")
+
+
+@query(
+    f"{_TWO_STUMPS} "
+    + " UNION ALL ".join(
+        f"SELECT p_partkey, '{x}' AS feature, {x} AS value, round(CASE a_f WHEN {i} THEN a_p - a_m ELSE 0 END "
+        f"+ 0.5::double * CASE b_f WHEN {i} THEN b_p - b_m ELSE 0 END, 6) + 0.0::double AS phi FROM b"
+        for i, x in enumerate(_STEPS)
+    )
+)
+def stump_contributions(spark, sf):
+    """Contributions of every feature to the two boosted trees, row by row."""
+    rows = _step_rows(spark, sf)
+    model = _two_stumps(rows)
+    out = explain.explain_trees(model, model.transform(rows), _STEPS)
+    return rounded(explain.contribution_table(out, ["p_partkey"]), 6, "phi")
+
+
 _LINE_TERMS = f"""WITH {_LINE2}, p AS (SELECT l_orderkey, l_partkey, l_linenumber, b0 + b1 * m1 + b2 * m2 AS base, x1, x2, b1 * (x1 - m1) AS f1, b2 * (x2 - m2) AS f2 FROM t, b)"""
 
 
@@ -348,6 +414,16 @@ def global_importance(spark, sf):
     return rounded(explain.global_importance(_line_terms(spark, sf)), 4, "importance")
 
 
+@query(
+    _LINE_TERMS
+    + " SELECT l_orderkey, l_partkey, l_linenumber, 'l_quantity' AS feature, x1 AS value, round(f1, 4) + 0.0::double AS phi FROM p"
+)
+def feature_dependence(spark, sf):
+    """Value and contribution of one feature for every row."""
+    keys = ["l_orderkey", "l_partkey", "l_linenumber"]
+    return rounded(explain.dependence(_line_terms(spark, sf), keys, "l_quantity"), 4, "phi")
+
+
 @query(
     _LINE_TERMS
     + """, u AS (SELECT l_orderkey, l_partkey, l_linenumber, base, CASE WHEN abs(f1) >= abs(f2) THEN 'l_quantity' ELSE 'l_discount' END AS top,

@@ -54,6 +54,20 @@ def radius_counts(spark, sf):
     return out.select("c_custkey", *[count_name(c, RADII[c]) for c in CATEGORIES])
 
 
+_TWO_RADII = {c: [RADII[c], 3 * RADII[c]] for c in CATEGORIES}
+_TWO_COUNTS = ", ".join(
+    f"count(*) FILTER (cat = {i} AND metres <= {m}) AS {count_name(c, m)}"
+    for i, c in enumerate(CATEGORIES) for m in _TWO_RADII[c]
+)
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {_TWO_COUNTS} FROM d GROUP BY 1")
+def several_radii(spark, sf):
+    """Two counts per category: its usual radius and three times that."""
+    out = poi_features(_listings(spark, sf), _poi(spark, sf), _TWO_RADII)
+    return out.select("c_custkey", *[count_name(c, m) for c in CATEGORIES for m in _TWO_RADII[c]])
+
+
 _SCORE_SQL = ", ".join(
     f"{a}::double * exp(-{distance_name(c)} / {t}::double) + {b}::double * {count_name(c, RADII[c])} AS {s}"
     for s, (c, a, t, b) in SCORES.items()
