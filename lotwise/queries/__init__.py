@@ -1,6 +1,7 @@
 """Queries over the driver's tables, one per operator group."""
 
 from lotwise.queries import (  # noqa: F401
+    file_queries,
     model_queries,
     place_queries,
     profile_queries,
