@@ -2,8 +2,9 @@
 
 Every tree projects unit vectors on one seeded random direction per level and splits each node at the median of a
 bounded sample. A query walks all trees through one priority queue, ordered by the smallest distance to a split that
-its way has ignored so far, until it has seen enough leaves. Every vector is indexed. Queries and vectors meet by
-leaf in a shuffle, leaf candidates are scored exactly in double precision on the original vectors, and the best of
+its way has ignored so far, until it has seen enough leaves. Every vector is indexed. What is enough is measured on
+the table itself: the exact neighbours of a bounded sample of queries tell how many leaves have to be seen, and leaves
+grow until the stated number of them suffices. Queries and vectors meet by leaf in a shuffle, leaf candidates are scored exactly in double precision on the original vectors, and the best of
 all leaves are ranked.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: more could not be among the k nearest. So no leaf
@@ -23,8 +24,11 @@ from lotwise.llm.common import share
 from lotwise.session import cut_lineage
 
 TREES = 24
-LEAF = 96  # vectors of a leaf, on average, as long as the sample can resolve it
-VISITS = 160  # leaves that a query sees
+LEAF = 96  # vectors of a leaf, on average, as long as the sample can resolve it and VISITS leaves give RECALL
+VISITS = 160  # leaves that a query sees; more where leaves of LARGEST_LEAF vectors do not give RECALL
+LARGEST_LEAF = 8192  # vectors; bounds what a task holds of one leaf
+RECALL = 0.95  # wanted share of the exact neighbours of the sampled queries
+ASKED = 200  # queries whose exact neighbours are looked up for that, about
 SAMPLE = 1 << 16  # vectors that place the splits; beyond SAMPLE / 4 leaves per tree, leaves grow with the table
 SEED = 11
 
@@ -63,6 +67,11 @@ class Forest:
     def levels(self) -> int:
         return self.directions.shape[1]
 
+    def cut(self, levels: int) -> Forest:
+        """The same trees, ended after `levels` levels."""
+        filled = self.filled.reshape(len(self.filled), 2**levels, -1).sum(axis=2)
+        return Forest(self.directions[:, :levels], self.splits[:, : 2**levels - 1], filled)
+
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of every unit vector in every tree."""
         out = np.zeros((len(vectors), len(self.directions)), np.int64)
@@ -91,6 +100,32 @@ class Forest:
         return found
 
 
+    def ranks(self, vector: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """For each of the other vectors, how many leaves `vector` has to see until one of them holds it."""
+        side, distances = self.directions @ vector, np.full((len(self.directions), 1), -np.inf)
+        for level in range(self.levels):
+            gap = side[:, level, None] - self.splits[:, 2**level - 1 : 2 ** (level + 1) - 1]
+            far = np.maximum(distances, np.abs(gap))
+            sides = (np.where(gap > 0, far, distances), np.where(gap > 0, distances, far))
+            distances = np.stack(sides, axis=2).reshape(len(side), -1)
+        first = distances[np.arange(len(side)), self.leaves(others)].min(axis=1)
+        return np.array([np.count_nonzero(distances <= f) for f in first])
+
+    def calibrate(self, known: list[tuple[np.ndarray, np.ndarray]], total: int, visits: int) -> tuple[Forest, int]:
+        """The deepest of these trees, and the leaves to see, with which the `known` (vector, its neighbours) are found
+        to the share RECALL: `visits` leaves, or more of the largest allowed ones."""
+        forest = self
+        while known:
+            ranks = np.sort(np.concatenate([forest.ranks(v, others) for v, others in known]))
+            needed = int(ranks[int(np.ceil(RECALL * len(ranks))) - 1])
+            if needed <= visits:
+                break
+            if not forest.levels or total / 2 ** (forest.levels - 1) > LARGEST_LEAF:
+                return forest, needed
+            forest = forest.cut(forest.levels - 1)
+        return forest, visits
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vec) of the vectors that take part: an id, no null or non-finite component, not all zero, and of the
     length that most vectors have. Repeated rows count once."""
@@ -112,11 +147,56 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def exact_neighbours(groups: DataFrame, queries: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(unit vector, its k nearest unit vectors) of about ASKED of the `queries`, from all `groups`."""
+    drawn = F.pmod(F.xxhash64("gid"), F.lit(max(queries.count(), 1))) < ASKED
+    asked = queries.where(drawn).orderBy("gid").toArrow().combine_chunks()
+    if not asked.num_rows:
+        return []
+    own, points = asked.column("gid").to_numpy(), unit(matrix(asked.column("vec").combine_chunks()))
+    shared = share(groups.sparkSession, points)
+
+    def closest(batches):
+        points, best = shared(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid, data = batch.column(0).to_numpy(), matrix(batch.column(1))
+            score = unit(data) @ points.T
+            if best is None:
+                best = [(np.zeros(0), np.zeros(0, np.int64), data[:0])] * len(points)
+            for q, (scores, ids, rows) in enumerate(best):
+                scores, ids = np.concatenate([scores, score[:, q]]), np.concatenate([ids, gid])
+                top = np.argpartition(-scores, k)[: k + 1] if len(scores) > k + 1 else np.arange(len(scores))
+                held = [rows[i] if i < len(rows) else data[i - len(rows)] for i in top]
+                best[q] = (scores[top], ids[top], np.array(held))
+        for q, (scores, ids, rows) in enumerate(best or []):
+            yield pa.record_batch(
+                [pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(scores), pa.array(rows.tolist(), pa.list_(pa.float64()))],
+                names=["q", "gid", "score", "vec"],
+            )
+
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "gid")
+    found = (
+        groups.select("gid", "vec").mapInArrow(closest, "q long, gid long, score double, vec array<double>")
+        .withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
+        .select("q", "gid", "vec").collect()  # at most (k + 1) rows for each of the sampled queries
+    )
+    near: dict[int, list] = {}
+    for row in found:
+        if row["gid"] != own[row["q"]]:
+            near.setdefault(row["q"], []).append(row["vec"])
+    return [(points[q], unit(np.array(vecs))) for q, vecs in sorted(near.items())]
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     trees: int = TREES, visits: int = VISITS, leaf: int = LEAF,
 ) -> DataFrame:
-    """Per query (rows where `is_query` holds, over column `id`) its k nearest found: query_id, rank, vec_id, score."""
+    """Per query (rows where `is_query` holds, over column `id`) its k nearest found: query_id, rank, vec_id, score.
+
+    `visits` and `leaf` are where the calibration starts; see VISITS, LEAF.
+    """
     spark = vectors.sparkSession
     rows = cut_lineage(usable(vectors, id_col, vector_col), "vectors")
     first = Window.partitionBy("vec").orderBy("id")
@@ -131,11 +211,14 @@ def nearest(
     sample = part.toArrow().column("vec").combine_chunks()  # about SAMPLE vectors at most
     sample = matrix(sample) if len(sample) else np.zeros((0, 1))
     forest = Forest.fit(unit(sample) if len(sample) else sample, total, trees, leaf)
-    shared = share(spark, forest)  # at most trees x SAMPLE / 4 numbers
 
     asked = rows.where(is_query)
     named = asked.join(groups.select("vec", "gid"), "vec").select("id", "gid")
-    queries = groups.join(named.select("gid").distinct(), "gid", "left_semi").select("gid", "vec")
+    queries = cut_lineage(
+        groups.join(named.select("gid").distinct(), "gid", "left_semi").select("gid", "vec"), "queries"
+    )
+    forest, visits = forest.calibrate(exact_neighbours(groups, queries, k) if forest.levels else [], total, visits)
+    shared = share(spark, forest)  # at most trees x SAMPLE / 4 numbers
 
     def to_leaves(batches):
         model = shared()

@@ -115,6 +115,20 @@ def test_nearest_recall_and_score(spark):
     assert [v for v, _ in got[1000]] == [700, 701, 702, 703, 704]
 
 
+def test_nearest_recall_without_clusters(spark, monkeypatch):
+    """Small leaves are so few of the table that the stated visits miss most neighbours, as they do on a large table."""
+    x = np.random.default_rng(2).standard_normal((4000, 32)).astype(np.float32)
+    frame = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    unit = projection_forest.unit(x.astype(float))
+    for largest in (8192, 16):  # by larger leaves, then by more of them
+        monkeypatch.setattr(projection_forest, "LARGEST_LEAF", largest, raising=False)
+        got = {}
+        for r in projection_forest.nearest(frame, F.col("id") % 50 == 0, visits=40, leaf=8).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = sum(len(got[q] & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 4000, 50))
+        assert len(got) == 80 and hits >= 0.9 * 5 * 80
+
+
 def test_nearest_few_candidates(spark):
     rows = [(50, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 2.0])]
     found = projection_forest.nearest(vectors(spark, rows), F.col("id") % 50 == 0).orderBy("rank").collect()
