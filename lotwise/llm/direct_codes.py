@@ -142,7 +142,7 @@ def text_encoder(tokenizer_json: str):
     """`encode(text) -> bytes` of little-endian u32 ids.
 
     Words are split by the tokenizer's pattern and encoded by the library's model; those met before come from a
-    cache. Texts are ordinary text throughout, also where they spell a special token.
+    cache. Texts are ordinary text throughout, also where they spell an added token; see `document_encoder`.
     """
     import os
 
@@ -178,6 +178,27 @@ def text_encoder(tokenizer_json: str):
     return encode
 
 
+def document_encoder(tokenizer_json: str):
+    """`encode(text) -> bytes` as the library encodes a text by default: an added token gets its own id wherever the
+    text spells it, the text between is ordinary."""
+    from tokenizers import Tokenizer
+
+    plain, library = text_encoder(tokenizer_json), Tokenizer.from_str(tokenizer_json)
+    added = library.get_added_tokens_decoder()
+    ids = {token.content: struct.pack("<I", i) for i, token in added.items()}
+    cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(ids, key=len, reverse=True))) + ")")
+    reaching = any(t.lstrip or t.rstrip or t.single_word for t in added.values())  # what stands beside them matters
+
+    def encode(text: str) -> bytes:
+        if not any(c in text for c in ids):
+            return plain(text)
+        if reaching:
+            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(ids.get(s) or plain(s) for s in cuts.split(text))
+
+    return encode
+
+
 def write_codes(
     docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
@@ -188,7 +209,7 @@ def write_codes(
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary file, a few MB
-        vocabulary = share(spark, f.read(), text_encoder)
+        vocabulary = share(spark, f.read(), document_encoder)
 
     def run(batches):
         encode, part = vocabulary(), TaskContext.get().partitionId()

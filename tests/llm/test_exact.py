@@ -356,6 +356,25 @@ def test_codes_text_encoder():
         assert np.frombuffer(encode(text), "<u4").tolist() == want, repr(text[:200])
 
 
+def test_codes_of_added_tokens(spark):
+    """The library at its defaults, which knows an added token wherever a text spells it."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    parts = ["a", " ", "  ", "\n", "don't", "é", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", LONG + "<|endoftext|> " + LONG]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    rows = direct_codes.direct_codes(
+        documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), tokenizer_path("byte_bpe_50k.json")
+    ).orderBy("doc_id").collect()
+    start = 0
+    for text, r in zip(texts, rows, strict=True):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes())), repr(text[:99])
+        start += len(ids)
+
+
 def slow_fingerprint(text):
     import xxhash
 
