@@ -1,8 +1,8 @@
 """Personal data found through disguises, reported in source characters.
 
-Three transducers rewrite a text and remember which source characters every written character stands for: look-alike
+Four transducers rewrite a text and remember which source characters every written character stands for: look-alike
 characters become ASCII letters and digits, runs of spelled digits become digits, at/dot disguises become "@" and
-".". The identifier patterns run on the text itself (base spans) and on the rewritten one; spans of the latter are
+"." (also the dots between the four groups of an address). The identifier patterns run on the text itself (base spans) and on the rewritten one; spans of the latter are
 mapped back and added where they reach beyond the base spans.
 """
 
@@ -36,7 +36,7 @@ PLUS_WORDS = "plus más mas"
 AT_WORDS = "at arobase arroba"
 DOT_WORDS = "dot punkt punto point"
 
-LEAST_SPELLED = 7  # digits in a run before spelled digits count as a number
+LEAST_SPELLED = 7  # digits in a run before spelled digits count as a number (outside an address)
 
 _LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,17 +150,28 @@ _RUN = re.compile(
     rf"(?<!\w)(?:(?:{_one_of(PLUS_WORDS)})[\s-]+|\+\s?)?(?:(?:{_SPELLED}|[0-9])[\s,-]{{1,2}}){{{LEAST_SPELLED - 1},}}(?:{_SPELLED}|[0-9])(?!\w)",
     re.IGNORECASE,
 )
-_PART = re.compile(rf"{_one_of(PLUS_WORDS)}|{_SPELLED}|[0-9]", re.IGNORECASE)
+# Spelled digits beside digit groups.
+_MIXED = re.compile(
+    rf"(?<![\w.])(?:(?:{_one_of(PLUS_WORDS)})[\s-]+|\+\s?)?(?:(?:{_SPELLED}|[0-9]+)[\s,-]{{1,2}})+(?:{_SPELLED}|[0-9]+)(?!\w)",
+    re.IGNORECASE,
+)
+_PART = re.compile(rf"{_one_of(PLUS_WORDS)}|{_SPELLED}|[0-9]+", re.IGNORECASE)
 _PLUS = frozenset(PLUS_WORDS.split())
 
 
 def digits_of_words(r: Rewritten) -> Rewritten:
-    """Runs of single digits with at least one word among them become a number; separators go."""
+    """Runs of single digits with at least one word among them become a number; separators go. Then the same for runs
+    of words and groups of digits."""
+    return _joined_runs(_joined_runs(r, _RUN), _MIXED)
+
+
+def _joined_runs(r: Rewritten, runs: re.Pattern) -> Rewritten:
     edits = []
-    for m in _RUN.finditer(r.text):
-        if not any(c.isalpha() for c in m.group()):
-            continue
+    for m in runs.finditer(r.text):
         parts = list(_PART.finditer(r.text, *m.span()))
+        words = [p.group().lower() for p in parts]
+        if not any(w in _VALUE for w in words) or sum(len(_VALUE.get(w, w)) for w in words if w not in _PLUS) < LEAST_SPELLED:
+            continue
         first = m.start()
         if r.text[first] == "+":
             edits.append((first, first + 1, "+"))
@@ -185,23 +196,56 @@ _BARE = re.compile(
     re.IGNORECASE,
 )
 _BARE_DOT = re.compile(rf"\s(?:{_one_of(DOT_WORDS)})\s", re.IGNORECASE)
-_HINTS = tuple(f" {w} " for w in DOT_WORDS.split())
+_DOT_WORDS = tuple(DOT_WORDS.split())
+
+
+def _hints(low: str) -> bool:
+    return any(w in low for w in _DOT_WORDS) and _BARE_DOT.search(low) is not None
 
 
 def undo_at_and_dot(r: Rewritten) -> Rewritten:
-    """Bracketed disguises, then bare ones: a bare "at" counts only before a host with a spelled dot."""
+    """Bracketed disguises, then bare ones: a bare "at" counts only before a host with a spelled dot, an "@" between
+    spaces also before one with real dots that ends in a name (not "5 @ 3.50")."""
     if any(c in r.text for c in "[({<"):
         r = r.replace([(*m.span(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(r.text)])
-    if not any(h in r.text.lower() for h in _HINTS):
+    if "@" not in r.text and not _hints(r.text.lower()):
         return r
     edits = []
     for m in _BARE.finditer(r.text):
         dots = list(_BARE_DOT.finditer(r.text, *m.span("host")))
-        if dots:
+        apart = len(m["at"]) == 3 and m["at"][1] == "@"  # "@john.doe" after a space is a name
+        if dots or apart and any(c.isalpha() for c in m["host"].rpartition(".")[2]):
             edits += [(*m.span("at"), "@"), *((*d.span(), ".") for d in dots)]
     return r.replace(edits)
 
 
+_GROUP = rf"(?:[0-9]+|(?:{_SPELLED}|[0-9])(?:[\s,-]{{1,2}}(?:{_SPELLED}|[0-9])){{0,2}})"
+_ADDRESS_DOT = rf"(?:\s(?:{_one_of(DOT_WORDS)})\s|\.)"
+_ADDRESS = re.compile(rf"(?<!\w){_GROUP}(?:{_ADDRESS_DOT}{_GROUP}){{3}}(?!\w)", re.IGNORECASE)
+_ADDRESS_PART = re.compile(rf"(?P<dot>{_ADDRESS_DOT})|{_SPELLED}|[0-9]+", re.IGNORECASE)
+
+
+def undo_spelled_addresses(r: Rewritten) -> Rewritten:
+    """Four groups of digits or digit words, with spelled or real dots between them, become an address."""
+    edits = []
+    for m in _ADDRESS.finditer(r.text):
+        parts = list(_ADDRESS_PART.finditer(r.text, *m.span()))
+        for k, p in enumerate(parts):
+            word = p.group().lower()
+            # the separator inside a group goes with the digit before it
+            joins = k + 1 < len(parts) and not p["dot"] and not parts[k + 1]["dot"]
+            new = "." if p["dot"] else _VALUE.get(word, word)
+            end = parts[k + 1].start() if joins else p.end()
+            if new != r.text[p.start() : end]:
+                edits.append((p.start(), end, new))
+    return r.replace(edits)
+
+
+# A digit word beside a digit, or a real dot between them.
+_BESIDE = re.compile(
+    rf"[0-9](?:[\s,-]{{1,2}}|\.)(?:{_SPELLED})(?!\w)|(?:{_SPELLED})(?:(?:[\s,-]{{1,2}}|\.)[0-9]|\.(?:{_SPELLED})(?!\w))"
+)
+_APART = re.compile(r"\s@\s")
 _DIGITS = frozenset(_VALUE) | frozenset("0123456789")
 
 
@@ -211,9 +255,11 @@ def is_disguised(text: str) -> bool:
         return True
     low = text.lower()
     return (
-        any(h in low for h in _HINTS)
+        _hints(low)
+        or "@" in text and _APART.search(text) is not None
         or any(c in text for c in "[({<") and _BRACKETED.search(text) is not None
         or sum(map(_DIGITS.__contains__, low.replace(",", " ").replace("-", " ").split())) >= LEAST_SPELLED - 1
+        or _BESIDE.search(low) is not None
     )
 
 
@@ -222,7 +268,7 @@ def find_identifiers(text: str) -> tuple[list, list]:
     base = base_spans(text)
     if not is_disguised(text):
         return base, base
-    r = undo_at_and_dot(digits_of_words(fold_look_alikes(Rewritten.of(text))))
+    r = undo_spelled_addresses(undo_at_and_dot(digits_of_words(fold_look_alikes(Rewritten.of(text)))))
     if r.text == text:
         return base, base
     added = set()

@@ -293,6 +293,22 @@ def test_no_disguise(text):
     assert deobfuscation.find_identifiers(text) == ([], [])
 
 
+def test_personal_spaced_signs_and_spelled_groups():
+    for text, kind, part in [
+        ("mail jane @ example.org now", "email", "jane @ example.org"),
+        ("mail jane\tat\texample\tdot\torg now", "email", "jane\tat\texample\tdot\torg"),
+        ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host 10.zero.0.one up", "ip", "10.zero.0.one"),
+        ("card 4111 1111 one one one one 1111 ok", "card", "4111 1111 one one one one 1111"),
+        ("call plus 49 170 one two three 4567 ok", "phone", "plus 49 170 one two three 4567"),
+    ]:
+        base, spans = deobfuscation.find_identifiers(text)
+        assert base == [] and [(k, text[a:b]) for k, a, b in spans] == [(kind, part)], text
+    for text in ["host 192 dot 168 dot 0 dot 256", "one dot two dot three", "12 pieces @ 3.50 each", "meet at example.org", "thanks @john.doe", "two 4111 1111 1111 1112"]:
+        assert deobfuscation.find_identifiers(text) == ([], []), text
+
+
 def test_personal_long_digit_runs():
     zeros = "0" * 6000
     assert deobfuscation.base_spans(f"{zeros}1.{zeros}.2.{zeros}255") == [("ip", 0, 6001 + 1 + 6000 + 3 + 6003)]
