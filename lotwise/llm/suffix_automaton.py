@@ -5,14 +5,15 @@ state and the length of the longest match that ends there are known. Where that
 or a whole item that is shorter) the window's words are hit and the items that hold the window are read off the
 state. Documents whose hits pass a coverage limit are contaminated.
 
-Items are a stated set, as benchmarks are; their number of words is checked before they go to the tasks. Larger sets
-are passed in parts, one call each.
+Items beyond the bytes of one automaton are dealt into several. The documents are then written once and scanned once
+for every part, the hits of all parts are united per row, and coverage is judged on the union.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lotwise.llm.common import id_and_text, share
+from lotwise.session import cut_lineage
 
 WINDOW = 13
+ROW, SPANS, ITEMS = "__row", "__spans", "__items"  # columns beside the caller's own
 COVERAGE = 20  # contaminated from one hit word in this many
 MAX_ITEM_BYTES = 16_000_000  # of item texts in one automaton, which takes some twenty times that in a task
 
@@ -165,17 +168,100 @@ class ItemAutomaton:
                 s = self.short_link[link[s]]
 
 
-def load_items(items: DataFrame, id_col: str, text_col: str):
-    """Broadcast of [(item, words)]. Null ids and texts are left out, repeated items count once."""
+def item_parts(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
+    """(item, text) tables, each for one automaton. Null ids and texts are left out, repeated items count once."""
     rows = (
         items.select(items[id_col].cast("string").alias("item"), items[text_col].cast("string").alias("text"))
         .dropna().distinct()
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"{size} bytes of item texts; pass the items in parts of at most {MAX_ITEM_BYTES}")
-    found = [(r["item"], words_of(r["text"])) for r in rows.orderBy("item", "text").collect()]
-    return share(items.sparkSession, found, scanner)
+    if size <= MAX_ITEM_BYTES:
+        return [rows]
+    largest = max(1, MAX_ITEM_BYTES // 32)
+
+    def cut_long(batches):
+        """Long items as pieces that share WINDOW - 1 words, so that every window is whole in one of them."""
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, step = words_of(text), 0
+                if len(text.encode("utf-8", "surrogatepass")) > largest:
+                    step = max(WINDOW, largest * len(words) // max(1, sum(map(len, words)) + len(words)))
+                if step and len(words) > step + WINDOW - 1:
+                    starts = range(0, len(words) - WINDOW + 1, step)
+                    texts = [b" ".join(words[k : k + step + WINDOW - 1]).decode() for k in starts]
+                else:
+                    texts = [text]
+                for text in texts:
+                    yield pa.record_batch([pa.array([item]), pa.array([text])], names=["item", "text"])
+
+    n = -(-2 * size // MAX_ITEM_BYTES)  # half full on average, as they are dealt by hash
+    pieces = cut_lineage(
+        rows.mapInArrow(cut_long, "item string, text string").withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))),
+        "items",
+    )
+    return [pieces.where(F.col("part") == k).select("item", "text") for k in range(n)]
+
+
+def load_items(part: DataFrame):
+    """Broadcast of the [(item, words)] of one part."""
+    found = [(r["item"], words_of(r["text"])) for r in part.orderBy("item", "text").collect()]
+    return share(part.sparkSession, found, scanner)
+
+
+def spans_of(hit: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+
+
+def _part_hits(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Row, hit spans and items of the rows (row, text) that hold a window of the part."""
+    shared = load_items(part)
+
+    def run(batches):
+        scan = shared()
+        for batch in batches:
+            out = []
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hit, found = scan(words_of(value.as_py()))
+                if found:
+                    out.append((row, spans_of(hit), sorted(found)))
+            kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=[ROW, SPANS, ITEMS])
+
+    schema = f"{ROW} long, {SPANS} array<struct<start: long, end: long>>, {ITEMS} array<string>"
+    return cut_lineage(rows.mapInArrow(run, schema), "hits")
+
+
+def with_hits(docs: DataFrame, text_col: str, parts: list[DataFrame]) -> tuple[DataFrame, Callable]:
+    """The rows to scan, and a maker, for tasks, of `scan(batch, k, words) -> (hit flags, items)` of the k-th row."""
+    if len(parts) == 1:
+        shared = load_items(parts[0])
+
+        def make():
+            scan = shared()
+            return lambda batch, k, words: scan(words)
+
+        return docs, make
+    kept = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    rows = kept.select(ROW, F.col(text_col).cast("string"))
+    found = None
+    for part in parts:
+        hits = _part_hits(rows, part)
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy(ROW).agg(
+        F.flatten(F.collect_list(SPANS)).alias(SPANS), F.array_distinct(F.flatten(F.collect_list(ITEMS))).alias(ITEMS)
+    )
+
+    def read():
+        def scan(batch, k, words):
+            hit = np.zeros(len(words), bool)
+            for span in batch.column(SPANS)[k].as_py() or []:
+                hit[span["start"] : span["end"]] = True
+            return hit, set(batch.column(ITEMS)[k].as_py() or [])
+
+        return scan
+
+    return kept.join(found, ROW, "left").drop(ROW), read
 
 
 def scanner(items: list):
@@ -203,17 +289,16 @@ def find_contamination(
 
     Null and empty texts have no words; items without words or id take no part; repeated items count once.
     """
-    shared = load_items(items, item_id, item_text)
+    rows, make = with_hits(id_and_text(docs, id_col, text_col), "text", item_parts(items, item_id, item_text))
 
     def run(batches):
-        scan = shared()
+        scan = make()
         for batch in batches:
             out = []
-            for value in batch.column(1):
+            for k, value in enumerate(batch.column(1)):
                 words = words_of(value.as_py())
-                hit, found = scan(words)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+                hit, found = scan(batch, k, words)
+                spans = spans_of(hit)
                 digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
                 out.append((len(words), int(hit.sum()), len(found), digest, is_contaminated(hit), spans))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
@@ -223,7 +308,7 @@ def find_contamination(
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
+    return rows.mapInArrow(
         run,
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "spans array<struct<start: long, end: long>>",
@@ -241,14 +326,15 @@ def decontaminate(
 ) -> DataFrame:
     """Rows and columns of `docs` without contaminated documents. With `cut_spans` every hit span, of documents
     below the coverage limit too, is cut out of the text and no document goes."""
-    shared = load_items(items, item_id, item_text)
-    place = docs.columns.index(text_col)
+    rows, make = with_hits(docs, text_col, item_parts(items, item_id, item_text))
+    place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
-        scan = shared()
+        scan = make()
         for batch in batches:
             texts = [v.as_py() for v in batch.column(place)]
-            hits = [scan(words_of(t))[0] for t in texts]
+            hits = [scan(batch, k, words_of(t))[0] for k, t in enumerate(texts)]
+            batch = batch.select(names)
             if not cut_spans:
                 yield batch.filter(pa.array([not is_contaminated(h) for h in hits], pa.bool_()))
                 continue
@@ -256,7 +342,7 @@ def decontaminate(
             columns[place] = pa.array([cut(t, h) if t else t for t, h in zip(texts, hits)], columns[place].type)
             yield pa.record_batch(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def cut(text: str, hit: np.ndarray) -> str:

@@ -82,6 +82,24 @@ def test_contaminated_span_is_cut(spark):
     assert out[0]["text"] == "Keep this. ! and this"
 
 
+def test_contamination_by_parts(spark, monkeypatch):
+    """Items beyond one automaton: the same rows, also where a document reaches the limit by two parts only."""
+    rng = random.Random(3)
+    passages = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in (2, 5, 13, 14, 20, 20, 30, 400)]
+    texts = ["x " * 300 + " y ".join(rng.sample(passages, 2)) + " z" * rng.randint(0, 900) for _ in range(40)]
+    docs = documents(spark, [(k % 30, t, "en", "a") for k, t in enumerate([*texts, None, ""])])
+    tests = items(spark, list(enumerate(passages)))
+
+    def rows():
+        found = suffix_automaton.find_contamination(docs, tests).collect()
+        kept = suffix_automaton.decontaminate(docs, tests).collect() + suffix_automaton.decontaminate(docs, tests, cut_spans=True).collect()
+        return sorted(map(repr, found)), sorted(map(repr, kept))
+
+    whole = rows()
+    monkeypatch.setattr(suffix_automaton, "MAX_ITEM_BYTES", 900)
+    assert rows() == whole
+
+
 def test_nearest_recall_and_score(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((40, 24))
