@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotwise.llm import (
     deobfuscation,
+    digest_merge,
     direct_codes,
+    grammar_runs,
     kd_shards,
     language_codes,
+    lexical_blocks,
     piece_codec,
     pivot_simhash,
     projection_forest,
@@ -176,3 +179,43 @@ def op9_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_pivot_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query(
+    """
+    WITH words AS (SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    sizes AS (SELECT rid, doc_id, len(w)::bigint AS n FROM words WHERE len(w) > 0),
+    corpus AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS total FROM sizes),
+    postings AS (SELECT rid, term, count(*)::bigint AS tf FROM (SELECT rid, unnest(w) AS term FROM words) GROUP BY ALL),
+    weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::double))::bigint AS w
+      FROM (SELECT term, count(*)::bigint AS df FROM postings GROUP BY term), corpus),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+    scored AS (SELECT item_id, rid, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::bigint AS score
+      FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (rid), corpus GROUP BY ALL)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::int AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """
+)
+def op11_lexical_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_blocks.lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    """
+    WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+      row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256
+    FROM t WINDOW same AS (PARTITION BY t)
+    """
+)
+def op12_digest_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return digest_merge.exact_copies(table(spark, folder, "documents"))
+
+
+@query()
+def op13_grammar_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return grammar_runs.find_runs(table(spark, folder, "documents"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lotwise.llm import (
-    deobfuscation, direct_codes, kd_shards, language_codes, piece_codec, pivot_simhash, projection_forest, secret_crf,
-    suffix_automaton, url_templates,
+    deobfuscation, digest_merge, direct_codes, grammar_runs, kd_shards, language_codes, lexical_blocks, piece_codec,
+    pivot_simhash, projection_forest, secret_crf, suffix_automaton, url_templates,
 )
 from lotwise.llm.queries import tokenizer_path
 
@@ -20,6 +20,8 @@ OPERATORS = {
     "shards": kd_shards.kd_shards,
     "codes": lambda d: direct_codes.direct_codes(d, tokenizer_path("byte_bpe_50k.json")),
     "copies": pivot_simhash.near_duplicates,
+    "equal texts": digest_merge.exact_copies,
+    "runs": grammar_runs.find_runs,
 }
 
 
@@ -46,6 +48,15 @@ def test_empty_vectors_and_pages(spark):
     assert url_templates.judge_urls(pages).collect() == []
 
 
+def test_search_of_awkward_rows(spark):
+    search = lexical_blocks.lexical_search
+    found = search(documents(spark), items(spark)).collect()
+    assert {(r["item_id"], r["rank"]) for r in found} == {(0, 1), (0, 2), (0, 3), (3, 1), (3, 2), (3, 3), (None, 1)}
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["item_id"] == 3] == [1, 2, 2]
+    assert search(documents(spark, []), items(spark)).collect() == []
+    assert search(documents(spark), items(spark, [])).collect() == []
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     items(spark, [(0, "no such passage"), (1, None)]).write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (ROWS, []):
