@@ -8,9 +8,10 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 from lotwise.functions.text import collected_text, page_number
 from lotwise.queries.base import query, r, table
 from lotwise.session import shared_folder
+from lotwise.schemas import RAW_LISTINGS
 from lotwise.sources import files, html, runs
 from lotwise.sources.predictions import append_predictions, prediction_rows, read_predictions
-from lotwise.streaming.landing import land_once
+from lotwise.streaming.landing import land_once, listing_stream
 from lotwise.streaming.scoring import score_stream
 
 _LINKS = r"""regexp_extract_all(html, '(?s)<a\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1)"""
@@ -242,6 +243,37 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{folder}/table").select("user_id", "event_type")
 
 
+_WAVES = ((1, 2), (0, 3), (4,))  # page 0 comes late
+
+
+@query(
+    """
+    WITH l AS (SELECT 'R$ ' || o_orderkey AS preco, 'Rua ' || o_orderpriority AS rua, 'u' || o_custkey AS link, o_totalprice AS area_m2,
+        CAST(o_orderkey % 5 AS INT) AS pagina, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS lote, o_orderkey,
+        strftime(o_orderdate, '%Y-%m-%d') || ' 08:00:00' AS data_coleta FROM orders)
+    SELECT preco, rua, link, area_m2, data_coleta, CAST(lote AS INT) AS batch FROM l
+    QUALIFY row_number() OVER (PARTITION BY link ORDER BY lote, pagina, o_orderkey) = 1
+    """
+)
+def stream_landing(spark, sf):
+    """Page files that arrive in three waves, one of them late: whole rows of the first arrival of every link."""
+    k, folder = F.col("o_orderkey"), shared_folder(spark, "landing")
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("R$ "), k.cast("string")).alias("preco"), F.concat(F.lit("Rua "), F.col("o_orderpriority")).alias("rua"),
+        F.lit("x").alias("endereco"), F.lit(1.0).alias("quartos"), F.lit(1.0).alias("banheiros"), F.col("o_totalprice").alias("area_m2"),
+        F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("link"), F.lit("c").alias("cidade"), F.lit("pr").alias("estado"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 08:00:00")).alias("data_coleta"), k,
+    )
+    for wave in _WAVES:
+        for page in wave:
+            mine = rows.where(k % 5 == page).orderBy(k).select(*RAW_LISTINGS.fieldNames())
+            named = mine.write.mode("append").option("mapreduce.output.basename", f"c_pr_pagina{page}")
+            named.option("header", True).option("escape", '"').csv(f"{folder}/pages")
+        land_once(listing_stream(spark, f"{folder}/pages"), ["link"], f"{folder}/table", f"{folder}/state")
+    landed = spark.read.parquet(f"{folder}/table")
+    return landed.select("preco", "rua", "link", "area_m2", "data_coleta", "batch")
+
+
 @query(
     """
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS data_coleta, round_even(exp(least(value, 100) / 10), 2) AS preco_estimado, 'BRL' AS moeda FROM events
