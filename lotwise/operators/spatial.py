@@ -2,16 +2,19 @@
 
 POIs are laid out in nested cells over the unit sphere, each category refined only where it
 is dense: a cell with at most LEAF_POINTS places carries them as an array, a fuller one is cut
-in four along each axis. Listings walk down those cells by equi-joins on the cell key and drop
-every cell that can no longer matter, so the work per listing stays small even when one spot
-holds most of the POIs, and no list of listing-POI pairs is ever built. Equal coordinates are
-collapsed on both sides first.
+in four along each axis; a full cell of the finest level carries its places in several arrays.
+Listings walk down those cells by equi-joins on the cell key and drop every cell that can no
+longer matter, so the work per listing stays small even when one spot holds most of the POIs,
+and no list of listing-POI pairs is ever built. Equal coordinates are collapsed on both sides
+first. The cells are broadcast where their bytes allow it; else they are shuffled, and before
+each step the cells at which many listings stand are counted and copied, they alone.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -23,9 +26,12 @@ from lotwise.session import cut_lineage
 LEAF_POINTS = 256
 # Cells of level 13 are about 20 cm wide; each level is four times finer per axis.
 FINEST_LEVEL = 13
-BROADCAST_PLACES = 500_000
-# In the shuffled form a crowded cell's listings are spread over this many copies of it.
-SALTS = 16
+# Estimated bytes of the cell table up to which it is broadcast, and of its rows.
+BROADCAST_BYTES = 32_000_000
+CELL_BYTES, PLACE_BYTES = 200, 64
+# In the shuffled form, a cell at which more listings stand than this share of them all gets a copy for every such
+# share; at most 1 / HOT_SHARE cells can be that crowded.
+HOT_SHARE = 1 / 256
 AXES = ("x", "y", "z")
 
 
@@ -53,17 +59,13 @@ def places(poi: DataFrame) -> DataFrame:
     return p.withColumns(xyz).withColumns(index)
 
 
-def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """Cells as rows (category, node, parent, level, cnt, bounds, pts); pts only on leaves.
+def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> tuple[DataFrame, DataFrame]:
+    """Cells as rows (category, node, parent, depth, leaf, cnt, n, bounds), and the places of the leaves as rows
+    (category, node, pts) of some `leaf_points` places.
 
     Cells with a single child are skipped, so the number of levels follows the density.
     """
     bounds = [f(a).alias(f"{a}{s}") for a in AXES for f, s in ((F.min, 0), (F.max, 1))]
-    listed = F.collect_list(F.struct("lat", "lon", "x", "y", "z", "w")).alias("pts")
-    columns = ["category", "node", "parent", "depth", "cnt", *[f"{a}{s}" for a in AXES for s in (0, 1)], "pts"]
-    if pts.groupBy("category").count().where(F.col("count") > leaf_points).isEmpty():
-        flat = pts.groupBy("category").agg(F.sum("w").alias("cnt"), *bounds, listed)
-        return flat.withColumns({"node": F.lit("0"), "parent": F.lit(""), "depth": F.lit(0)}).select(*columns)
     levels = pts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST_LEVEL)))).withColumn(
         "node", _cell_key(F.col("level"))
     )
@@ -88,12 +90,7 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
         children.groupBy("category", F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     )
     kept = inner.join(branching.select("category", "node"), ["category", "node"], "left_semi")
-    leaf_pts = (
-        lookup_join(levels, leaves.select("category", "node"), ["category", "node"], "inner")
-        .groupBy("category", "node")
-        .agg(listed)
-    )
-    nodes = leaves.join(leaf_pts, ["category", "node"]).unionByName(kept, allowMissingColumns=True)
+    nodes = leaves.withColumn("leaf", F.lit(True)).unionByName(kept.withColumn("leaf", F.lit(False)))
     above = (
         nodes.where("level > 0")
         .withColumn("_above", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
@@ -106,44 +103,66 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     )
     tree = nodes.join(ancestors, ["category", "node"], "left")
     tree = tree.withColumns({"parent": F.coalesce("parent", F.lit("")), "depth": F.coalesce("depth", F.lit(0))})
-    return tree.select(*columns)
+    # A place lies in one leaf; the leaf's places are dealt into as many arrays as its number asks for.
+    array = F.pmod(F.xxhash64("lat", "lon"), F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_points)))
+    leaf_pts = (
+        lookup_join(levels, leaves.select("category", "node", "n"), ["category", "node"], "inner")
+        .groupBy("category", "node", array.alias("_array"))
+        .agg(F.collect_list(F.struct("lat", "lon", "x", "y", "z", "w")).alias("pts"))
+    )
+    cell_columns = ["category", "node", "parent", "depth", "leaf", "cnt", "n", *[f"{a}{s}" for a in AXES for s in (0, 1)]]
+    return tree.select(*cell_columns), leaf_pts.select("category", "node", "pts")
 
 
 class PlaceIndex:
-    """The written cell table with its measured size."""
+    """The written cell and leaf tables with their estimated bytes."""
 
-    def __init__(self, poi: DataFrame, leaf_points: int = LEAF_POINTS, broadcast_places: int = BROADCAST_PLACES):
+    def __init__(self, poi: DataFrame, leaf_points: int = LEAF_POINTS, broadcast_bytes: int = BROADCAST_BYTES):
         pts = places(poi).persist()
-        self.nodes = cut_lineage(cell_tree(pts, leaf_points), "tree")
+        cells, leaf_pts = cell_tree(pts, leaf_points)
+        self.cells, self.leaf_pts = cut_lineage(cells, "tree"), cut_lineage(leaf_pts, "leaves")
         pts.unpersist()
-        size = self.nodes.agg(F.max("depth").alias("d"), F.sum(F.coalesce(F.size("pts"), F.lit(1))).alias("n")).first()
-        self.depth = (size["d"] or 0) + 1 if size["n"] else 0
-        self.small = (size["n"] or 0) <= broadcast_places
-
-    def _sized(self, df: DataFrame) -> DataFrame:
-        """Broadcast when small, else SALTS copies to shuffle."""
-        if self.small:
-            return F.broadcast(df.withColumn("_salt", F.lit(0)))
-        return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    def salt(self) -> Column:
-        """The copy that a listing's coordinates are sent to."""
-        return F.lit(0) if self.small else F.pmod(F.xxhash64("lat", "lon"), F.lit(SALTS)).cast("int")
+        size = self.cells.agg(
+            F.max("depth").alias("d"), F.count(F.lit(1)).alias("cells"), F.sum(F.when(F.col("leaf"), F.col("n"))).alias("places")
+        ).first()
+        self.depth = size["d"] + 1 if size["cells"] else 0
+        self.bytes = size["cells"] * CELL_BYTES + (size["places"] or 0) * PLACE_BYTES
+        self.small = self.bytes <= broadcast_bytes
 
     def children(self) -> DataFrame:
-        c = self.nodes.select(
+        return self.cells.select(
             F.col("category").alias("_cat"),
-            F.col("node").alias("_node"),
+            F.col("node").alias("_key"),
             F.col("parent").alias("_parent"),
             F.col("cnt").alias("_cnt"),
-            F.col("pts").isNotNull().alias("_leaf"),
+            F.col("leaf").alias("_is_leaf"),
             *[f"{a}{s}" for a in AXES for s in (0, 1)],
         )
-        return self._sized(c)
 
     def leaves(self) -> DataFrame:
-        found = self.nodes.where(F.col("pts").isNotNull())
-        return self._sized(found.select(F.col("category").alias("_cat"), F.col("node").alias("_leaf"), "pts"))
+        return self.leaf_pts.select(F.col("category").alias("_cat"), F.col("node").alias("_leaf"), "pts")
+
+    def meet(self, state: DataFrame, at: str, cells: DataFrame, key: str) -> DataFrame:
+        """Left join of the rows of `state` to the cells whose `key` is their column `at` (null meets nothing)."""
+        same = (F.col("category") == F.col("_cat")) & (_spread_key(at) == F.col(key))
+        if self.small:
+            return state.join(F.broadcast(cells), same, "left").drop("_cat")
+        state = cut_lineage(state, "walk")
+        standing = state.where(F.col(at).isNotNull())
+        crowd = max(1, math.ceil(standing.count() * HOT_SHARE))
+        hot = (
+            standing.groupBy(F.col("category").alias("_hot_cat"), F.col(at).alias("_hot_key"))
+            .agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).cast("int").alias("_copies"))
+            .where("_copies > 1")
+        )
+        hot = F.broadcast(cut_lineage(hot, "hot"))  # fewer than 1 / HOT_SHARE rows
+        ours = state.join(hot, (F.col("category") == F.col("_hot_cat")) & (F.col(at) == F.col("_hot_key")), "left")
+        ours = ours.withColumn("_copy", F.pmod(F.xxhash64("lat", "lon"), F.coalesce("_copies", F.lit(1))).cast("int"))
+        theirs = cells.join(hot, (F.col("_cat") == F.col("_hot_cat")) & (F.col(key) == F.col("_hot_key")), "left")
+        theirs = theirs.withColumn("_their_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
+        extra = ("_hot_cat", "_hot_key", "_copies")
+        met = ours.drop(*extra).join(theirs.drop(*extra), same & (F.col("_copy") == F.col("_their_copy")), "left")
+        return met.drop("_cat", "_copy", "_their_copy")
 
 
 def distinct_points(listings: DataFrame) -> DataFrame:
@@ -188,20 +207,12 @@ def _spread_key(name: str) -> Column:
 
 def _step(state: DataFrame, index: PlaceIndex) -> DataFrame:
     """Rows with an open cell meet its children, the others (node is null) pass through."""
-    same = (
-        (F.col("category") == F.col("_cat"))
-        & (_spread_key("node") == F.col("_parent"))
-        & (index.salt() == F.col("_salt"))
-    )
-    return state.join(index.children(), same, "left")
+    return index.meet(state, "node", index.children(), "_parent")
 
 
 def _leaf_places(state: DataFrame, index: PlaceIndex) -> DataFrame:
-    """One row per place `_p` of every leaf still in play (at most LEAF_POINTS per row)."""
-    same = (
-        (F.col("category") == F.col("_cat")) & (_spread_key("leaf") == F.col("_leaf")) & (index.salt() == F.col("_salt"))
-    )
-    met = state.join(index.leaves(), same, "left").drop("_cat", "_leaf", "_salt")
+    """One row per place `_p` of every leaf still in play."""
+    met = index.meet(state, "leaf", index.leaves(), "_leaf").drop("_leaf")
     return met.select("*", F.explode_outer("pts").alias("_p")).drop("pts")
 
 
@@ -240,8 +251,8 @@ def radius_counts(points: DataFrame, index: PlaceIndex, radii: dict[str, float |
             .where(~met | (low <= F.col("sure_out")))
             .select(
                 *keep,
-                F.when(met & ~covered & ~F.col("_leaf"), F.col("_node")).alias("node"),
-                F.when(~met, F.col("leaf")).when(~covered & F.col("_leaf"), F.col("_node")).alias("leaf"),
+                F.when(met & ~covered & ~F.col("_is_leaf"), F.col("_key")).alias("node"),
+                F.when(~met, F.col("leaf")).when(~covered & F.col("_is_leaf"), F.col("_key")).alias("leaf"),
                 F.when(covered, F.col("_cnt")).otherwise(F.col("n")).alias("n"),
             )
         )
@@ -274,11 +285,11 @@ def nearest_distance(points: DataFrame, index: PlaceIndex, categories: list[str]
     for turn in range(index.depth):
         state = (
             _step(state, index)
-            .where(~met | F.col("_node").isNotNull())
+            .where(~met | F.col("_key").isNotNull())
             .select(
                 *keep,
-                F.when(met & ~F.col("_leaf"), F.col("_node")).alias("node"),
-                F.when(met & F.col("_leaf"), F.col("_node")).otherwise(F.col("leaf")).alias("leaf"),
+                F.when(met & ~F.col("_is_leaf"), F.col("_key")).alias("node"),
+                F.when(met & F.col("_is_leaf"), F.col("_key")).otherwise(F.col("leaf")).alias("leaf"),
                 F.when(met, low).otherwise(F.col("lo")).alias("lo"),
                 F.when(met, high).otherwise(F.col("hi")).alias("hi"),
             )
@@ -304,29 +315,33 @@ def poi_features(
     poi: DataFrame,
     radii: dict[str, float | Sequence[float]] = RADII,
     leaf_points: int = LEAF_POINTS,
-    broadcast_places: int = BROADCAST_PLACES,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    wanted: Sequence[str] = ("distance", "count"),
 ) -> DataFrame:
     """Listings plus nearest distance (null without POIs) per category and a count for each of its radii.
 
-    `listings` has lat/lon, `poi` has category/lat/lon. Listings at equal coordinates share
-    one computation; hot coordinates are kept out of the shuffle of the join back.
+    `listings` has lat/lon, `poi` has category/lat/lon; `wanted` may name one half of the features. Listings at equal
+    coordinates share one computation; hot coordinates are kept out of the shuffle of the join back.
     """
-    index = PlaceIndex(poi.where(F.col("category").isin(list(radii))), leaf_points, broadcast_places)
+    index = PlaceIndex(poi.where(F.col("category").isin(list(radii))), leaf_points, broadcast_bytes)
     points = distinct_points(listings)
-    if index.depth:
-        found = nearest_distance(points, index, list(radii)).unionByName(
-            radius_counts(points, index, radii), allowMissingColumns=True
-        )
-        mine = F.col("category")
-        aggs = [F.min(F.when(mine == c, F.col("metres"))).alias(distance_name(c)) for c in radii] + [
-            F.max(F.when((mine == c) & (F.col("radius") == F.lit(float(r))), F.col("n"))).alias(count_name(c, r))
+    mine, found, aggs = F.col("category"), [], {}
+    if "distance" in wanted:
+        if index.depth:
+            found.append(nearest_distance(points, index, list(radii)))
+        aggs |= {distance_name(c): F.min(F.when(mine == c, F.col("metres"))) for c in radii}
+    if "count" in wanted:
+        if index.depth:
+            found.append(radius_counts(points, index, radii))
+        aggs |= {
+            count_name(c, r): F.max(F.when((mine == c) & (F.col("radius") == F.lit(float(r))), F.col("n")))
             for c, r in radii_of(radii)
-        ]
-        wide = cut_lineage(found.groupBy("lat", "lon").agg(*aggs), "poi-features")
+        }
+    counts = [n for n in (count_name(c, r) for c, r in radii_of(radii)) if n in aggs]
+    if found:
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+        wide = cut_lineage(both.groupBy("lat", "lon").agg(*[a.alias(n) for n, a in aggs.items()]), "poi-features")
         out = lookup_join(listings, wide, ["lat", "lon"])
     else:
-        out = listings.withColumns({distance_name(c): F.lit(None).cast("double") for c in radii}).withColumns(
-            {count_name(c, r): F.lit(None).cast("long") for c, r in radii_of(radii)}
-        )
-    filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in (count_name(c, r) for c, r in radii_of(radii))}
-    return out.withColumns(filled)
+        out = listings.withColumns({n: F.lit(None).cast("long" if n in counts else "double") for n in aggs})
+    return out.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in counts})

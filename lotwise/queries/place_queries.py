@@ -44,13 +44,13 @@ _COUNT = ", ".join(
     + " FROM w"
 )
 def nearest_poi(spark, sf):
-    out = poi_features(_listings(spark, sf), _poi(spark, sf))
+    out = poi_features(_listings(spark, sf), _poi(spark, sf), wanted=("distance",))
     return out.select("c_custkey", *[r(distance_name(c), 3).alias(distance_name(c)) for c in CATEGORIES])
 
 
 @query(f"WITH {_PAIRS} SELECT c_custkey, {_COUNT} FROM d GROUP BY 1")
 def radius_counts(spark, sf):
-    out = poi_features(_listings(spark, sf), _poi(spark, sf))
+    out = poi_features(_listings(spark, sf), _poi(spark, sf), wanted=("count",))
     return out.select("c_custkey", *[count_name(c, RADII[c]) for c in CATEGORIES])
 
 
@@ -64,7 +64,7 @@ _TWO_COUNTS = ", ".join(
 @query(f"WITH {_PAIRS} SELECT c_custkey, {_TWO_COUNTS} FROM d GROUP BY 1")
 def several_radii(spark, sf):
     """Two counts per category: its usual radius and three times that."""
-    out = poi_features(_listings(spark, sf), _poi(spark, sf), _TWO_RADII)
+    out = poi_features(_listings(spark, sf), _poi(spark, sf), _TWO_RADII, wanted=("count",))
     return out.select("c_custkey", *[count_name(c, m) for c in CATEGORIES for m in _TWO_RADII[c]])
 
 
@@ -84,6 +84,63 @@ def proximity_scores(spark, sf):
     return out.select("c_custkey", *[r(s, 6).alias(s) for s in [*SCORES, "score_educacao"]])
 
 
+_SPREAD = (
+    "-25.0::double - ((l_orderkey * 7919 + l_linenumber * 31) % 200003) / 1000000.0::double AS lat, "
+    "-50.0::double - ((l_orderkey * 104729 + l_linenumber * 17) % 300007) / 1000000.0::double AS lon"
+)
+
+
+def _line_places(spark, sf, crowded: bool) -> DataFrame:
+    """A place for every line of an order; if `crowded`, a third of them stand at one point."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    spread = {
+        "lat": F.lit(-25.0) - ((k * 7919 + n * 31) % 200003) / F.lit(1000000.0),
+        "lon": F.lit(-50.0) - ((k * 104729 + n * 17) % 300007) / F.lit(1000000.0),
+    }
+    point = {"lat": F.lit(-25.1), "lon": F.lit(-50.1)}
+    here = {c: F.when((k + n) % 3 == 0, point[c]).otherwise(v) if crowded else v for c, v in spread.items()}
+    return table(spark, sf, "lineitem").select(
+        F.when(n <= 2, F.lit("mercado")).otherwise(F.lit("parque")).alias("category"), *[v.alias(c) for c, v in here.items()]
+    )
+
+
+def _line_sql(crowded: bool) -> str:
+    at = """CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN -25.1::double ELSE lat END AS lat,
+        CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN -50.1::double ELSE lon END AS lon""" if crowded else "lat, lon"
+    metres = """2 * 6371000.0::double * asin(sqrt(least(1.0::double, pow(sin(radians(p.lat - l.lat) / 2), 2)
+        + cos(radians(l.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - l.lon) / 2), 2))))"""
+    columns = ", ".join(
+        f"round(min(metres) FILTER (cat = '{c}'), 3) AS {distance_name(c)}, "
+        f"coalesce(sum(w) FILTER (cat = '{c}' AND metres <= {RADII[c]}), 0)::bigint AS {count_name(c, RADII[c])}"
+        for c in ("mercado", "parque")
+    )
+    return f"""WITH s AS (SELECT *, {_SPREAD} FROM lineitem),
+    p AS (SELECT CASE WHEN l_linenumber <= 2 THEN 'mercado' ELSE 'parque' END AS cat, {at} FROM s),
+    q AS (SELECT cat, lat, lon, count(*) AS w FROM p GROUP BY ALL),
+    l AS (SELECT s_suppkey, {place_sql('s_suppkey')} FROM supplier),
+    d AS (SELECT s_suppkey, cat, w, {metres} AS metres FROM l CROSS JOIN q p)
+    SELECT s_suppkey, {columns} FROM d GROUP BY 1"""
+
+
+def _line_features(spark, sf, crowded: bool) -> DataFrame:
+    homes = with_place(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", "lat", "lon")
+    out = poi_features(homes, _line_places(spark, sf, crowded), {c: RADII[c] for c in ("mercado", "parque")})
+    names = [n for c in ("mercado", "parque") for n in (distance_name(c), count_name(c, RADII[c]))]
+    return out.select("s_suppkey", *[r(n, 3).alias(n) if n.startswith("dist") else F.col(n) for n in names])
+
+
+@query(_line_sql(False))
+def dense_poi(spark, sf):
+    """Places in the tens of thousands: the walk goes down several levels of cells."""
+    return _line_features(spark, sf, False)
+
+
+@query(_line_sql(True))
+def crowded_poi(spark, sf):
+    """The same with a third of all places at one point."""
+    return _line_features(spark, sf, True)
+
+
 def _digits(value, width: int = 4):
     return F.lpad(value.cast("string"), width, "0")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.geo import haversine_m, standard_geometry, wkt_centroid
 from lotwise.functions.scores import RADII, count_name, distance_name, with_scores
-from lotwise.operators.spatial import poi_features
+from lotwise.operators.spatial import PlaceIndex, poi_features
 
 R = 6_371_000.0
 
@@ -31,14 +31,14 @@ def check(spark, listings, poi, radii, **kw):
         assert list(got[count_name(c, r)]) == list((d <= r).sum(axis=1))
 
 
-@pytest.mark.parametrize("leaf,limit", [(256, 500_000), (4, 500_000), (4, 0)])
+@pytest.mark.parametrize("leaf,limit", [(256, 32_000_000), (4, 32_000_000), (4, 0)])
 def test_cells_equal_brute_force(spark, leaf, limit):
     """One leaf, deep cells, and deep cells joined by shuffle give the same answer."""
     rng = np.random.default_rng(1)
     listings = np.column_stack([-25 - rng.random(120) / 5, -50 - rng.random(120) / 5])
     listings = np.vstack([listings, listings[:5]])
     poi = [(c, -25 - a / 5, -50 - b / 5) for c in ("x", "y") for a, b in rng.random((150, 2))]
-    check(spark, listings, poi, {"x": 500, "y": 2000}, leaf_points=leaf, broadcast_places=limit)
+    check(spark, listings, poi, {"x": 500, "y": 2000}, leaf_points=leaf, broadcast_bytes=limit)
 
 
 def test_dense_spot_and_copies(spark):
@@ -50,6 +50,32 @@ def test_dense_spot_and_copies(spark):
     check(spark, listings, poi, {"x": 300}, leaf_points=8)
 
 
+@pytest.mark.parametrize("limit", [0, 32_000_000])
+def test_full_finest_cell_and_crowded_listings(spark, limit):
+    """Many places within some millimetres, in arrays of a few, and most listings at one cell."""
+    rng = np.random.default_rng(5)
+    poi = [("x", -25.05 + a / 1e9, -50.05 + b / 1e9) for a, b in rng.random((200, 2))]
+    poi += [("x", -25 - a / 5, -50 - b / 5) for a, b in rng.random((100, 2))] + [("y", -25.1, -50.1)]
+    near = np.column_stack([-25.05 - rng.random(200) / 1e4, -50.05 - rng.random(200) / 1e4])
+    listings = np.vstack([near, np.column_stack([-25 - rng.random(40) / 5, -50 - rng.random(40) / 5])])
+    check(spark, listings, poi, {"x": 300, "y": 1000}, leaf_points=8, broadcast_bytes=limit)
+
+
+def test_full_leaf_is_several_rows(spark):
+    rng = np.random.default_rng(6)
+    spot = [("x", -25.0 + float(a) / 1e9, -50.0 + float(b) / 1e9) for a, b in rng.random((400, 2))] + [("x", 10.0, 10.0)]
+    index = PlaceIndex(spark.createDataFrame(spot, "category string, lat double, lon double"), leaf_points=16)
+    sizes = [r["n"] for r in index.leaf_pts.select(F.size("pts").alias("n")).collect()]
+    assert sum(sizes) == 401 and max(sizes) < 48 and len(sizes) > 16 and index.cells.count() <= 40
+
+
+def test_one_half_of_the_features(spark):
+    listings = spark.createDataFrame([(1, 0.0, 0.0)], "id int, lat double, lon double")
+    poi = spark.createDataFrame([("a", 0.001, 0.0)], "category string, lat double, lon double")
+    assert poi_features(listings, poi, {"a": 500}, wanted=("count",)).columns == ["lat", "lon", "id", "qtd_a_500m"]
+    assert "qtd_a_500m" not in poi_features(listings, poi, {"a": 500}, wanted=("distance",)).columns
+
+
 def test_date_line_and_poles(spark):
     poi = [("x", 0.0, 179.999), ("x", 89.9999, 10.0), ("x", -89.9999, 0.0), ("x", 10.0, -179.5)]
     listings = [(0.0, -179.999), (89.9999, -170.0), (-89.99, 180.0), (10.0, 179.9), (45.0, 45.0)]

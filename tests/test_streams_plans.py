@@ -105,8 +105,8 @@ def test_plans_stay_native(spark, folder):
 def test_poi_plan_has_no_cross_join_in_either_form(spark):
     pts = spark.range(50).select("id", (F.col("id") / 1000).alias("lat"), (F.col("id") / 900).alias("lon"))
     poi = pts.select(F.lit("x").alias("category"), "lat", "lon")
-    for limit in (0, 1_000_000):
-        text = plan(poi_features(pts, poi, {"x": 100}, leaf_points=4, broadcast_places=limit))
+    for limit in (0, 32_000_000):
+        text = plan(poi_features(pts, poi, {"x": 100}, leaf_points=4, broadcast_bytes=limit))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
