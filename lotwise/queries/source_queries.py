@@ -40,6 +40,41 @@ def page_cards(spark, sf):
     )
 
 
+_BOX = "'<div>R$ ' || p_partkey || '</div><DIV class=\"small Card\">x<div><b>' || p_size || '</b></div ></DIV> tail'"
+
+
+@query(
+    f"""
+    WITH p AS (SELECT *, CAST(floor(p_partkey / 10) AS BIGINT) AS page_id FROM part),
+    n AS (SELECT *, page_id % 4 + 1 AS t, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) - 1 AS i FROM p),
+    c AS (
+      SELECT page_id, t, i AS pos, 'a' AS tag, p_name AS body FROM n WHERE t <= 2
+      UNION ALL SELECT page_id, t, 2 * i, 'div', {_BOX} FROM n WHERE t = 3
+      UNION ALL SELECT page_id, t, 2 * i + 1, 'div', 'x<div><b>' || p_size || '</b></div >' FROM n WHERE t = 3
+      UNION ALL SELECT page_id, t, i, 'article', p_name || '<span>' || p_size || '</span>' FROM n WHERE t = 4)
+    SELECT page_id, CAST(t AS INT) AS tier, CAST(pos AS INT) AS pos, tag, length(body)::bigint AS chars, md5(body) AS digest FROM c
+    """
+)
+def page_tiers(spark, sf):
+    """Pages whose cards are of each of the four kinds, boxes within boxes among them."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    page = F.floor(k / 10)
+    box = F.concat(
+        F.lit("<div>R$ "), k, F.lit('</div><DIV class="small Card">x<div><b>'), F.col("p_size"), F.lit("</b></div ></DIV> tail")
+    )
+    kind = page % 4
+    card = (
+        F.when(kind == 0, F.concat(F.lit('<a href="/imovel/'), k, F.lit('">'), name, F.lit("</a>")))
+        .when(kind == 1, F.concat(F.lit("<a data-testid='Property-Card' href='/x'>"), name, F.lit("</a>")))
+        .when(kind == 2, F.concat(F.lit('</div><div id="a" class="wide CARD">'), box, F.lit("</div>")))
+        .otherwise(F.concat(F.lit("<article>"), name, F.lit("<span>"), F.col("p_size"), F.lit("</span></article>")))
+    )
+    rows = table(spark, sf, "part").select(page.alias("page_id"), k.alias("k"), card.alias("card"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "\n")
+    found = html.cards(rows.groupBy("page_id").agg(body.alias("html")))
+    return found.select("page_id", "tier", "pos", "tag", F.length("inner").cast("long").alias("chars"), F.md5("inner").alias("digest"))
+
+
 _STREETS = ["Rua das Flores", "Avenida Brasil", "R. Sete"]
 
 
@@ -89,15 +124,19 @@ def listing_pages(spark, sf) -> DataFrame:
       CASE WHEN lay < 3 THEN CAST(p_size % 4 AS DOUBLE) END AS banheiros,
       CASE lay WHEN 0 THEN CAST(p_size * 3 AS DOUBLE) WHEN 2 THEN CAST(p_size * 3 AS DOUBLE) WHEN 1 THEN p_size * 3 + 0.5::double END AS area_m2,
       CASE lay WHEN 0 THEN 'https://host.example/imovel/' || p_partkey || '/' WHEN 1 THEN 'http://x.example/imovel/' || p_partkey
-               WHEN 2 THEN 'https://host.example/imovel/' || p_partkey END AS link
+               WHEN 2 THEN 'https://host.example/imovel/' || p_partkey END AS link,
+      'cidade-' || (page_id % 3) AS cidade, 'pr' AS estado, '2026-02-09 08:' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || ':00' AS data_coleta
     FROM p QUALIFY lay < 3
     """
 )
 def page_listings(spark, sf):
-    rows = html.extract_listings(listing_pages(spark, sf), "https://host.example", "cidade", "pr")
+    city = F.concat(F.lit("cidade-"), (F.col("page_id") % 3).cast("string"))
+    when = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-02-09 08:00:00")) + F.col("page_id") % 60 * 60)
+    rows = html.extract_listings(listing_pages(spark, sf), "https://host.example", city, "pr", when)
     number = F.regexp_extract("link", r"imovel/(\d+)", 1).cast("long")
     return rows.select(
-        "page_id", "pos", (number % 4).alias("lay"), "preco", "rua", "endereco", "quartos", "banheiros", "area_m2", "link"
+        "page_id", "pos", (number % 4).alias("lay"), "preco", "rua", "endereco", "quartos", "banheiros", "area_m2", "link",
+        "cidade", "estado", "data_coleta",
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from collections.abc import Callable
+from html.entities import html5, name2codepoint
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.functions.binding import let
 from lotwise.functions.text import first_match, strip
+from lotwise.session import cut_lineage
 
 # Markers of the listing markup.
 LISTING_HREF = "/imovel/"
@@ -16,14 +18,17 @@ CARD_CLASS = "card"
 STREET_MARK = "rp-cardProperty-street-txt"
 DEFAULT_PAGE_COUNT = 10
 
-_BREAK = "\u0001"
-# Named characters of HTML and XML.
-_ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
+_BREAK, _PAIR, _IS = "\u0001", "\u0002", "\u0003"
+# Named characters of HTML 5 that end in a semicolon; those in common use stand first, as a lookup goes through them in turn.
+_COMMON = ["amp", "nbsp", "lt", "gt", "quot", "apos", "sup2", *sorted(name2codepoint)]
+_ENTITIES = {n: html5[f"{n};"] for n in dict.fromkeys([*_COMMON, *(k[:-1] for k in sorted(html5) if k.endswith(";"))])}
 
 
 def decode_entities(text: Column) -> Column:
     """&amp;, &sup2;, &#178;, &#xB2; ... to characters; unknown names stay as they are."""
-    names = F.create_map(*[F.lit(x) for pair in _ENTITIES.items() for x in pair])
+    # one text literal, which is folded into one map; a literal for every name costs more than the decoding
+    listed = _PAIR.join(f"{n}{_IS}{c}" for n, c in _ENTITIES.items())
+    names = F.str_to_map(F.lit(listed), F.lit(_PAIR), F.lit(_IS))
 
     def from_code(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
@@ -82,45 +87,49 @@ def flat_elements(html: Column, tag: str) -> Column:
     return _as_elements(F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"), F.lit(1)), tag)
 
 
-def nested_elements(html: Column, tag: str) -> Column:
-    """Elements in document order, inner ones included, closed at their own end tag."""
-    def step(s: Column) -> Column:
-        return (
-            F.when(s.rlike(rf"(?i)^<{tag}[\s>/]"), F.lit(1))
-            .when(s.rlike(rf"(?i)^</{tag}\s*>"), F.lit(-1))
-            .otherwise(F.lit(0))
-        )
-
-    def running(steps: Column) -> Column:
-        sums = F.aggregate(
-            steps,
-            F.array(F.lit(0)),
-            lambda acc, k: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1) + k, F.lit(0)))),
-        )
-        return F.slice(sums, F.lit(2), F.size(steps))
-
-    def found(parts: Column) -> Column:
-        def closed(steps: Column) -> Column:
-            def cut(depth: Column) -> Column:
-                numbers = F.sequence(F.lit(1), F.size(parts))
-
-                def element(i: Column) -> Column:
-                    later = F.slice(depth, i + 1, F.size(depth))
-                    close = F.array_position(later, F.element_at(depth, i) - 1).cast("int")
-                    length = F.when(close > 0, close).otherwise(F.size(parts) - i + 1)
-                    return F.array_join(F.slice(parts, i, length), "")
+def nested_elements(rows: DataFrame, key: str, html: str, tag: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, pos, tag, open, inner) of a table's elements, inner ones included, closed at their own end tags.
 
-                return F.transform(F.filter(numbers, lambda i: F.element_at(steps, i) == 1), element)
-
-            return let(running(steps), cut)
-
-        return let(F.transform(parts, step), closed)
-
-    return _as_elements(let(F.split(html, rf"(?i)(?=<{tag}[\s>/])|(?=</{tag}\s*>)"), found), tag)
+    `key` names each row, `wanted` judges open tags, `pos` numbers the wanted elements of a row in document order. The
+    tags become events with a running depth (an end tag at depth zero counts for nothing); events of one level are open
+    and close in turn, so the next one closes an element, or the text's end does. Texts are cut out by byte places, hence
+    the work follows the length of the text and of what is cut out.
+    """
+    parts = F.split(html, rf"(?i)(?=<{tag}[\s>/])|(?=</{tag}\s*>)")
+    events = rows.select(key, F.posexplode(parts).alias("_i", "_part")).select(
+        key,
+        "_i",
+        F.when(F.col("_part").rlike(rf"(?i)^<{tag}[\s>/]"), 1).when(F.col("_part").rlike(rf"(?i)^</{tag}\s*>"), -1).otherwise(0).alias("_step"),
+        F.regexp_extract("_part", r"(?s)^(<[^>]*>)", 1).alias("open"),
+        F.octet_length("_part").alias("_size"),
+    )
+    order = Window.partitionBy(key).orderBy("_i")
+    events = events.select(
+        "*", F.sum("_step").over(order).alias("_sum"), (F.sum("_size").over(order) - F.col("_size")).alias("_start")
+    )
+    events = events.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order)))
+    events = events.withColumn("_above", F.lag("_depth", 1, 0).over(order)).where("_step = 1 OR (_step = -1 AND _above > 0)")
+    level = F.greatest("_depth", "_above").alias("_level")  # of an open its own depth, of a close the one it leaves
+    same = Window.partitionBy(key, "_level").orderBy("_i")
+    found = events.select("*", level).withColumn("_stop", F.lead("_start").over(same)).where("_step = 1")
+    if wanted is not None:
+        found = found.where(wanted(F.col("open")))
+    found = found.select(
+        key, "_i", "open", (F.col("_start") + F.octet_length("open")).alias("_from"), "_stop",
+        (F.row_number().over(order) - 1).alias("pos"),
+    )
+    text = F.col("_text").cast("binary")
+    size = F.coalesce("_stop", F.octet_length(text)) - F.col("_from")
+    inner = F.substr(text, (F.col("_from") + 1).cast("int"), size.cast("int")).cast("string")
+    cut = found.join(rows.select(key, F.col(html).alias("_text")), key)
+    return cut.select(key, "pos", F.lit(tag).alias("tag"), "open", inner.alias("inner"))
 
 
 def cards(pages: DataFrame) -> DataFrame:
-    """One row per card (page columns, tier, pos, tag, open, inner); first tier with cards wins."""
+    """One row per card (page columns, tier, pos, tag, open, inner); first tier with cards wins.
+
+    Pages without a card of the first two tiers that may hold one of the others are written once, under a number each.
+    """
     kept = [c for c in pages.columns if c != "html"]
     links = pages.select(*kept, without_scripts(F.col("html")).alias("_html")).withColumn(
         "_links", flat_elements(F.col("_html"), "a")
@@ -129,28 +138,25 @@ def cards(pages: DataFrame) -> DataFrame:
     marked = F.filter(
         "_links", lambda e: F.contains(F.lower(attribute(e["open"], "data-testid")), F.lit(CARD_TEST_ID))
     )
-    boxes = F.filter(
-        nested_elements(F.col("_html"), "div"),
-        lambda e: F.contains(F.lower(attribute(e["open"], "class")), F.lit(CARD_CLASS)),
-    )
 
     def tier(n: int, found: Column) -> Column:
         return let(found, lambda c: F.when(F.size(c) > 0, F.struct(F.lit(n).alias("tier"), c.alias("cards"))))
 
-    # Pages without the class marker never reach the nested scan.
+    linked = links.select(*kept, "_html", F.coalesce(tier(1, listing), tier(2, marked)).alias("_t"))
+    flat = linked.where(F.col("_t").isNotNull()).select(
+        *kept, F.col("_t.tier").alias("tier"), F.posexplode("_t.cards").alias("pos", "_c")
+    )
     has_box = F.col("_html").rlike(r"(?is)<div\b[^>]*class\s*=[^>]*card")
     has_article = F.col("_html").rlike(r"(?i)<article[\s>]")
-    picked = F.coalesce(
-        tier(1, listing),
-        tier(2, marked),
-        F.when(has_box, tier(3, boxes)),
-        F.when(has_article, tier(4, nested_elements(F.col("_html"), "article"))),
-    )
-    return (
-        links.select(*kept, picked.alias("_t"))
-        .select(*kept, F.col("_t.tier").alias("tier"), F.posexplode("_t.cards").alias("pos", "_c"))
-        .select(*kept, "tier", "pos", "_c.*")
-    )
+    rest = linked.where(F.col("_t").isNull() & (has_box | has_article)).select(*kept, "_html")
+    rest = cut_lineage(rest.withColumn("_page", F.monotonically_increasing_id()), "pages")
+    in_class = lambda tag: F.contains(F.lower(attribute(tag, "class")), F.lit(CARD_CLASS))
+    boxes = nested_elements(rest.where(has_box), "_page", "_html", "div", in_class).withColumn("tier", F.lit(3))
+    boxed = boxes.select("_page").distinct()
+    articles = nested_elements(rest.where(has_article).join(boxed, "_page", "left_anti"), "_page", "_html", "article")
+    nested = boxes.unionByName(articles.withColumn("tier", F.lit(4))).join(rest.select("_page", *kept), "_page")
+    columns = [*kept, "tier", "pos", "tag", "open", "inner"]
+    return flat.select(*kept, "tier", "pos", "_c.*").unionByName(nested.select(*columns))
 
 
 def _element_text(inner: Column, pattern: str) -> Column:
@@ -179,14 +185,18 @@ def _first_nonzero(title_value: Column, spans: Column, wanted, number: str) -> C
 def listings_from_cards(
     found: DataFrame, host: str, city: Column | str, state: Column | str, collected: Column | None = None
 ) -> DataFrame:
-    """Raw listing rows of the cards that show a price or an address."""
+    """Raw listing rows of the cards that show a price or an address; the cards are written once, under a number each."""
     inner = F.col("inner")
-    rows = found.withColumns(
+    found = cut_lineage(found.withColumn("_card", F.monotonically_increasing_id()), "cards")
+    with_spans = found.where(inner.rlike(r"(?i)<span[\s>/]"))
+    spans = nested_elements(with_spans, "_card", "inner", "span").select("_card", F.struct("pos", joined_text(inner).alias("text")).alias("_s"))
+    spans = spans.groupBy("_card").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    rows = found.join(spans, "_card", "left").withColumns(
         {
             "_title": attribute(F.col("open"), "title"),
             "_href": F.when(F.col("tag") == "a", attribute(F.col("open"), "href")),
             "_text": F.array_join(texts(inner), " "),
-            "_spans": F.transform(nested_elements(inner, "span"), lambda e: joined_text(e["inner"])),
+            "_spans": F.coalesce(F.transform("_s", lambda e: e["text"]), F.array().cast("array<string>")),
         }
     )
     title, href, spans = F.col("_title"), F.col("_href"), F.col("_spans")
@@ -233,7 +243,7 @@ def listings_from_cards(
         }
     )
     rows = rows.where(F.col("preco").isNotNull() | (F.coalesce("endereco", F.lit("")) != ""))
-    return rows.drop("_title", "_href", "_text", "_spans", "tag", "open", "inner")
+    return rows.drop("_title", "_href", "_text", "_spans", "_s", "_card", "tag", "open", "inner")
 
 
 def extract_listings(pages: DataFrame, host: str, city, state, collected: Column | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
+import random
 import os
+import re
 import tempfile
 
 import pytest
@@ -120,6 +122,45 @@ def test_tiers_and_nesting(spark):
         (1, 3, "R$ 10", None, None), (1, 3, "R$ 20", None, None), (2, 4, None, "Casa em X", 1.0)]
 
 
+def slow_elements(text, tag):
+    """(open, inner) of every element, by a stack."""
+    found, stack = [], []
+    for m in re.finditer(rf"(?i)<{tag}(?=[\s>/])[^>]*>|</{tag}\s*>", text):
+        if m[0][1] != "/":
+            found.append([m[0], m.end(), len(text)])
+            stack.append(found[-1])
+        elif stack:
+            stack.pop()[2] = m.start()
+    return [(tag_text, text[a:b]) for tag_text, a, b in found]
+
+
+def test_nested_elements_brute_force(spark):
+    rng = random.Random(8)
+    pieces = ["<div>", "<DIV class='á'>", "</div>", "</Div >", "<divx>", "é", "x", "<div/>", "<p>", "</p>", "\n"]
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(pages)), "k long, h string").repartition(5)
+    got = {}
+    for row in html.nested_elements(df, "k", "h", "div").collect():
+        got.setdefault(row["k"], {})[row["pos"]] = (row["open"], row["inner"])
+    for k, page in enumerate(pages):
+        assert [got.get(k, {})[i] for i in range(len(got.get(k, {})))] == slow_elements(page or "", "div"), page
+
+
+def test_many_nested_elements(spark):
+    """20,000 boxes in one page, in blocks of three within each other."""
+    page = "".join(f"<div class='card'>{i}<div><div class='a card'>é{i}</div></div></div>" for i in range(7000))
+    found = html.cards(spark.createDataFrame([(1, page)], "page_id int, html string"))
+    row = found.agg(F.count(F.lit(1)), F.max("pos"), F.sum(F.length("inner")), F.min("tier")).first()
+    cards = [e for e in slow_elements(page, "div") if "card" in e[0]]
+    assert tuple(row) == (14000, 13999, sum(len(e[1]) for e in cards), 3)
+
+
+def test_named_characters(spark):
+    cases = {"&amp;&nbsp;&Eacute;&hellip;&NotEqualTilde;&#178;&#xB2;&nope;&": "&\u00a0É…≂̸²²&nope;&", "a &lt b": "a &lt b", "&check;": "✓"}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", html.decode_entities(F.col("t")).alias("d"))
+    assert {r["t"]: r["d"] for r in rows.collect()} == cases
+
+
 def test_page_totals(spark):
     cases = ["Página 1 de 7 páginas", "<button aria-label='página 3'/></button><button aria-label='Página  12'>", "de <b>9</b> páginas", ""]
     rows = spark.createDataFrame([(c,) for c in cases], "h string").select(html.page_count(F.col("h")))
