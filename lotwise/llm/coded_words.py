@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 AT_ONCE = 4_000_000  # bytes of text coded at once; a longer text is a chunk of its own
 
 
-def chunks(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most AT_ONCE bytes of text each, or one row."""
+def chunks(batch: pa.RecordBatch, column: int = 1, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `at_once` bytes of text each, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + at_once, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -16,17 +16,18 @@ that Spark writes to holds them and a lost executor costs only its running tasks
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotwise.llm.common import MAX_WORDS, id_and_text, share
+from lotwise.llm.coded_words import chunks
+from lotwise.llm.common import id_and_text, share
 from lotwise.session import shared_folder
 
 MAGIC = b"DAC1"
@@ -111,92 +112,114 @@ class Segment:
         return values
 
 
-# The tokenizer's own split into words, as its library publishes it.
-BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PART = 1 << 20  # characters of a text that are split at once
+SENTENCE = 512  # runs that go to the library as one text
+AT_ONCE = 5_000_000  # bytes of text that are numbered together
+MAX_RUNS, LONGEST = 500_000, 64  # runs remembered, and the bytes of one at most: 70 MB, some 25 with usual words
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_UNEVEN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "](?: |\\z)"
+_CUT = re.compile(r"(?<=\S)(?= )")
 
 
-def byte_table() -> dict[int, str]:
-    """The printable character that stands for each byte: itself where it is printable, else one from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+class BulkEncoder:
+    """Ids of many texts, as the library gives them by default.
 
-
-def parts(text: str) -> Iterator[str]:
-    """A long text cut before single spaces that follow a non-space; no word of the tokenizer spans such a place."""
-    at = 0
-    while len(text) - at > PART:
-        cut = at + PART
-        while cut < len(text) and (text[cut] != " " or text[cut - 1].isspace()):
-            cut += 1
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
-SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
-
-
-def text_encoder(tokenizer_json: str):
-    """`encode(text) -> bytes` of little-endian u32 ids.
-
-    Words are split by the tokenizer's pattern and encoded by the library's model; those met before come from a
-    cache. Texts are ordinary text throughout, also where they spell an added token; see `document_encoder`.
+    The tokenizer's pattern never looks behind, and no word of it holds a space but as its first character; so a text falls
+    apart before every space that follows a non-space, without changing its ids. The pieces of a chunk of texts are
+    numbered in bulk, each different one is encoded once, and the texts' ids are gathered by number. Runs of one word are
+    remembered within bounds, compactly. A text that spells an added token goes to the library whole, unless `ordinary` texts are wanted.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    words_of, table = BYTE_LEVEL.findall, byte_table()
-    model = Tokenizer.from_str(tokenizer_json).model
-    known: dict[str, bytes] = {}  # by word of the pattern
-    after: dict[str, bytes] = {}  # by run of characters that one space precedes
 
-    def ids_of(word: str) -> bytes:
-        ids = known.get(word)
-        if ids is None:
-            found = model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))
-            ids = known[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        return ids
+    def __init__(self, tokenizer_json: str, ordinary: bool = False):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer_json)
+        self.plain = Tokenizer.from_str(tokenizer_json)
+        self.plain.encode_special_tokens = True
+        self.added = [] if ordinary else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with the space's byte
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.known, self.known_ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.places, self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of each text's ids)."""
+        found = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
+
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each run's begin, how many they are) of different runs with one space before them, none within
+        and no blank at their end. Runs not met before go to the library many at a time; one id of each begins with the
+        space, its first."""
+        found = pc.index_in(runs, value_set=self.known)
+        hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)
+        fresh = runs.filter(pa.array(~hit))
+        words = [w or "." for w in fresh.to_pylist()]  # only first pieces are empty, and their codes are replaced
+        ids, _ = self._ids([" " + " ".join(words[k : k + SENTENCE]) for k in range(0, len(words), SENTENCE)])
+        firsts = np.flatnonzero(self.spaced[ids])
+        flat = np.concatenate([self.known_ids, ids])
+        places, sizes = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+        places[~hit], sizes[~hit] = len(self.known_ids) + firsts, np.diff(np.append(firsts, len(ids)))
+        places[hit], sizes[hit] = self.places[at[hit]], self.sizes[at[hit]]
+        self.met[at[hit]] = True
+        short = ~hit & (pc.binary_length(runs).to_numpy(zero_copy_only=False) <= LONGEST)
+        self._keep(flat, pa.concat_arrays([self.known, runs.filter(pa.array(short))]), np.append(self.places, places[short]),
+                   np.append(self.sizes, sizes[short]), np.append(self.met, np.ones(short.sum(), bool)))
+        return flat, places, sizes
+
+    def _keep(self, flat: np.ndarray, known: pa.Array, places: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> None:
+        """Remember these runs; beyond MAX_RUNS those not met since the last time go, then the oldest."""
+        if len(known) > MAX_RUNS:
+            stay = met.copy()
+            stay[: np.searchsorted(np.cumsum(stay), stay.sum() - MAX_RUNS // 2)] = False
+            known, places, sizes = known.filter(pa.array(stay)), places[stay], sizes[stay]
+            met = np.zeros(len(places), bool)
+        ends = np.cumsum(sizes)
+        self.known_ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(places - ends + sizes, sizes)]
+        self.known, self.places, self.sizes, self.met = known, ends - sizes, sizes, met
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        uneven = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNEVEN).to_numpy(zero_copy_only=False)
+        even, odd = [], []  # texts whose spaces all follow a non-space and that end in one, and others
+        for k, text in enumerate(texts):
+            if any(token in text for token in self.added):
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                (odd if uneven[k] else even).append(k)
+        split = pc.split_pattern(pa.array([texts[k] for k in even], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        flat, places, sizes = self._runs(words.dictionary)
+        codes[offsets[:-1]] = len(places) + np.arange(len(even))  # no space stands before a text's first piece
+        heads = [texts[k].split(" ", 1)[0] for k in even]
+        cuts, number = [_CUT.split(texts[k]) for k in odd], {}
+        later = [len(places) + len(heads) + number.setdefault(p, len(number)) for c in cuts for p in c]
+        codes = np.concatenate([codes, np.array(later, np.int64)])
+        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(c) for c in cuts], dtype=np.int64)])
+        rest, few = self._ids(heads + list(number))
+        places = np.concatenate([places, len(flat) + np.cumsum(few) - few])
+        flat, sizes = np.concatenate([flat, rest]), np.concatenate([sizes, few])
+        taken = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        at = np.repeat((places[codes] - ends[:-1]).astype(np.int32), taken)  # a chunk's ids and the remembered ones
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[at]
+        for k, a, b in zip(even + odd, ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist()):
+            out[k] = ids[a:b]
+        return out
 
-    def encode_part(text: str) -> bytes:
-        if len(known) + len(after) > MAX_WORDS:
-            known.clear()
-            after.clear()
-        if text[-1:].isspace() or any(c + " " in text for c in SPACES):
-            return b"".join(map(ids_of, words_of(text)))
-        head, *runs = text.split(" ")  # a place between a non-space and a space always parts words
-        for run in set(runs).difference(after):
-            after[run] = b"".join(map(ids_of, words_of(" " + run)))
-        return b"".join([*map(ids_of, words_of(head)), *map(after.__getitem__, runs)])
 
-    def encode(text: str) -> bytes:
-        return encode_part(text) if len(text) <= PART else b"".join(map(encode_part, parts(text)))
-
-    return encode
-
-
-def document_encoder(tokenizer_json: str):
-    """`encode(text) -> bytes` as the library encodes a text by default: an added token gets its own id wherever the
-    text spells it, the text between is ordinary."""
-    from tokenizers import Tokenizer
-
-    plain, library = text_encoder(tokenizer_json), Tokenizer.from_str(tokenizer_json)
-    added = library.get_added_tokens_decoder()
-    ids = {token.content: struct.pack("<I", i) for i, token in added.items()}
-    cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(ids, key=len, reverse=True))) + ")")
-    reaching = any(t.lstrip or t.rstrip or t.single_word for t in added.values())  # what stands beside them matters
-
-    def encode(text: str) -> bytes:
-        if not any(c in text for c in ids):
-            return plain(text)
-        if reaching:
-            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(ids.get(s) or plain(s) for s in cuts.split(text))
-
-    return encode
+def text_encoder(tokenizer_json: str):
+    """`encode(text) -> bytes` of little-endian u32 ids of one text, ordinary also where it spells an added token."""
+    encoder = BulkEncoder(tokenizer_json, ordinary=True)
+    return lambda text: encoder.encode([text])[0].astype("<u4").tobytes()
 
 
 def write_codes(
@@ -209,17 +232,17 @@ def write_codes(
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary file, a few MB
-        vocabulary = share(spark, f.read(), document_encoder)
+        vocabulary = share(spark, f.read(), BulkEncoder)
 
     def run(batches):
-        encode, part = vocabulary(), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, part = vocabulary(), TaskContext.get().partitionId()
+        end = np.array([end_id], np.uint32)
         seq, start, size = 0, 0, 0
         doc_ids, ends, pieces = [], [], []
 
         def close():
             nonlocal seq, start, size, doc_ids, ends, pieces
-            codes = pack(doc_ids, ends, np.frombuffer(b"".join(pieces), "<u4"))
+            codes = pack(doc_ids, ends, np.concatenate(pieces))
             row = pa.record_batch(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([start], pa.int64()),
                  pa.array([size], pa.int64()), pa.array([codes], pa.binary())],
@@ -228,11 +251,11 @@ def write_codes(
             seq, start, size, doc_ids, ends, pieces = seq + 1, start + size, 0, [], [], []
             return row
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode(text.as_py() or "") + end
-                pieces.append(data)
-                size += len(data) // 4
+        for chunk in (c for batch in batches for c in chunks(batch, at_once=AT_ONCE)):
+            texts = [t or "" for t in chunk.column(1).to_pylist()]
+            for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder.encode(texts)):
+                pieces += [ids, end]
+                size += len(ids) + 1
                 doc_ids.append(doc_id)
                 ends.append(size)
                 if size >= SEGMENT_TOKENS:
