@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotwise.operators.boosting import BoostedTrees
 from lotwise.session import shared_folder
 
 
@@ -55,6 +56,13 @@ def explain_linear(model: LinearRegressionModel, df: DataFrame, names: list[str]
 
 def tree_nodes(model, spark) -> list[tuple[float, dict]]:
     """(weight, nodes by id) per tree, read from the saved form of a tree model."""
+    if isinstance(model, BoostedTrees):
+        plain = model.plain()
+        trees = [
+            (plain["rate"], {i: (left, right, value, rows, f, [cut], -1) for i, (left, right, value, rows, f, cut) in nodes.items()})
+            for nodes in model.heaps()
+        ]
+        return [(1.0, {0: (-1, -1, plain["start"], 1.0, -1, [], -1)}), *trees]
     path = shared_folder(spark, "trees")
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -102,8 +110,12 @@ def leaf_conditions(nodes: dict) -> list[tuple[float, list]]:
 
 
 def shapley_rows(x: np.ndarray, trees: list[tuple[float, list]]) -> np.ndarray:
-    """Contributions per row and feature: per leaf, the share of feature orders in which a
-    feature turns the leaf on or off, absent features weighted by the training rows' split."""
+    """Contributions per row and feature: per leaf, the share of feature orders in which a feature turns the leaf on or
+    off, absent features weighted by the training rows' split.
+
+    A leaf's conditions are factors (share + inside * z) of one polynomial; dividing it by a feature's own factor leaves
+    the orders of the others, so a leaf of k conditions costs k * k steps.
+    """
     out = np.zeros_like(x)
     for weight, leaves in trees:
         for value, conditions in leaves:
@@ -112,19 +124,22 @@ def shapley_rows(x: np.ndarray, trees: list[tuple[float, list]]) -> np.ndarray:
                 continue
             inside = []
             for f, low, high, allowed, _ in conditions:
-                ok = (x[:, f] > low) & (x[:, f] <= high)
+                ok = ~(x[:, f] <= low) & ((x[:, f] <= high) | (high == np.inf))  # not a number: right of every cut
                 if allowed is not None:
                     ok &= np.isin(x[:, f], list(allowed))
                 inside.append(ok.astype(float))
             orders = [factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)]
-            for i, (f, *_, share) in enumerate(conditions):
-                poly = np.zeros((k, len(x)))
-                poly[0] = 1.0
-                for j, (*_, other) in enumerate(conditions):
-                    if j != i:
-                        poly[1:] = poly[1:] * other + poly[:-1] * inside[j]
-                        poly[0] = poly[0] * other
-                out[:, f] += weight * value * (inside[i] - share) * (np.array(orders) @ poly)
+            whole = np.zeros((k + 1, len(x)))
+            whole[0] = 1.0
+            for (*_, share), here in zip(conditions, inside):
+                whole[1:] = whole[1:] * share + whole[:-1] * here
+                whole[0] = whole[0] * share
+            for (f, *_, share), here in zip(conditions, inside):
+                rest, total = np.zeros(len(x)), np.zeros(len(x))
+                for s in range(k - 1, -1, -1):  # from the highest power, which divides without growing errors
+                    rest = np.where(here > 0, whole[s + 1] - share * rest, whole[s] / share)
+                    total += orders[s] * rest
+                out[:, f] += weight * value * (here - share) * total
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from lotwise.operators.metrics import metrics_dict
-from lotwise.operators.models import linear, sampled_boosting, search
+from lotwise.operators.models import linear, penalised_boosting, search
 from lotwise.operators.sampling import hash_split
 from lotwise.operators.transformers import preprocessor
 from lotwise.plans.prepare import CAT_FEATURES, NUM_FEATURES, TARGET
@@ -43,7 +43,7 @@ def train(
     numeric: list[str] = NUM_FEATURES,
     text: list[str] = CAT_FEATURES,
     trials: list[dict] | None = None,
-    build=sampled_boosting,
+    build=penalised_boosting,
     test_size: float = 0.2,
     seed: int = 42,
 ) -> TrainingResult:

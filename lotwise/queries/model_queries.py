@@ -388,6 +388,112 @@ def stump_contributions(spark, sf):
     return rounded(explain.contribution_table(out, ["p_partkey"]), 6, "phi")
 
 
+_ALPHA, _LAMBDA, _RATE = 3.5, 20.0, 0.3
+
+
+def _penalised_level(name: str, source: str, node: str) -> str:
+    """CTE `name`: per node (an expression over `source`) its totals and its best split of the gradient g."""
+    long = " UNION ALL ".join(f"SELECT {node} AS node, {i} AS f, {x} AS x, g FROM {source}" for i, x in enumerate(_STEPS))
+    score = lambda g, n: f"pow(greatest(abs({g}) - {_ALPHA}::double, 0), 2) / ({n} + {_LAMBDA}::double)"
+    return f"""
+    {name}_v AS (SELECT node, f, x, CAST(count(*) AS DOUBLE) AS n, sum(g) AS s FROM ({long}) GROUP BY 1, 2, 3),
+    {name}_c AS (SELECT node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY node, f) AS na, sum(s) OVER (PARTITION BY node, f) AS sa
+        FROM {name}_v WINDOW w AS (PARTITION BY node, f ORDER BY x)),
+    {name}_g AS (SELECT *, {score('sl', 'nl')} + {score('(sa - sl)', '(na - nl)')} - {score('sa', 'na')} AS gain FROM {name}_c WHERE nl < na),
+    {name} AS (SELECT * FROM {name}_g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, x) = 1)"""
+
+
+def _side(split: str) -> str:
+    return f"CASE {split}.f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= {split}.x"
+
+
+def _penalised_tree(k: int, depth: int) -> str:
+    """CTEs of the k-th tree: its nodes tree{k} (node, f, x of the split or null, value v, rows n) and, from the rows p{k},
+    the rows p{k + 1} with a prediction further on."""
+    leaf = f"-sign(s) * greatest(abs(s) - {_ALPHA}::double, 0) / (n + {_LAMBDA}::double)"
+    out, nodes = [f"d{k}_0 AS (SELECT p_partkey, x0, x1, x2, y, p, p - y AS g, 0 AS node FROM p{k})"], []
+    for level in range(depth):
+        best, source = f"b{k}_{level}", f"d{k}_{level}"
+        out.append(_penalised_level(best, f"(SELECT * FROM {source} WHERE node >= {2**level - 1})", "node"))
+        nodes.append(f"SELECT r.node, b.f, b.x, s, n FROM m{k}_{level} r LEFT JOIN {best} b USING (node)")
+        out.append(f"m{k}_{level} AS (SELECT node, sum(g) AS s, CAST(count(*) AS DOUBLE) AS n FROM {source} WHERE node >= {2**level - 1} GROUP BY 1)")
+        out.append(f"""d{k}_{level + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.f IS NULL THEN r.node WHEN {_side('b')} THEN 2 * r.node + 1
+            ELSE 2 * r.node + 2 END AS node FROM {source} r LEFT JOIN {best} b ON b.node = r.node)""")
+    ends = f"SELECT node, NULL AS f, NULL AS x, sum(g) AS s, CAST(count(*) AS DOUBLE) AS n FROM d{k}_{depth} WHERE node >= {2**depth - 1} GROUP BY 1"
+    out.append(f"tree{k} AS (SELECT *, {leaf} AS v FROM ({' UNION ALL '.join([*nodes, ends])}))")
+    out.append(f"p{k + 1} AS (SELECT r.* EXCLUDE (p, g, node), p + {_RATE}::double * v AS p FROM d{k}_{depth} r JOIN tree{k} USING (node))")
+    return ", ".join(out)
+
+
+def _penalised_sql(trees: int, depth: int) -> str:
+    grown = ", ".join(_penalised_tree(k, depth) for k in range(trees))
+    return f"WITH {_STEP_ROWS}, p0 AS (SELECT *, avg(y) OVER () AS p FROM t0), {grown}"
+
+
+def _penalised(rows: DataFrame, trees: int, depth: int):
+    return models.penalised_boosting(
+        rows, "y", n_estimators=trees, learning_rate=_RATE, max_depth=depth, subsample=1.0, colsample_bytree=1.0,
+        reg_alpha=_ALPHA, reg_lambda=_LAMBDA,
+    ).fit(rows)
+
+
+@query(f"{_penalised_sql(3, 2)} SELECT p_partkey, round(p, 6) AS prediction FROM p3")
+def penalised_trees(spark, sf):
+    """Three boosted trees of depth two with L1 and L2 leaf penalties, row by row."""
+    rows = _step_rows(spark, sf)
+    return rounded(_penalised(rows, 3, 2).transform(rows).select("p_partkey", "prediction"), 6, "prediction")
+
+
+@query(
+    f"{_penalised_sql(3, 2)} "
+    + " UNION ALL ".join(
+        f"SELECT {k} AS tree, CAST(node AS INT) AS node, CAST(f AS INT) AS feature, round(v, 6) + 0.0::double AS value, n AS n_rows FROM tree{k}"
+        for k in range(3)
+    )
+)
+def penalised_nodes(spark, sf):
+    """The nodes of the same trees: split feature (null at a leaf), value and rows."""
+    rows = _step_rows(spark, sf)
+    nodes = [
+        (k, i, n[4] if n[0] > 0 else None, float(n[2]), float(n[3]))
+        for k, heap in enumerate(_penalised(rows, 3, 2).heaps()) for i, n in heap.items()
+    ]
+    return rounded(spark.createDataFrame(nodes, "tree int, node int, feature int, value double, n_rows double"), 6, "value")
+
+
+def _subset_value(i: int, depth: int) -> str:
+    """Value of node i of one tree for a row of which only the features in `mask` are known."""
+    if i >= 2**depth - 1:
+        return f"v{i}"
+    left, right = _subset_value(2 * i + 1, depth), _subset_value(2 * i + 2, depth)
+    return f"""CASE WHEN f{i} IS NULL THEN v{i} WHEN (mask >> f{i}) & 1 = 1 THEN CASE WHEN CASE f{i} WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= c{i}
+        THEN {left} ELSE {right} END ELSE (n{2 * i + 1} * ({left}) + n{2 * i + 2} * ({right})) / n{i} END"""
+
+
+def _subset_sql(trees: int, depth: int) -> str:
+    """Contributions as averages over all subsets of the other features."""
+    wide = [
+        f"w{k} AS (SELECT " + ", ".join(f"max({c}) FILTER (node = {i}) AS {n}{i}" for i in range(2 ** (depth + 1) - 1) for c, n in (("f", "f"), ("x", "c"), ("v", "v"), ("n", "n")))
+        + f" FROM tree{k})" for k in range(trees)
+    ]
+    each = " UNION ALL ".join(f"SELECT p_partkey, mask, {_subset_value(0, depth)} AS u FROM t0_m, w{k}" for k in range(trees))
+    phi = " UNION ALL ".join(
+        f"""SELECT p_partkey, '{x}' AS feature, {x} AS value, round({_RATE}::double * sum(u * CASE WHEN (mask >> {i}) & 1 = 1 THEN 1 ELSE -1 END
+            / CASE bit_count(mask & ~{1 << i}) WHEN 1 THEN 6.0::double ELSE 3.0::double END), 6) + 0.0::double AS phi FROM e JOIN t0 USING (p_partkey) GROUP BY ALL"""
+        for i, x in enumerate(_STEPS)
+    )
+    return f"{_penalised_sql(trees, depth)}, {', '.join(wide)}, t0_m AS (SELECT t0.*, unnest(range(8))::int AS mask FROM t0), e AS ({each}) {phi}"
+
+
+@query(_subset_sql(2, 3))
+def deep_contributions(spark, sf):
+    """Contributions to two penalised trees of depth three, against averages over all subsets of features."""
+    rows = _step_rows(spark, sf)
+    model = _penalised(rows, 2, 3)
+    out = explain.explain_trees(model, model.transform(rows), _STEPS)
+    return rounded(explain.contribution_table(out, ["p_partkey"]), 6, "phi")
+
+
 _LINE_TERMS = f"""WITH {_LINE2}, p AS (SELECT l_orderkey, l_partkey, l_linenumber, b0 + b1 * m1 + b2 * m2 AS base, x1, x2, b1 * (x1 - m1) AS f1, b2 * (x2 - m2) AS f2 FROM t, b)"""
 
 
