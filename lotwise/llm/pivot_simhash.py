@@ -56,14 +56,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (long). Null, empty and blank texts have fingerprint zero."""
+    """Per row: doc_id, fp (long), text_hash. Null, empty and blank texts have fingerprint zero."""
 
     def run(batches):
         for batch in batches:
             found = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64()), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def references() -> np.ndarray:
@@ -183,6 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows without an id take part in linking but never name a component; a component of only such rows has a null id.
     """
+    return _labelled(docs, id_col, text_col).drop("text_hash")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = cut_lineage(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
@@ -190,17 +195,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows and columns of `docs`, one row per component: the one with the least id.
 
-    Repeated rows of one id are one document and leave one row. Rows without an id stay, as no component names them.
+    Repeated rows of one id and fingerprint leave one row; rows that share an id but not a component are documents of
+    their own. Rows without an id stay, as no component names them.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(keep, named[id_col] == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    found = _labelled(docs, id_col, text_col).where("doc_id = component_id")
+    mark = next(n for k in range(len(docs.columns) + 1) if (n := f"kept_hash_{k}") not in docs.columns)
+    # one text of each fingerprint, then one row of each text
+    keep = found.groupBy(F.col("doc_id").alias("_kept_id"), "fingerprint").agg(F.min("text_hash").alias("_kept_hash"))
+    named = docs.where(docs[id_col].isNotNull()).withColumn(mark, F.xxhash64(docs[text_col].cast("string")))
+    same = (named[id_col].cast("long") == F.col("_kept_id")) & (named[mark] == F.col("_kept_hash"))
+    kept = named.join(keep.select("_kept_id", "_kept_hash").distinct(), same, "left_semi").dropDuplicates([id_col, mark])
+    return kept.drop(mark).unionByName(docs.where(docs[id_col].isNull()))

@@ -65,7 +65,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -75,37 +75,31 @@ ruled AS (
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    string_split(path, '/') AS seg FROM parsed),
-acted AS (
-  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS action,
-    CASE WHEN regexp_matches(seg[2], '^[0-9a-f]{8,}$') THEN '{h}' ELSE coalesce(regexp_replace(seg[2], '[0-9]+', '{n}', 'g'), '{}') END AS o1,
-    CASE WHEN regexp_matches(seg[3], '^[0-9a-f]{8,}$') THEN '{h}' ELSE coalesce(regexp_replace(seg[3], '[0-9]+', '{n}', 'g'), '{}') END AS o2,
-    CASE WHEN regexp_matches(seg[4], '^[0-9a-f]{8,}$') THEN '{h}' ELSE coalesce(regexp_replace(seg[4], '[0-9]+', '{n}', 'g'), '{}') END AS o3,
-    len(seg) > 4 AS more FROM ruled),
-t0 AS (SELECT host, o1, o2, o3, more, count(*) AS n, count(action) AS seen, count(*) FILTER (action = 'block') AS bad
-  FROM acted GROUP BY ALL),
-w1 AS (SELECT host FROM (SELECT host, o1, sum(n) AS n FROM t0 GROUP BY ALL) GROUP BY host HAVING count(*) > 20 AND 2 * count(*) > sum(n)),
-t1 AS (SELECT t0.*, CASE WHEN w1.host IS NOT NULL THEN '{*}' ELSE o1 END AS s1 FROM t0 LEFT JOIN w1 USING (host)),
-w2 AS (SELECT host, s1 FROM (SELECT host, s1, o2, sum(n) AS n FROM t1 GROUP BY ALL) GROUP BY ALL HAVING count(*) > 20 AND 2 * count(*) > sum(n)),
-t2 AS (SELECT t1.*, CASE WHEN w2.host IS NOT NULL THEN '{*}' ELSE o2 END AS s2 FROM t1 LEFT JOIN w2 USING (host, s1)),
-w3 AS (SELECT host, s1, s2 FROM (SELECT host, s1, s2, o3, sum(n) AS n FROM t2 GROUP BY ALL) GROUP BY ALL HAVING count(*) > 20 AND 2 * count(*) > sum(n)),
-t3 AS (SELECT t2.*, CASE WHEN w3.host IS NOT NULL THEN '{*}' ELSE o3 END AS s3 FROM t2 LEFT JOIN w3 USING (host, s1, s2)),
-leaves AS (SELECT host, s1, s2, s3, more, sum(bad)::double AS bad, sum(seen)::double AS seen FROM t3 GROUP BY ALL),
-j AS (SELECT *, sum(bad) OVER (PARTITION BY host, s1) AS bb, sum(seen) OVER (PARTITION BY host, s1) AS bs,
-  sum(bad) OVER (PARTITION BY host) AS hb, sum(seen) OVER (PARTITION BY host) AS hs,
-  sum(bad) OVER (PARTITION BY s1, s2, s3, more) AS sb, sum(seen) OVER (PARTITION BY s1, s2, s3, more) AS ss,
-  sum(bad) OVER () AS ab, sum(seen) OVER () AS a_s FROM leaves),
-k AS (SELECT *, (bad * bs - bb * seen) ** 2 <= 4 * bb * (bs - bb) * seen AS low,
-  (bb * hs - hb * bs) ** 2 <= 4 * hb * (hs - hb) * bs AS high FROM j),
-l AS (SELECT *, CASE WHEN low AND high THEN '/{~}' WHEN low THEN '/' || s1 || '/{~}' ELSE '/' || concat_ws('/',
-  CASE WHEN s1 <> '{}' THEN s1 END, CASE WHEN s2 <> '{}' THEN s2 END, CASE WHEN s3 <> '{}' THEN s3 END)
-  || CASE WHEN more THEN '/**' ELSE '' END END AS template FROM k),
-m AS (SELECT *, sum(bad) OVER (PARTITION BY host, template) AS pb, sum(seen) OVER (PARTITION BY host, template) AS ps FROM l),
-scored AS (SELECT *, (pb + 4 * ((sb + 4 * CASE WHEN a_s > 0 THEN ab / a_s ELSE 0.0 END) / (ss + 4))) / (ps + 4) AS purity FROM m)
-SELECT a.page_id, a.host, a.path, a.rule, coalesce(a.action, CASE WHEN s.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-  s.template, s.purity
-FROM acted a JOIN t3 USING (host, o1, o2, o3, more) JOIN scored s ON s.host = t3.host AND s.s1 = t3.s1 AND s.s2 = t3.s2
-  AND s.s3 = t3.s3 AND s.more = t3.more
+    list_transform(string_split(path, '/')[2:], lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f]{8,}$') THEN '#h'
+      ELSE regexp_replace(x, '[0-9]+', '#n', 'g') END) AS o FROM parsed),
+acted AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS action FROM ruled),
+grouped AS (SELECT host, o, count(*) AS n, count(action) AS seen, count(*) FILTER (action = 'block') AS bad FROM acted GROUP BY ALL),
+gen AS (
+  SELECT 0 AS level, host, o, o AS s, n, seen, bad FROM grouped
+  UNION ALL
+  SELECT level + 1, host, o, CASE WHEN len(s) > level AND kinds > 20 AND 2 * kinds > urls THEN s[1:level] || ['#*'] || s[level + 2:] ELSE s END, n, seen, bad
+  FROM (SELECT *, count(DISTINCT s[level + 1]) OVER w AS kinds, sum(n) OVER w AS urls FROM gen
+    WHERE level < (SELECT max(len(o)) FROM grouped) WINDOW w AS (PARTITION BY host, len(s) > level, s[1:level]))),
+trees AS (SELECT host, o, s, n, seen, bad FROM gen WHERE level = (SELECT max(len(o)) FROM grouped)),
+leaves AS (SELECT host, s, sum(bad)::double AS bad, sum(seen)::double AS seen FROM trees GROUP BY ALL),
+ways AS (SELECT host, s, bad, seen, unnest(range(len(s) + 1)) AS depth FROM leaves),
+nodes AS (SELECT host, s[1:depth] AS node, depth, sum(bad) AS bad, sum(seen) AS seen FROM ways GROUP BY ALL),
+apart AS (SELECT a.host, a.node, a.depth FROM nodes a JOIN nodes b ON a.host = b.host AND a.depth = b.depth + 1 AND a.node[1:b.depth] = b.node
+  WHERE NOT ((a.bad * b.seen - b.bad * a.seen) ** 2 <= 4 * b.bad * (b.seen - b.bad) * a.seen)),
+kept AS (SELECT w.host, w.s, max(w.depth) AS kept FROM ways w JOIN apart a ON a.host = w.host AND a.depth = w.depth AND a.node = w.s[1:w.depth] GROUP BY ALL),
+named AS (SELECT l.host, l.s, l.bad, l.seen, CASE WHEN coalesce(kept, 0) = len(l.s) THEN CASE WHEN len(l.s) > 0 THEN '/' || array_to_string(l.s, '/') ELSE '' END
+    ELSE CASE WHEN coalesce(kept, 0) > 0 THEN '/' || array_to_string(l.s[1:kept], '/') ELSE '' END || '/#~' END AS template
+  FROM leaves l LEFT JOIN kept k ON k.host = l.host AND k.s = l.s),
+scored AS (SELECT *, sum(bad) OVER (PARTITION BY host, template) AS pb, sum(seen) OVER (PARTITION BY host, template) AS ps,
+  sum(bad) OVER (PARTITION BY s) AS sb, sum(seen) OVER (PARTITION BY s) AS ss, sum(bad) OVER () AS ab, sum(seen) OVER () AS a_s FROM named),
+judged AS (SELECT host, s, template, (pb + 4 * ((sb + 4 * CASE WHEN a_s > 0 THEN ab / a_s ELSE 0.0 END) / (ss + 4))) / (ps + 4) AS purity FROM scored)
+SELECT a.page_id, a.host, a.path, a.rule, coalesce(a.action, CASE WHEN j.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, j.template, j.purity
+FROM acted a JOIN trees t ON t.host = a.host AND t.o = a.o JOIN judged j ON j.host = t.host AND j.s = t.s
 """
 
 

@@ -2,8 +2,10 @@
 
 Tokens (runs without white space) are tagged outside, begin or inside by their shape, their neighbours' shapes and
 words, and features of the whole file; Viterbi decoding finds the best tags. The field is trained on windows that
-three fixed patterns label, together with windows around other unusual tokens. Spans of the patterns are always
-reported; the field adds spans that they miss.
+three fixed patterns label, together with windows around other unusual tokens. So that it does not merely learn the
+patterns, three labelled windows of four hide something of what makes them match: the words that announce a secret, or the
+spelling of the secret's tokens. Tokens that look like a secret without a label are no negative examples: windows that hold one
+are left out. Spans of the patterns are always reported; the field adds spans that they miss.
 
 Decoding is exact and still cheap: a token whose lead for "outside" exceeds all that transitions could ever gain is
 outside on the best path, so only the runs between such tokens need the recursion.
@@ -14,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import random
 import re
+import string
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import count
@@ -31,6 +35,7 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 FEATURES = 1 << 14  # hashed feature weights per label
 SAMPLE_WINDOWS = 1500  # training windows of each kind: secret, unusual token, ordinary text
 REACH = 8  # tokens on either side of a window's centre
+PRIOR = 10.0  # weight for "outside" with which links and addresses start
 
 KINDS = ("assign", "access", "hex", "crf")
 # Fixed patterns of the contract; lengths are checked on the greedy match.
@@ -61,13 +66,22 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 _CLASSES = [(re.compile(p), c) for p, c in ((r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[0-9]+", "0"), (r"[^\x00-\x7f]+", "u"))]
 _PLAIN = re.compile(r"(?:[A-Z]?[a-zÀ-ɏ]*|[A-ZÀ-ɏ]*)[^\w\s=:]*")  # a word with punctuation after it
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
 QUOTES = "\"'`"
 
 
 def triggers(token: str) -> list[str]:
-    return [f"trigger:{t}" for t in TRIGGERS if t in token.lower()] if _TRIGGER.search(token) else []
+    """Words that announce a secret: that there is one, and which."""
+    return ["trigger", *(f"trigger:{t}" for t in TRIGGERS if t in token.lower())] if _TRIGGER.search(token) else []
+
+
+def looks_secret(token: str) -> bool:
+    """A long run of letters and digits without much repetition, no link and no address."""
+    core = max(_CORE.findall(token), key=len, default="")
+    if len(core) < 16 or "://" in token or "@" in token or not (_DIGIT.search(core) and _LETTER.search(core)):
+        return False
+    return len(set(core)) >= 8
 
 
 def token_features(token: str) -> list[str]:
@@ -123,6 +137,7 @@ class SecretField:
     def fit(cls, windows: list[tuple[list[list[int]], list[int]]], rounds: int = 60, penalty: float = 1e-4) -> SecretField:
         """Penalised likelihood by AdaGrad. A window is (feature ids per token, labels); ends count as outside."""
         weights, moves = np.zeros((FEATURES, 3)), np.zeros((3, 3))
+        weights[hashed(["link:True", "at:True"], "own"), OUTSIDE] = PRIOR  # a corpus may hold few links and addresses
         if not windows:
             weights[hashed(["file"], "file")[0], OUTSIDE] = 1.0  # nothing learned: everything is outside
             return cls(weights, moves)
@@ -244,6 +259,29 @@ def token_labels(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str
     return [m.group() for m in matches], labels
 
 
+HIDE = ("nothing", "triggers", "shapes", "both")  # what a labelled window keeps back
+
+
+def respelled(token: str, seed: int) -> str:
+    """A secret-like token with other letters of either case, cut to some length; digits stay."""
+    rng, core = random.Random(seed), max(_CORE.findall(token), key=len)
+    new = "".join(rng.choice(string.ascii_letters) if c.isalpha() else c for c in core[: rng.randint(16, len(core))])
+    return token.replace(core, new, 1)
+
+
+def masked(tokens: list[str], labels: list[int], hide: str, seed: int) -> tuple[list[str], list[int]]:
+    """A labelled window without the words that announce its secrets, or with the secrets spelled otherwise, or both. What
+    announces are the labelled tokens that do not look like a secret; the first of a secret's other tokens begins it."""
+    core = [bool(y) and looks_secret(w) for w, y in zip(tokens, labels)]
+    if hide in ("shapes", "both"):
+        tokens = [respelled(w, seed + t) if c else w for t, (w, c) in enumerate(zip(tokens, core))]
+    if hide in ("triggers", "both") and any(core):
+        kept = [t for t, y in enumerate(labels) if not y or core[t]]
+        tokens, labels = [tokens[t] for t in kept], [labels[t] for t in kept]
+        labels = [BEGIN if y and not before else y for y, before in zip(labels, [OUTSIDE, *labels])]
+    return tokens, labels
+
+
 def window_features(tokens: list[str], at: int, text_features: list[int]) -> list[int]:
     found = hashed(token_features(tokens[at]), "own") + text_features
     if at:
@@ -255,7 +293,8 @@ def window_features(tokens: list[str], at: int, text_features: list[int]) -> lis
 
 def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretField:
     """Field from at most SAMPLE_WINDOWS windows of each kind, drawn by a hash over all rows; the bound is per kind:
-    around pattern matches, around other tokens with a digit or 20 and more characters, and around any token."""
+    around pattern matches, around other tokens with a digit or 20 and more characters, and around any token. Windows
+    travel as hashed features, so tokens of any length cost the same."""
 
     def run(batches):
         kept: dict[str, list] = defaultdict(list)  # the windows with the smallest keys
@@ -282,8 +321,11 @@ def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     a, b = max(0, centre - REACH), min(len(tokens), centre + REACH + 1)
                     if labels[a] == INSIDE or b < len(tokens) and labels[b] == INSIDE:
                         continue  # cut through a secret
+                    if any(not y and looks_secret(w) for w, y in zip(tokens[a:b], labels[a:b])):
+                        continue
                     key = crc32(f"{kind}|{seed}|key".encode())
-                    item = (-key, next(order), tokens[a:b], labels[a:b], about)
+                    seen, wanted = masked(tokens[a:b], labels[a:b], HIDE[key // 7 % 4] if kind == "secret" else "nothing", key)
+                    item = (-key, next(order), [window_features(seen, t, about) for t in range(len(seen))], wanted)
                     if len(kept[kind]) < SAMPLE_WINDOWS:
                         heapq.heappush(kept[kind], item)
                     else:
@@ -291,15 +333,14 @@ def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for kind, items in kept.items():
             yield pa.record_batch(
                 [pa.array([kind] * len(items), pa.string()), pa.array([-i[0] for i in items], pa.int64()),
-                 pa.array([i[2] for i in items], pa.list_(pa.string())),
-                 pa.array([i[3] for i in items], pa.list_(pa.int32())),
-                 pa.array([i[4] for i in items], pa.list_(pa.int32()))],
-                names=["kind", "key", "tokens", "labels", "about"],
+                 pa.array([i[2] for i in items], pa.list_(pa.list_(pa.int32()))),
+                 pa.array([i[3] for i in items], pa.list_(pa.int32()))],
+                names=["kind", "key", "features", "labels"],
             )
 
     drawn = cut_lineage(
         id_and_text(docs, id_col, text_col).mapInArrow(
-            run, "kind string, key long, tokens array<string>, labels array<int>, about array<int>"
+            run, "kind string, key long, features array<array<int>>, labels array<int>"
         ),
         "windows",
     )
@@ -312,10 +353,8 @@ def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # a bound on the wanted keys first, so that no task sends more than its part of the sample
         share_kept = min(1.0, 1.2 * SAMPLE_WINDOWS / n)
         bound = kept.agg(F.percentile_approx("key", share_kept, 100_000)).first()[0]
-        rows = kept.where(F.col("key") <= bound).orderBy("key", "tokens", "labels").limit(SAMPLE_WINDOWS).collect()
-        windows += [
-            ([window_features(r["tokens"], t, r["about"]) for t in range(len(r["tokens"]))], r["labels"]) for r in rows
-        ]
+        rows = kept.where(F.col("key") <= bound).orderBy("key", "features", "labels").limit(SAMPLE_WINDOWS).collect()
+        windows += [(r["features"], r["labels"]) for r in rows]
     return SecretField.fit(windows)
 
 

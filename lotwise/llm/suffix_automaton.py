@@ -326,15 +326,16 @@ def decontaminate(
 ) -> DataFrame:
     """Rows and columns of `docs` without contaminated documents. With `cut_spans` every hit span, of documents
     below the coverage limit too, is cut out of the text and no document goes."""
-    rows, make = with_hits(docs, text_col, item_parts(items, item_id, item_text))
     place, names = docs.columns.index(text_col), docs.columns
+    plain = [f"c{k}" for k in range(len(names))]  # the caller may use any name
+    rows, make = with_hits(docs.toDF(*plain), plain[place], item_parts(items, item_id, item_text))
 
     def run(batches):
         scan = make()
         for batch in batches:
             texts = [v.as_py() for v in batch.column(place)]
             hits = [scan(batch, k, words_of(t))[0] for k, t in enumerate(texts)]
-            batch = batch.select(names)
+            batch = batch.select(plain).rename_columns(names)
             if not cut_spans:
                 yield batch.filter(pa.array([not is_contaminated(h) for h in hits], pa.bool_()))
                 continue

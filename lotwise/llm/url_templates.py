@@ -1,13 +1,15 @@
 """URL filter with a path-template tree, built from DataFrame operations alone.
 
-Every host has a tree over the segments of its paths. A segment that is a number or a long hexadecimal id becomes a
-wildcard by its shape, and a level becomes one wildcard if it has many children of which few repeat. Leaves whose
-labelled rate does not differ from that of their branch are merged, then branches that do not differ from their host.
-What is left are templates; a template is rejected if its labelled block rate, smoothed towards the rate of the same
-template over all hosts and that towards the overall rate, reaches one half.
-
-Labels are the verdicts of the rule list: a url under a rule is a labelled one. Rules themselves always win. All trees
-are sums over (host, segments), added up before they are shuffled, so one host may hold any part of the rows.
+Every host has a tree over the segments of its paths, as deep as they go. A segment that is a number or a long hexadecimal
+id becomes a wildcard by its shape, and the children of a node become one wildcard if they are many of which few repeat;
+this goes level by level until no node has enough urls for it. From the leaves up, a node whose labelled rate does not
+differ from its parent's is merged into it, as far as that goes on. What is left are templates; a template is rejected if
+its labelled block rate, smoothed towards the rate of the same path over all hosts and that towards the overall rate,
+reaches one half.
+
+Labels are the verdicts of the rule list: a url under a rule is a labelled one. Rules themselves always win; they are
+joined by host, so a list of any length is no longer an expression. All trees are sums over (host, segments), added up
+before they are shuffled, so one host may hold any part of the rows. Marks hold a "#", which no path does.
 """
 
 from __future__ import annotations
@@ -20,11 +22,10 @@ from lotwise.session import cut_lineage
 RULES = (
     ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
 )
-LEVELS = 3  # segments of a template; longer paths share the mark "more"
-MANY = 20  # children of a level beyond which it may become a wildcard
-Z2 = 4  # squared deviation, in variances, up to which a branch counts as similar
+MANY = 20  # children of a node beyond which they may become a wildcard
+Z2 = 4  # squared deviation, in variances, up to which a node counts as similar to its parent
 PRIOR = 4  # labelled urls that the prior is worth
-WILD, MERGED, ABSENT = "{*}", "{~}", "{}"
+WILD, MERGED, NUMBER, HEX = "#*", "#~", "#n", "#h"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,33 +37,52 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule, action) of the longest rule that fits, null if none does; equally long ones by their text."""
-    rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for act, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
-        fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
-        rule, action = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(act)).otherwise(action)
-    return rule, action
+def host_rules(hosts: DataFrame, rules) -> DataFrame:
+    """Per host with a rule for it or a domain above it: host, rules (text, path, action), the longest first; equally long
+    ones by their text, backwards."""
+    spark = hosts.sparkSession
+    listed = spark.createDataFrame([(h, len(h + p), h + p, p, a) for a, h, p in rules], "above string, size int, rule string, path string, action string")
+    parts = F.split("host", r"\.", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    met = hosts.select("host", F.explode(above).alias("above")).join(listed, "above")
+    return met.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("size", "rule", "path", "action")), False).alias("rules"))
 
 
-def segment(path: Column, k: int) -> Column:
-    """The k-th segment (from 1) with numbers and hexadecimal ids of 8 and more characters made wildcards."""
-    raw = F.get(F.split(path, "/", -1), F.lit(k))
-    numbered = F.regexp_replace(raw, "[0-9]+", "{n}")
-    return F.coalesce(F.when(raw.rlike("^[0-9a-f]{8,}$"), F.lit("{h}")).otherwise(numbered), F.lit(ABSENT))
+def marked_path(path: Column) -> Column:
+    """The path with hexadecimal ids of 8 and more characters, and other runs of digits, made wildcards."""
+    segments = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    marked = F.transform(
+        segments, lambda s: F.when(s.rlike("^[0-9a-f]{8,}$"), F.lit(HEX)).otherwise(F.regexp_replace(s, "[0-9]+", NUMBER))
+    )
+    return F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(marked, "/")))
 
 
-def generalise(trees: DataFrame, level: int) -> DataFrame:
-    """Replace the segments of one level by a wildcard where their parent has many children that rarely repeat."""
-    parent = ["host", *(f"s{k}" for k in range(1, level))]
-    name = f"s{level}"
-    children = trees.groupBy(*parent, name).agg(F.sum("n").alias("n"))
-    wild = (
-        children.groupBy(*parent).agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"))
-        .where(f"kinds > {MANY} and 2 * kinds > rows").select(*parent, F.lit(True).alias("__wild"))
-    )
-    marked = trees.join(wild, parent, "left")
-    return marked.withColumn(name, F.when(F.col("__wild"), WILD).otherwise(F.col(name))).drop("__wild")
+def segments_of(marked: Column) -> Column:
+    return F.slice(F.split(marked, "/", -1), 2, F.size(F.split(marked, "/", -1)))
+
+
+def generalise(trees: DataFrame) -> DataFrame:
+    """Replace, level by level, the children of nodes that have many children of which few repeat by one wildcard.
+
+    Ends where no node of a level has more than MANY urls, as none below it then has.
+    """
+    level = 0
+    while True:
+        node = F.slice("s", 1, level)
+        deeper = trees.where(F.size("s") > level).select("host", node.alias("node"), F.get("s", F.lit(level)).alias("child"), "n")
+        children = deeper.groupBy("host", "node", "child").agg(F.sum("n").alias("n"))
+        nodes = cut_lineage(
+            children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("urls")).where(f"urls > {MANY}"), "nodes"
+        )
+        if nodes.isEmpty():
+            return trees
+        wild = nodes.where(f"kinds > {MANY} and 2 * kinds > urls").select("host", "node", F.lit(True).alias("wild"))
+        if not wild.isEmpty():
+            joined = trees.withColumn("node", F.when(F.size("s") > level, node)).join(wild, ["host", "node"], "left")
+            changed = F.concat(node, F.array(F.lit(WILD)), F.slice("s", level + 2, F.greatest(F.size("s") - level - 1, F.lit(0))))
+            trees = joined.withColumn("s", F.when(F.col("wild"), changed).otherwise(F.col("s"))).drop("node", "wild")
+            trees = cut_lineage(trees, "trees")
+        level += 1
 
 
 def similar(bad: str, seen: str, all_bad: str, all_seen: str) -> Column:
@@ -76,71 +96,69 @@ def sums(df: DataFrame, keys: list[str], bad: str, seen: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("bad").cast("double").alias(bad), F.sum("seen").cast("double").alias(seen))
 
 
-def template_verdicts(trees: DataFrame) -> DataFrame:
-    """Distinct (host, o1..oN, more) of the original segments with `template`, `purity` and `method`.
+def spelled(segments: Column) -> Column:
+    """A path of segments; the root itself is an empty path."""
+    return F.when(F.size(segments) > 0, F.concat(F.lit("/"), F.array_join(segments, "/"))).otherwise(F.lit(""))
 
-    `trees`: host, o1..oN (segments), s1..sN (the same), more, n, seen (labelled), bad (labelled block).
-    """
-    parts = [f"s{k}" for k in range(1, LEVELS + 1)]
-    for level in range(1, LEVELS + 1):
-        trees = cut_lineage(generalise(trees, level), "trees")  # read several times below
-    leaf, branch = ["host", *parts, "more"], ["host", "s1"]
-    shape = [*parts, "more"]
-    leaves = cut_lineage(
-        trees.groupBy(*leaf).agg(F.sum("bad").cast("double").alias("bad"), F.sum("seen").cast("double").alias("seen")),
-        "leaves",
-    )
-    judged = (
-        leaves.join(sums(leaves, branch, "branch_bad", "branch_seen"), branch)
-        .withColumn("low", similar("bad", "seen", "branch_bad", "branch_seen"))
+
+def template_verdicts(trees: DataFrame) -> DataFrame:
+    """Per (host, marked path): template, purity, method. `trees`: host, marked, s (its segments), n, seen, bad."""
+    trees = generalise(trees)
+    leaves = cut_lineage(trees.groupBy("host", "s").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")), "leaves")
+    # a node is known by the digest of its path, so that deep paths do not travel once for each of their nodes
+    digest = lambda k: F.md5(F.concat(k.cast("string"), F.lit("/"), F.array_join(F.slice("s", 1, k), "/")))
+    chain = F.transform(
+        F.sequence(F.lit(0), F.size("s")), lambda k: F.struct(k.alias("depth"), digest(k).alias("node"), F.when(k > 0, digest(k - 1)).alias("parent"))
     )
-    # leaves like their branch pool their counts under it; branches like their host pool theirs under the host
-    hosts = sums(leaves, ["host"], "host_bad", "host_seen")
-    judged = judged.join(hosts, "host").withColumn("high", similar("branch_bad", "branch_seen", "host_bad", "host_seen"))
-    judged = judged.withColumns({
-        "pool": F.when(F.col("low") & F.col("high"), F.lit(MERGED)).otherwise(F.col("s1")),
-        "template": F.when(F.col("low") & F.col("high"), F.lit(f"/{MERGED}")).when(F.col("low"), F.concat(F.lit("/"), "s1", F.lit(f"/{MERGED}")))
-        .otherwise(F.concat(F.lit("/"), F.concat_ws("/", *[F.when(F.col(p) != ABSENT, F.col(p)) for p in parts]),
-                            F.when(F.col("more"), F.lit("/**")).otherwise(F.lit("")))),
-    })
-    judged = cut_lineage(judged, "judged")
+    leaves = leaves.withColumn("leaf", digest(F.size("s")))
+    met = leaves.select("host", "leaf", "bad", "seen", F.explode(chain).alias("c")).select("host", "leaf", "bad", "seen", "c.*")
+    nodes = cut_lineage(met.groupBy("host", "node").agg(
+        F.max("depth").alias("depth"), F.max("parent").alias("parent"), F.sum("bad").cast("double").alias("bad"), F.sum("seen").cast("double").alias("seen")
+    ), "nodes")
+    parents = nodes.select("host", F.col("node").alias("parent"), F.col("bad").alias("all_bad"), F.col("seen").alias("all_seen"))
+    apart = nodes.join(parents, ["host", "parent"]).where(~similar("bad", "seen", "all_bad", "all_seen")).select("host", "node")
+    # the lowest node on the way up that is unlike its parent; all below it are merged into it
+    kept = met.select("host", "leaf", "node", "depth").join(apart, ["host", "node"]).groupBy("host", "leaf").agg(F.max("depth").alias("kept"))
+    judged = leaves.join(kept, ["host", "leaf"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    judged = judged.withColumn("template", F.when(F.col("kept") == F.size("s"), spelled(F.col("s"))).otherwise(
+        F.concat(spelled(F.slice("s", 1, F.col("kept"))), F.lit(f"/{MERGED}"))
+    ))
+    judged = cut_lineage(judged.drop("leaf", "kept"), "judged")
     pooled = sums(judged, ["host", "template"], "pool_bad", "pool_seen")
-    shapes = sums(leaves, shape, "shape_bad", "shape_seen")
-    overall = leaves.agg(F.sum("bad").alias("all_bad"), F.sum("seen").alias("all_seen"))
+    shapes = sums(leaves, ["s"], "shape_bad", "shape_seen")
+    overall = leaves.agg(F.sum("bad").cast("double").alias("all_bad"), F.sum("seen").cast("double").alias("all_seen"))
     purity = F.expr(
         f"(pool_bad + {PRIOR} * ((shape_bad + {PRIOR} * CASE WHEN all_seen > 0 THEN all_bad / all_seen ELSE 0.0D END)"
         f" / (shape_seen + {PRIOR}))) / (pool_seen + {PRIOR})"
     )
     scored = (
-        judged.join(pooled, ["host", "template"]).join(shapes, shape).join(F.broadcast(overall))  # one row
+        judged.join(pooled, ["host", "template"]).join(shapes, "s").join(F.broadcast(overall))  # one row
         .withColumn("purity", purity)
-        .select(*leaf, "template", "purity", F.when(F.col("purity") >= 0.5, "block").otherwise("allow").alias("method"))
-    )
-    originals = [f"o{k}" for k in range(1, LEVELS + 1)]
-    return trees.select("host", *originals, *parts, "more").join(scored, leaf).select(
-        "host", *originals, "more", "template", "purity", "method"
+        .select("host", "s", "template", "purity", F.when(F.col("purity") >= 0.5, "block").otherwise("allow").alias("method"))
     )
+    return trees.select("host", "marked", "s").join(scored, ["host", "s"]).drop("s")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, template, purity.
 
     Urls that are null or lack "://" have an empty host and path and are judged like any other template. Repeated urls
-    each count. Without any rule that fits, nothing is labelled and everything is allowed.
+    each count. Without any rule that fits, nothing is labelled and everything is allowed. Long urls and paths of many
+    segments are taken whole.
     """
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rule, action = rule_columns(F.col("host"), F.col("path"), rules)
-    originals = [f"o{k}" for k in range(1, LEVELS + 1)]
-    rows = rows.withColumns({"rule": rule, "action": action}).withColumns({
-        **{f"o{k}": segment(F.col("path"), k) for k in range(1, LEVELS + 1)},
-        "more": F.size(F.split("path", "/", -1)) > LEVELS + 1,
-    })
-    trees = rows.groupBy("host", *originals, "more").agg(
-        F.count("*").alias("n"), F.count("action").alias("seen"),
+    known = cut_lineage(host_rules(rows.select("host").distinct(), rules), "rules")
+    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
+    rows = rows.join(known, "host", "left").withColumn("first", first).select(
+        "page_id", "host", "path", F.col("first.rule").alias("rule"), F.col("first.action").alias("action"),
+        marked_path(F.col("path")).alias("marked"),
+    )
+    trees = rows.groupBy("host", "marked").agg(
+        F.count(F.lit(1)).alias("n"), F.count("action").alias("seen"),
         F.sum(F.when(F.col("action") == "block", 1).otherwise(0)).alias("bad"),
-    ).withColumns({f"s{k}": F.col(f"o{k}") for k in range(1, LEVELS + 1)})
+    ).withColumn("s", segments_of(F.col("marked")))
     verdicts = template_verdicts(cut_lineage(trees, "trees"))
-    return rows.join(verdicts, ["host", *originals, "more"]).select(
+    return rows.join(verdicts, ["host", "marked"]).select(
         "page_id", "host", "path", "rule", F.coalesce("action", "method").alias("verdict"), "template", "purity",
     )
