@@ -194,7 +194,8 @@ def gradient_sums(rows: DataFrame, tasks: list[tuple], offsets: np.ndarray, sett
                 names=["setting", "node", "slot", "g", "n"],
             )
 
-    parts = rows.mapInArrow(run, "setting int, node int, slot int, g double, n double")
+    # a task sends a row for each slot at most; dealt by node, they need no other exchange up to the best split
+    parts = rows.mapInArrow(run, "setting int, node int, slot int, g double, n double").repartition("setting", "node")
     return parts.groupBy("setting", "node", "slot").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
 
 
