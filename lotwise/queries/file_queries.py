@@ -14,6 +14,7 @@ from lotwise.queries.base import place_sql, query, r, table, with_place
 from lotwise.schemas import RAW_LISTINGS
 from lotwise.session import shared_folder
 from lotwise.sources import files
+from lotwise.sources.poi import has_tags, read_responses, tag
 
 _LISTED = """l AS (SELECT 'R$ ' || c_custkey AS preco, c_name || ', "n" ' || c_mktsegment AS endereco, abs(c_acctbal) AS area_m2,
     'u' || CAST(floor(c_custkey / 3) AS BIGINT) AS link, 'c' || (CAST(floor(c_custkey / 3) AS BIGINT) % 2) AS cidade,
@@ -72,6 +73,40 @@ def page_file_report(spark, sf):
     )
 
 
+def _rename(spark, folder: str, start: str, ending: str) -> None:
+    """The files of a folder whose names begin so get another ending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{start}*")):
+        fs.rename(status.getPath(), status.getPath().suffix(ending))
+
+
+@query(
+    """
+    WITH l AS (SELECT *, CAST(c_custkey % 4 AS INT) AS pagina FROM customer)
+    SELECT pagina, 'bad row' AS reason, 'R$ ' || c_custkey || ',Rua,x,muitos,1.0,1.0,u' || c_custkey || ',c,pr,2026-02-09 08:00:00' AS "row"
+    FROM l WHERE c_custkey % 50 = 3 AND pagina <> 2
+    UNION ALL SELECT 2, 'unreadable', NULL
+    """
+)
+def quarantined_files(spark, sf):
+    """Page files of which one is no compressed file though it is named so, and some rows have a word for a number."""
+    k, folder = F.col("c_custkey"), shared_folder(spark, "broken-pages")
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("R$ "), k.cast("string")).alias("preco"), F.lit("Rua").alias("rua"), F.lit("x").alias("endereco"),
+        F.when(k % 50 == 3, "muitos").otherwise("1.0").alias("quartos"), F.lit("1.0").alias("banheiros"), F.lit("1.0").alias("area_m2"),
+        F.concat(F.lit("u"), k.cast("string")).alias("link"), F.lit("c").alias("cidade"), F.lit("pr").alias("estado"),
+        F.lit("2026-02-09 08:00:00").alias("data_coleta"), k,
+    )
+    for page in range(4):
+        mine = rows.where(k % 4 == page).drop("c_custkey").coalesce(1)
+        named = mine.write.mode("append").option("mapreduce.output.basename", f"c_pr_pagina{page}")
+        named.option("header", True).csv(folder)
+    _rename(spark, folder, "c_pr_pagina2", ".gz")
+    found = files.quarantine(spark, folder)
+    return found.select(page_number(F.col("file_name")).alias("pagina"), "reason", "row")
+
+
 @query(f"WITH {_LISTED} SELECT link, pagina, preco, endereco, area_m2 FROM l")
 def united_file(spark, sf):
     """The united table written under its derived name and scanned with a declared schema."""
@@ -124,6 +159,25 @@ def chosen_geometry(spark, sf):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(
+    f"""SELECT 's' || s_suppkey AS nome, s_suppkey AS id, lat, lon, CASE s_suppkey % 3 WHEN 0 THEN 'hospital' WHEN 1 THEN 'school' ELSE 'bar' END AS amenity
+    FROM (SELECT s_suppkey, {place_sql('s_suppkey')} FROM supplier) WHERE s_suppkey % 3 <> 2"""
+)
+def response_elements(spark, sf):
+    """Saved responses, one document a nation, read back and filtered by their tags."""
+    k = F.col("s_suppkey")
+    amenity = F.when(k % 3 == 0, "hospital").when(k % 3 == 1, "school").otherwise("bar")
+    element = F.struct(
+        F.lit("node").alias("type"), k.alias("id"), "lat", "lon",
+        F.create_map(F.lit("amenity"), amenity, F.lit("name"), F.concat(F.lit("s"), k.cast("string"))).alias("tags"),
+    )
+    docs = with_place(table(spark, sf, "supplier"), "s_suppkey").groupBy("s_nationkey").agg(F.collect_list(element).alias("elements"))
+    folder = shared_folder(spark, "responses")
+    docs.select("s_nationkey", F.lit(0.6).alias("version"), F.lit("g").alias("generator"), "elements").write.partitionBy("s_nationkey").json(folder)
+    found = read_responses(spark, folder).where(has_tags({"amenity": ["hospital", "school"]}))
+    return found.select(tag("name").alias("nome"), "id", "lat", "lon", tag("amenity").alias("amenity"))
+
+
 @query(
     """SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, CAST(NULL AS DOUBLE) AS ausente,
         l_returnflag, CAST(NULL AS VARCHAR) AS falta FROM lineitem"""

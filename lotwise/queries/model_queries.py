@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotwise.functions import rules
 from lotwise.functions.numeric import log_target
-from lotwise.functions.scores import RADII, count_name, distance_name
+from lotwise.functions.scores import RADII, SCORES, count_name, distance_name
 from lotwise.operators import explain, models
 from lotwise.operators.metrics import metric_columns, regression_metrics
 from lotwise.operators.sampling import hash_split
@@ -27,7 +27,7 @@ from lotwise.plans.prepare import prepare
 from lotwise.plans.score import score
 from lotwise.plans.serve import price_new_listings
 from lotwise.plans.train import fit_full, train
-from lotwise.queries.base import ols2_sql, query, r, rounded, table, with_place
+from lotwise.queries.base import ols2_sql, place_sql, query, r, rounded, table, with_place
 from lotwise.session import shared_folder
 from lotwise.sources.predictions import read_predictions
 from lotwise.sources.runs import load_model
@@ -300,6 +300,35 @@ def batch_score(spark, sf):
     )
 
 
+_DEFAULTED = ols2_sql(
+    """(SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, ln(l_extendedprice) AS ly, least(greatest(l_quantity, q1), q2) AS cq, least(greatest(l_discount, d1), d2) AS cd,
+        q1, q2, qm FROM lineitem, (SELECT quantile_cont(l_quantity, 0.01) AS q1, quantile_cont(l_quantity, 0.99) AS q2, quantile_cont(l_quantity, 0.5) AS qm,
+             quantile_cont(l_discount, 0.01) AS d1, quantile_cont(l_discount, 0.99) AS d2 FROM lineitem))""",
+    "ly", "cq", "cd",
+)
+
+
+@query(
+    f"""WITH {_DEFAULTED}, p AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity END AS v FROM t, b)
+    SELECT l_orderkey, l_partkey, l_linenumber, 'zero' AS missing, round(b0 + b1 * least(greatest(coalesce(v, 0), q1), q2) + b2 * x2, 6) AS log_preco FROM p
+    UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 'impute', round(b0 + b1 * least(greatest(coalesce(v, qm), q1), q2) + b2 * x2, 6) FROM p"""
+)
+def default_scores(spark, sf):
+    """Absent parking spaces count as zero, or as the fitted median, in the stored prices."""
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", F.ln("l_extendedprice").alias("log_preco"), F.col("l_quantity").alias("vagas_garagem"),
+        F.col("l_discount").alias("area_m2"),
+    )
+    fitted = fit_full(li, LinearRegression(labelCol="log_preco", solver="normal"), "log_preco", ["vagas_garagem", "area_m2"], [])
+    rows = li.drop("log_preco").withColumn("vagas_garagem", F.when(F.col("l_partkey") % 3 != 0, F.col("vagas_garagem")))
+    keys = ["l_orderkey", "l_partkey", "l_linenumber"]
+    zero, impute = (
+        score(fitted, rows, missing).select(*keys, F.lit(missing).alias("missing"), r("log_preco", 6).alias("log_preco"))
+        for missing in ("zero", "impute")
+    )
+    return zero.unionByName(impute)
+
+
 @query()
 def train_and_register(spark, sf):
     """Search, final fit, baseline, run log and registry; returns the logged metrics."""
@@ -582,17 +611,12 @@ def prepare_flow(spark, sf):
     return rounded(out, 6, "log_preco", *scores)
 
 
-@query(
-    """
-    SELECT CASE WHEN c_custkey % 11 = 0 THEN 'sem_endereco' WHEN c_custkey % 7 = 0 THEN 'erro' WHEN c_custkey % 5 = 0 THEN 'nao_encontrado' ELSE 'sucesso' END AS status,
-           count(*) AS n, count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0) AS gravadas FROM customer GROUP BY 1
-    """
-)
-def online_flow(spark, sf):
-    """Every customer as a new listing: resolved, featured, priced and appended, or set aside."""
+def _new_listings(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as new listings, a cache of their addresses with gaps, and suppliers as places."""
     c = with_place(table(spark, sf, "customer"), "c_custkey")
     k = F.col("c_custkey")
     new = c.select(
+        k,
         F.when(k % 11 != 0, F.col("c_name")).otherwise(F.lit(" ")).alias("rua"), F.col("c_mktsegment").alias("bairro"),
         F.lit("Cidade").alias("cidade"), F.lit("PR").alias("estado"), (F.abs("c_acctbal") / 20).alias("area_m2"),
         (k % 5).alias("quartos"), (k % 3).alias("banheiros"), (k % 2).alias("vagas_garagem"),
@@ -606,6 +630,18 @@ def online_flow(spark, sf):
     poi = with_place(table(spark, sf, "supplier"), "s_suppkey").select(
         F.element_at(names, (F.col("s_nationkey") % 7 + 1).cast("int")).alias("category"), "lat", "lon"
     )
+    return new, cache, poi
+
+
+@query(
+    """
+    SELECT CASE WHEN c_custkey % 11 = 0 THEN 'sem_endereco' WHEN c_custkey % 7 = 0 THEN 'erro' WHEN c_custkey % 5 = 0 THEN 'nao_encontrado' ELSE 'sucesso' END AS status,
+           count(*) AS n, count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0) AS gravadas FROM customer GROUP BY 1
+    """
+)
+def online_flow(spark, sf):
+    """Every customer as a new listing: resolved, featured, priced and appended, or set aside."""
+    new, cache, poi = _new_listings(spark, sf)
     rows = homes(spark, sf)
     model = fit_full(rows, models.linear(rows, "log_preco"), "log_preco", NUMERIC, ["faixa_area"])
     folder = shared_folder(spark, "online")
@@ -614,3 +650,38 @@ def online_flow(spark, sf):
     done = stored.groupBy(F.lit("sucesso").alias("status")).agg(F.count(F.lit(1)).alias("n")).withColumn("gravadas", F.col("n"))
     rest = aside.groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("gravadas", F.lit(0).cast("long"))
     return done.unionByName(rest)
+
+
+_HOMES2 = ols2_sql(
+    """(SELECT ln(greatest(p_retailprice * p_size * (1 + (CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 5) / 10.0::double) * (1 + (p_partkey % 4) / 20.0::double), 1)) AS ly,
+        least(greatest(a, a1), a2) AS ca, least(greatest(coalesce(q, qm), q1), q2) AS cq, a1, a2, q1, q2, qm
+        FROM (SELECT *, CAST(p_size * 3 AS DOUBLE) AS a, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size % 5 AS DOUBLE) END AS q FROM part),
+          (SELECT quantile_cont(a, 0.01) AS a1, quantile_cont(a, 0.99) AS a2, quantile_cont(coalesce(q, qm), 0.01) AS q1, quantile_cont(coalesce(q, qm), 0.99) AS q2, max(qm) AS qm
+            FROM (SELECT CAST(p_size * 3 AS DOUBLE) AS a, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size % 5 AS DOUBLE) END AS q FROM part),
+              (SELECT quantile_cont(CAST(p_size % 5 AS DOUBLE), 0.5) AS qm FROM part WHERE p_partkey % 17 <> 0)))""",
+    "ly", "ca", "cq",
+)
+_PARK = SCORES["score_parque"]
+
+
+@query(
+    f"""WITH {_HOMES2}, f AS (SELECT max(a1) AS a1, max(a2) AS a2, max(q1) AS q1, max(q2) AS q2 FROM t),
+    h AS (SELECT c_custkey, abs(c_acctbal) / 20 AS area, CAST(c_custkey % 5 AS DOUBLE) AS q, {place_sql('c_custkey')} FROM customer
+        WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0),
+    parks AS (SELECT {place_sql('s_suppkey')} FROM supplier WHERE s_nationkey % 7 = {list(RADII).index('parque')}),
+    d AS (SELECT c_custkey, 2 * 6371000.0::double * asin(sqrt(least(1.0::double, pow(sin(radians(s.lat - h.lat) / 2), 2)
+        + cos(radians(h.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - h.lon) / 2), 2)))) AS metres FROM h CROSS JOIN parks s),
+    w AS (SELECT c_custkey, min(metres) AS near, count(*) FILTER (metres <= {RADII['parque']}) AS parks_near FROM d GROUP BY 1)
+    SELECT h.c_custkey, round(h.lat, 6) AS lat, round(h.lon, 6) AS lon, round({_PARK[1]}::double * exp(-near / {_PARK[2]}::double) + {_PARK[3]}::double * parks_near, 6) AS score_parque,
+        round(b0 + b1 * least(greatest(h.area, a1), a2) + b2 * least(greatest(h.q, q1), q2), 5) AS log_preco
+    FROM h LEFT JOIN w USING (c_custkey), b, f"""
+)
+def online_prices(spark, sf):
+    """Coordinates, a score and the price of every new listing that resolves, by a model of two features."""
+    new, cache, poi = _new_listings(spark, sf)
+    rows = homes(spark, sf)
+    model = fit_full(rows, LinearRegression(labelCol="log_preco", solver="normal"), "log_preco", ["area_m2", "quartos"], [])
+    priced, _ = price_new_listings(new, cache, poi, model, "modelo", "1.0.0")
+    return priced.select(
+        "c_custkey", r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), r("score_parque", 6).alias("score_parque"), r("log_preco", 5).alias("log_preco")
+    )

@@ -247,6 +247,27 @@ def run_registry(spark, sf):
     )
 
 
+@query(
+    """
+    SELECT 'vendas' AS experiment, o_orderpriority AS run_name, CAST(count(*) AS VARCHAR) AS n_rows, round(avg(o_totalprice), 4) AS rmse,
+           round(max(o_totalprice), 4) AS baseline_rmse, '/modelos/' || o_orderpriority AS model_path FROM orders GROUP BY ALL
+    """
+)
+def logged_runs(spark, sf):
+    """A run logged for every order priority, with parameters, metrics, baseline and model, read back."""
+    folder = shared_folder(spark, "log")
+    sums = table(spark, sf, "orders").groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("a"), F.max("o_totalprice").alias("m")
+    )
+    for row in sums.collect():  # one row for each experiment
+        name = row["o_orderpriority"]
+        runs.log_run(spark, folder, "vendas", name, {"n_rows": row["n"]}, {"rmse": row["a"]}, {"rmse": row["m"]}, f"/modelos/{name}")
+    return runs.read_runs(spark, folder).where("run_id is not null and end_time >= start_time").select(
+        "experiment", "run_name", F.col("params.n_rows").alias("n_rows"), r(F.col("metrics.rmse"), 4).alias("rmse"),
+        r(F.col("metrics.baseline_rmse"), 4).alias("baseline_rmse"), "model_path",
+    )
+
+
 @query(
     """
     SELECT CAST(l_quantity AS INT) AS quartos, l_extendedprice AS area_m2, l_returnflag AS bairro, 'modelo' AS modelo, '1.0.0' AS versao_modelo,

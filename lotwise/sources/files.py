@@ -31,8 +31,12 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType, glob: str | Non
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    # A row counts as unreadable by the columns that are parsed, so whoever asks for its text has all of them parsed.
+    every = F.length(F.concat_ws("", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields]))
+    bad = F.coalesce(F.col(BAD_RECORD), F.when(every < 0, F.lit("")))
     return reader.csv(path).select(
-        "*",
+        *[f"`{f.name}`" for f in schema.fields],
+        bad.alias(BAD_RECORD),
         F.col("_metadata.file_name").alias("file_name"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
@@ -67,6 +71,31 @@ def file_report(spark: SparkSession, folder: str, glob: str = "*_pagina*.csv") -
     return listed.join(rows, "file_name", "left").fillna(0, ["rows", "bad_rows", "links"])
 
 
+def quarantine(spark: SparkSession, folder: str, glob: str = "*_pagina*.csv*") -> DataFrame:
+    """What could not be read, by file: (file_name, reason, row).
+
+    Reasons: 'unreadable' (not one line came out of the file), 'cut short' (a compressed file that holds fewer bytes than its
+    end states) and 'bad row' with the row's text. A file with a header alone is sound; one without a byte is not listed.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    tail = F.expr("reverse(substring(content, -4, 4))")  # a compressed file ends in its length, lowest byte first
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+        .select(name.alias("file_name"), F.when(F.endswith(name, F.lit(".gz")), F.conv(F.hex(tail), 16, 10).cast("long")).alias("stated"))
+    )
+    lines = (
+        spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("lineSep", "\n").text(folder)
+        .groupBy(F.col("_metadata.file_name").alias("file_name")).agg((F.sum(F.octet_length("value")) + F.count(F.lit(1))).alias("read"))
+    )
+    whole = listed.join(lines, "file_name", "left").withColumn(
+        "reason",
+        F.when(F.col("read").isNull() & (F.coalesce("stated", F.lit(1)) > 0), "unreadable").when(F.col("stated") > F.col("read"), "cut short"),
+    )
+    files_out = whole.where("reason IS NOT NULL").select("file_name", "reason", F.lit(None).cast("string").alias("row"))
+    rows = scan_csv(spark, folder, RAW_LISTINGS, glob).where(F.col(BAD_RECORD).isNotNull())
+    return files_out.unionByName(rows.select("file_name", F.lit("bad row").alias("reason"), F.col(BAD_RECORD).alias("row")))
+
+
 def write_united(df: DataFrame, folder: str, city: str | None = None, state: str | None = None) -> str:
     """CSV table named after the city or 'todos'; an empty frame is refused."""
     if df.isEmpty():

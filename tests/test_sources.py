@@ -1,3 +1,4 @@
+import gzip
 import json
 import random
 import os
@@ -67,6 +68,27 @@ def test_sinks(spark, page_folder):
     assert "PartitionFilters: [isnotnull(estado" in plan
 
 
+def test_quarantine(spark):
+    """Whole, cut short, unreadable and empty files, a header alone, and rows that do not fit."""
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    good = "\n".join([HEAD, *(line(f"u{i}") for i in range(3000))]) + "\n"
+    packed = gzip.compress(good.encode())
+    contents = {
+        "c_pr_pagina1.csv": good.encode(), "c_pr_pagina2.csv.gz": packed, "c_pr_pagina3.csv.gz": packed[: len(packed) // 2] + packed[-8:],
+        "c_pr_pagina4.csv.gz": b"no gzip at all", "c_pr_pagina5.csv": b"", "c_pr_pagina6.csv": (HEAD + "\n").encode(),
+        "c_pr_pagina7.csv": f"{HEAD}\n{line('a').replace('50.0', 'large')}\n{line('b')}\na,b\n".encode(), "other.csv": b"x",
+    }
+    for name, content in contents.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content)
+    found = {(r["file_name"], r["reason"], r["row"]) for r in files.quarantine(spark, folder).collect()}
+    assert {f[:2] for f in found if f[1] != "bad row"} == {
+        ("c_pr_pagina3.csv.gz", "cut short"), ("c_pr_pagina4.csv.gz", "unreadable")}
+    assert {f[2] for f in found if f[1] == "bad row" and f[0] == "c_pr_pagina7.csv"} == {line("a").replace("50.0", "large"), "a,b"}
+    report = {r["file_name"]: (r["rows"], r["bad_rows"]) for r in files.file_report(spark, folder).collect()}
+    assert report["c_pr_pagina7.csv"] == (3, 2) and report["c_pr_pagina1.csv"] == (3000, 0)
+
+
 def test_poi_response(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     corners = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
