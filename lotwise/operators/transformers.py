@@ -3,16 +3,21 @@ SQLTransformer or MLlib model, so whole pipelines can be saved and stay in gener
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotwise.functions.numeric import nan_to_null
+from lotwise.operators.joins import lookup_join
 from lotwise.operators.profile import numeric_columns
 from lotwise.operators.quantiles import collect_quantiles, text_modes
+from lotwise.session import cut_lineage, shared_folder
 
 SCALERS = ["none", "max_abs", "min_max", "normalizer", "robust", "standard"]
 
@@ -130,33 +135,85 @@ class ColumnScaler(_Columns):
         return {c: row[f"a{i}"] for i, c in enumerate(cols)}, {c: row[f"b{i}"] for i, c in enumerate(cols)}
 
 
+def number_labels(values: DataFrame, col: str, folder: str) -> int:
+    """Write (label, slot) of a column of different, non-null texts: slots from 0 in the order of the labels.
+
+    Labels are dealt by ranges and counted within them, so only a row count for each range reaches the driver.
+    """
+    spark = values.sparkSession
+    ranged = values.select(F.col(col).alias("label")).repartitionByRange("label").sortWithinPartitions("label")
+    ranged = cut_lineage(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    place, row = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(place.alias("_range")).agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["_range"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))  # a row for each range
+    numbered = ranged.withColumn("_range", place).join(offsets, "_range").select("label", (F.col("_start") + row).alias("slot"))
+    numbered.write.parquet(folder)
+    return total
+
+
+class TableIndexer(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Slot of a text by a written table of labels; null and unknown texts get the slot past the last."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "text column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "slot column", TypeConverters.toString)
+    folder = Param(Params._dummy(), "folder", "table of label and slot", TypeConverters.toString)
+    width = Param(Params._dummy(), "width", "number of labels", TypeConverters.toInt)
+
+    def __init__(self, inputCol: str = "", outputCol: str = "", folder: str = "", width: int = 0):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, folder=folder, width=width)
+
+    def labels(self, spark) -> DataFrame:
+        return spark.read.schema("label string, slot long").parquet(self.getOrDefault("folder"))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        col, out = self.getOrDefault("inputCol"), self.getOrDefault("outputCol")
+        labels = self.labels(df.sparkSession).select(F.col("label").alias(col), F.col("slot").cast("double").alias("_slot"))
+        slot = F.coalesce("_slot", F.lit(float(self.getOrDefault("width"))))
+        return lookup_join(df, labels, [col]).select(*[f"`{c}`" for c in df.columns], slot.alias(out))
+
+
 class DropFirstEncoder(_Columns):
     """One-hot vectors without the alphabetically first value; that one, unknown and null are all zeros.
 
-    The labels are the vector's width and end up on the driver, so columns with more than
-    `widest` distinct values are refused.
+    The labels of a column with at most `widest` distinct values are part of the fitted step; those of a wider one lie in
+    a table below `folder` (by default the shared folder), which the fitted step joins. Slots are the same either way.
     """
 
     suffix = "_onehot"
-    widest = 100_000
+
+    def __init__(self, inputCols: list[str], widest: int = 100_000, folder: str | None = None):
+        super().__init__(inputCols)
+        self.widest, self.folder = widest, folder
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        cols = self.getInputCols()
+        cols, spark = self.getInputCols(), df.sparkSession
         cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
         values = df.select(F.explode(cells).alias("e")).select("e.*").where("v is not null").distinct()
-        found = values.limit(self.widest + 1).collect()
-        if len(found) > self.widest:
-            raise ValueError(f"more than {self.widest} distinct values to encode in {cols}")
+        sizes = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+        narrow = [c for c in cols if sizes.get(c, 0) <= self.widest]
+        found = values.where(F.col("c").isin(narrow)).collect() if narrow else []  # `widest` texts a column at most
         steps = []
         for c in cols:
+            index = f"{c}_index"
+            coder = OneHotEncoder(inputCol=index, outputCol=c + self.suffix, dropLast=True)
+            if c not in narrow:
+                mine = values.where(F.col("c") == c).select(F.col("v").alias(c))
+                rest = mine.where(F.col(c) > F.lit(mine.agg(F.min(c)).first()[0]))
+                folder = f"{self.folder.rstrip('/')}/{uuid.uuid4().hex}" if self.folder else shared_folder(spark, "labels")
+                width = number_labels(rest, c, folder)
+                last = spark.createDataFrame([(float(width),)], f"`{index}` double")  # the slot of unknown texts
+                steps += [TableIndexer(c, index, folder, width), coder.fit(last)]
+                continue
             labels = sorted(r["v"] for r in found if r["c"] == c)[1:]
             if not labels:
                 continue
-            index = StringIndexerModel.from_labels(
-                labels, inputCol=c, outputCol=f"{c}_index", handleInvalid="keep"
-            )
-            coder = OneHotEncoder(inputCol=f"{c}_index", outputCol=c + self.suffix, dropLast=True)
-            steps += [index, coder.fit(index.transform(df.limit(0)))]
+            indexer = StringIndexerModel.from_labels(labels, inputCol=c, outputCol=index, handleInvalid="keep")
+            steps += [indexer, coder.fit(indexer.transform(df.limit(0)))]
         return PipelineModel(steps)
 
 
@@ -191,6 +248,9 @@ def feature_names(model: PipelineModel, numeric: list[str], text: list[str]) ->
                 visit(s)
         elif isinstance(stage, StringIndexerModel):
             labels[stage.getInputCol()] = list(stage.labels)
+        elif isinstance(stage, TableIndexer):
+            named = stage.labels(SparkSession.getActiveSession()).orderBy("slot").collect()
+            labels[stage.getOrDefault("inputCol")] = [r["label"] for r in named]
 
     visit(model)
     return [*numeric, *[f"{c}_{v}" for c in text for v in labels.get(c, [])]]

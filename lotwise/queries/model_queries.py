@@ -120,6 +120,24 @@ def one_hot_drop_first(spark, sf):
     return sums.select(label.alias("name"), "total")
 
 
+@query(
+    """
+    WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 0 THEN NULL ELSE l_orderkey || '-' || l_partkey END AS v FROM lineitem),
+    d AS (SELECT v, row_number() OVER (ORDER BY v) - 2 AS slot, count(*) OVER () - 1 AS width FROM (SELECT DISTINCT v FROM t WHERE v IS NOT NULL))
+    SELECT l_orderkey, l_linenumber, CASE WHEN slot >= 0 THEN slot END::bigint AS slot, (SELECT max(width) FROM d)::bigint AS width FROM t LEFT JOIN d USING (v)
+    """
+)
+def wide_one_hot(spark, sf):
+    """A text column with almost as many values as rows: the place of the one in its vector, and the vector's width."""
+    k = F.col("l_orderkey")
+    text = F.concat(k.cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(k % 50 != 0, text).alias("v"))
+    fitted = DropFirstEncoder(["v"], widest=1000).fit(rows)
+    width = fitted.stages[-1].categorySizes[0] - 1
+    slot = F.when(F.col("v_index") < width, F.col("v_index").cast("long"))
+    return fitted.transform(rows).select("l_orderkey", "l_linenumber", slot.alias("slot"), F.lit(width).cast("long").alias("width"))
+
+
 _LINE2 = ols2_sql("lineitem", "l_extendedprice", "l_quantity", "l_discount")
 
 

@@ -94,6 +94,22 @@ def test_imputer_clipper_scaler(spark):
     assert {r["x"] for r in ColumnScaler(["x"]).fit(flat).transform(flat).collect()} == {0.0}
 
 
+def test_wide_encoder_has_the_slots_of_the_narrow_one(spark, tmp_path):
+    """Labels in a table instead of the fitted step: same vectors, also after saving, for nulls and unknown texts."""
+    fit = spark.createDataFrame([(i, f"t{i * 37 % 501:03d}" if i % 9 else None) for i in range(900)], "id int, v string")
+    more = spark.createDataFrame([(1, "t000"), (2, "t500"), (3, "new"), (4, None), (5, "t007")], "id int, v string")
+    narrow = DropFirstEncoder(["v"]).fit(fit)
+    wide = DropFirstEncoder(["v"], widest=10, folder=f"{tmp_path}/labels").fit(fit)
+    path = f"{tmp_path}/model"
+    wide.write().save(path)
+    for rows in (fit, more):
+        want = {r["id"]: r["v_onehot"] for r in narrow.transform(rows).collect()}
+        for model in (wide, PipelineModel.load(path)):
+            out = model.transform(rows)
+            assert out.columns[:2] == ["id", "v"] and {r["id"]: r["v_onehot"] for r in out.collect()} == want
+    assert feature_names(wide, [], ["v"]) == feature_names(narrow, [], ["v"])
+
+
 def test_encoder_drops_first_and_ignores_unknown(spark):
     fit = spark.createDataFrame([("b",), ("a",), ("c",), ("b",)], "v string")
     model = DropFirstEncoder(["v"]).fit(fit)
