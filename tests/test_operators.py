@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import filters
+from lotwise.operators import filters, profile
 from lotwise.operators.dedup import keep_first, union_all
 from lotwise.operators.geocode import failed_addresses, lookup_status, resolve
 from lotwise.operators.joins import lookup_join, pending_keys
@@ -124,3 +124,25 @@ def test_split_and_sample_do_not_depend_on_partitions(spark):
     assert train.count() + test.count() == 3000 and abs(test.count() - 600) < 90
     assert train.exceptAll(again).count() == 0
     assert stable_sample(df, ["id"], 50).exceptAll(stable_sample(df.repartition(5), ["id"], 50)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["normal", "few", "outliers", "repeated"])
+def test_density_equals_plain_sums(spark, kind):
+    """Moments of cells against the sum over all values, within the stated error."""
+    rng = np.random.default_rng(7)
+    values = {
+        "normal": rng.normal(size=5000), "few": np.array([1.0, 4.0, 4.5]), "repeated": rng.integers(0, 9, 4000).astype(float),
+        "outliers": np.concatenate([rng.normal(size=3000), [500.0, -40.0]]),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    rows = profile.kernel_density(df, "v", 120).orderBy("point").collect()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    at = np.linspace(values.min() - 3 * h, values.max() + 3 * h, 120)
+    want = np.exp(-(((at[:, None] - values[None]) / h) ** 2) / 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert len(rows) == 120 and np.allclose([r["x"] for r in rows], at)
+    assert np.abs(np.array([r["density"] for r in rows]) - want).max() < 1e-13 / h
+
+
+def test_density_needs_two_values(spark):
+    with pytest.raises(ValueError):
+        profile.kernel_density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v")
