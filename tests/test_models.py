@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -232,3 +233,17 @@ def test_trials_are_reproducible_and_in_range():
     for t in trials:
         for name, (low, high, _) in models.SEARCH_SPACE.items():
             assert low <= t[name] <= high
+
+
+@pytest.mark.parametrize("width", [50, 5000])
+def test_ridge_is_as_exact_with_many_features(spark, width):
+    """The same solver and tolerance at any width, against the closed form."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(250, width))
+    y = x[:, :5].sum(axis=1) + 3 + rng.normal(size=250)
+    df = spark.createDataFrame([(Vectors.dense(r.tolist()), float(t)) for r, t in zip(x, y)], ["features", "y"])
+    model = models.ridge(df, "y", alpha=20.0).fit(df)
+    c = x - x.mean(axis=0)
+    want = c.T @ np.linalg.solve(c @ c.T + 20.0 * np.eye(250), y - y.mean())
+    assert np.abs(model.coefficients.toArray() - want).max() < 2e-6
+    assert abs(model.intercept - (y.mean() - x.mean(axis=0) @ want)) < 2e-6
