@@ -28,6 +28,12 @@ def build_session(app: str = "lotwise", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver remove an existing folder when it ends, whatever store it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,11 +42,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
+        delete_at_exit(spark, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
-    """Write the rows to the shared folder once and go on from the written table."""
+    """Write the rows to the shared folder once and go on from the written table, which goes when the driver ends."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
