@@ -430,10 +430,10 @@ def stump_contributions(spark, sf):
 _ALPHA, _LAMBDA, _RATE = 3.5, 20.0, 0.3
 
 
-def _penalised_level(name: str, source: str, node: str) -> str:
+def _best_split(name: str, source: str, node: str, alpha: float, lam: float) -> str:
     """CTE `name`: per node (an expression over `source`) its totals and its best split of the gradient g."""
     long = " UNION ALL ".join(f"SELECT {node} AS node, {i} AS f, {x} AS x, g FROM {source}" for i, x in enumerate(_STEPS))
-    score = lambda g, n: f"pow(greatest(abs({g}) - {_ALPHA}::double, 0), 2) / ({n} + {_LAMBDA}::double)"
+    score = lambda g, n: f"pow(greatest(abs({g}) - {alpha}::double, 0), 2) / ({n} + {lam}::double)"
     return f"""
     {name}_v AS (SELECT node, f, x, CAST(count(*) AS DOUBLE) AS n, sum(g) AS s FROM ({long}) GROUP BY 1, 2, 3),
     {name}_c AS (SELECT node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY node, f) AS na, sum(s) OVER (PARTITION BY node, f) AS sa
@@ -446,26 +446,26 @@ def _side(split: str) -> str:
     return f"CASE {split}.f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= {split}.x"
 
 
-def _penalised_tree(k: int, depth: int) -> str:
+def _tree_sql(k: int, depth: int, alpha: float = _ALPHA, lam: float = _LAMBDA, rate: float = _RATE, gradient: str = "p - y") -> str:
     """CTEs of the k-th tree: its nodes tree{k} (node, f, x of the split or null, value v, rows n) and, from the rows p{k},
     the rows p{k + 1} with a prediction further on."""
-    leaf = f"-sign(s) * greatest(abs(s) - {_ALPHA}::double, 0) / (n + {_LAMBDA}::double)"
-    out, nodes = [f"d{k}_0 AS (SELECT p_partkey, x0, x1, x2, y, p, p - y AS g, 0 AS node FROM p{k})"], []
+    leaf = f"-sign(s) * greatest(abs(s) - {alpha}::double, 0) / (n + {lam}::double)"
+    out, nodes = [f"d{k}_0 AS (SELECT p_partkey, x0, x1, x2, y, p, {gradient} AS g, 0 AS node FROM p{k})"], []
     for level in range(depth):
         best, source = f"b{k}_{level}", f"d{k}_{level}"
-        out.append(_penalised_level(best, f"(SELECT * FROM {source} WHERE node >= {2**level - 1})", "node"))
+        out.append(_best_split(best, f"(SELECT * FROM {source} WHERE node >= {2**level - 1})", "node", alpha, lam))
         nodes.append(f"SELECT r.node, b.f, b.x, s, n FROM m{k}_{level} r LEFT JOIN {best} b USING (node)")
         out.append(f"m{k}_{level} AS (SELECT node, sum(g) AS s, CAST(count(*) AS DOUBLE) AS n FROM {source} WHERE node >= {2**level - 1} GROUP BY 1)")
         out.append(f"""d{k}_{level + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.f IS NULL THEN r.node WHEN {_side('b')} THEN 2 * r.node + 1
             ELSE 2 * r.node + 2 END AS node FROM {source} r LEFT JOIN {best} b ON b.node = r.node)""")
     ends = f"SELECT node, NULL AS f, NULL AS x, sum(g) AS s, CAST(count(*) AS DOUBLE) AS n FROM d{k}_{depth} WHERE node >= {2**depth - 1} GROUP BY 1"
     out.append(f"tree{k} AS (SELECT *, {leaf} AS v FROM ({' UNION ALL '.join([*nodes, ends])}))")
-    out.append(f"p{k + 1} AS (SELECT r.* EXCLUDE (p, g, node), p + {_RATE}::double * v AS p FROM d{k}_{depth} r JOIN tree{k} USING (node))")
+    out.append(f"p{k + 1} AS (SELECT r.* EXCLUDE (p, g, node), p + {rate}::double * v AS p FROM d{k}_{depth} r JOIN tree{k} USING (node))")
     return ", ".join(out)
 
 
 def _penalised_sql(trees: int, depth: int) -> str:
-    grown = ", ".join(_penalised_tree(k, depth) for k in range(trees))
+    grown = ", ".join(_tree_sql(k, depth) for k in range(trees))
     return f"WITH {_STEP_ROWS}, p0 AS (SELECT *, avg(y) OVER () AS p FROM t0), {grown}"
 
 
@@ -500,6 +500,29 @@ def penalised_nodes(spark, sf):
     return rounded(spark.createDataFrame(nodes, "tree int, node int, feature int, value double, n_rows double"), 6, "value")
 
 
+def _plain_boosting_sql(trees: int, depth: int) -> str:
+    """A regression tree, and further ones of a tenth of its weight, each fitted to twice what is left."""
+    first = _tree_sql(0, depth, 0.0, 0.0, 1.0, "-y")
+    rest = "".join(f", {_tree_sql(k, depth, 0.0, 0.0, 0.1, '-2 * (y - p)')}" for k in range(1, trees))
+    return f"WITH {_STEP_ROWS}, p0 AS (SELECT *, 0.0::double AS p FROM t0), {first}{rest}"
+
+
+@query(f"{_plain_boosting_sql(1, 3)} SELECT p_partkey, round(p, 6) AS prediction FROM p1")
+def forest_tree(spark, sf):
+    """A forest of two trees of depth three without resampling, each of which sees every row and feature."""
+    rows = _step_rows(spark, sf)
+    out = models.random_forest(rows, "y", trees=2, max_depth=3).setBootstrap(False).fit(rows).transform(rows)
+    return rounded(out.select("p_partkey", "prediction"), 6, "prediction")
+
+
+@query(f"{_plain_boosting_sql(4, 3)} SELECT p_partkey, round(p, 6) AS prediction FROM p4")
+def boosted_trees(spark, sf):
+    """Four rounds of gradient boosting at its usual depth and rate."""
+    rows = _step_rows(spark, sf)
+    out = models.gradient_boosting(rows, "y", rounds=4).fit(rows).transform(rows)
+    return rounded(out.select("p_partkey", "prediction"), 6, "prediction")
+
+
 def _subset_value(i: int, depth: int) -> str:
     """Value of node i of one tree for a row of which only the features in `mask` are known."""
     if i >= 2**depth - 1:
