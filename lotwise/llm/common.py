@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_WORDS = 1_000_000  # words a worker keeps at once in a cache, some 250 MB; the cache starts anew beyond that
+CACHE_BYTES = 120_000_000  # of the words a worker remembers in one cache
+LONGEST = 64  # characters of a word that is remembered; text without blanks makes words of any length
+WORD_BYTES = 190  # of a word and what is kept for it, beside their own characters and bytes
 
 
 def share(spark: SparkSession, value, make: Callable = lambda value: value) -> Callable:
@@ -30,6 +32,43 @@ def share(spark: SparkSession, value, make: Callable = lambda value: value) -> C
     return get
 
 
+class WordCache:
+    """What a worker worked out for each word, within CACHE_BYTES. When half of that is new, what was older and not met
+    since goes. Long words are worked out anew for every text."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], budget: int = CACHE_BYTES):
+        self.make, self.half = make, budget // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size, self.passing = 0, []
+
+    def fetch(self, words: list[str]) -> dict[str, bytes]:
+        """A mapping with an entry for each of the words at least; it holds until the next call."""
+        for word in self.passing:
+            del self.young[word]
+        self.passing = []
+        if self.size > self.half:
+            self.young, self.old, self.size = {}, self.young, 0
+        missing = []
+        for word in set(words).difference(self.young):
+            value = self.old.get(word)
+            if value is None:
+                missing.append(word)
+            else:
+                self._put(word, value)
+        if missing:
+            for word, value in zip(missing, self.make(missing)):
+                self._put(word, value)
+        return self.young
+
+    def _put(self, word: str, value: bytes) -> None:
+        self.young[word] = value
+        if len(word) > LONGEST:
+            self.passing.append(word)
+        else:
+            self.size += WORD_BYTES + len(word) + len(value)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two named columns, under plain names, whatever else the table carries."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

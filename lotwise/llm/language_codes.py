@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lotwise.llm.common import MAX_WORDS, filter_rows, id_and_text, share
+from lotwise.llm.common import WordCache, filter_rows, id_and_text, share
 
 BUCKETS = 1 << 14  # n-gram hash buckets
 WORDS_AT_ONCE = 100_000  # different words whose n-grams are counted together in training
@@ -124,19 +124,14 @@ class LanguageModel:
 
 def predictor(model: LanguageModel):
     """`predict(text) -> (language, score, gap)` with a cache of word rows."""
-    known: dict[str, bytes] = {}
     width = model.code.shape[1] + 1
+    cache = WordCache(lambda words: model.word_rows(words).view(f"V{4 * width}").ravel().tolist())
 
     def predict(text: str | None) -> tuple[str, float, float]:
         if not has_letter(text):
             return UNDECIDED, 0.0, 0.0
         words = text.split()
-        if len(known) > MAX_WORDS:
-            known.clear()
-        new = list(set(words).difference(known))
-        if new:
-            known.update(zip(new, model.word_rows(new).view(f"V{4 * width}").ravel().tolist()))
-        rows = np.frombuffer(b"".join(map(known.__getitem__, words)), np.float32).reshape(-1, width)
+        rows = np.frombuffer(b"".join(map(cache.fetch(words).__getitem__, words)), np.float32).reshape(-1, width)
         return model.decode(rows.sum(axis=0, dtype=np.float64))
 
     return predict

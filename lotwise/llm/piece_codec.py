@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lotwise.llm.common import MAX_WORDS, id_and_text, share
+from lotwise.llm.common import WordCache, id_and_text, share
 
 MARK = "▁"
 LEAST_SCORE = -50_000.0  # pieces that the file gives a placeholder score below this count as this
@@ -53,6 +53,9 @@ class Vocabulary:
         return not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
 
 
+MAX_MOVES = 500_000  # moves over failure links that are remembered, some 50 MB
+
+
 class Automaton:
     """Trie of the pieces with failure links; per state the pieces that end there, along the output links."""
 
@@ -81,12 +84,14 @@ class Automaton:
                 self.output[child] = to if self.piece[to] else self.output[to]
         self.ending: dict[int, list] = {0: []}  # filled as states are met
         self.moves: list[dict[str, int]] = [dict(d) for d in self.next]  # with moves over failure links as met
+        self.met = 0
 
     def follow(self, state: int, c: str) -> int:
         back = state
         while back and c not in self.next[back]:
             back = self.fail[back]
         to = self.moves[state][c] = self.next[back].get(c, 0)
+        self.met += 1
         return to
 
     def pieces_at(self, state: int) -> list[tuple[int, int, float]]:
@@ -100,6 +105,8 @@ class Automaton:
 
     def best(self, text: str, bytes_first: int) -> list[int]:
         """Piece ids of the best split of `text`, in which marks are already in place."""
+        if self.met > MAX_MOVES:
+            self.moves, self.met = [dict(d) for d in self.next], 0
         moves, ending = self.moves, self.ending
         score, came, state, end = [0.0], [None], 0, 0
         for c in text:
@@ -144,13 +151,13 @@ def encoder(vocabulary: Vocabulary):
     automaton, first = Automaton(vocabulary), vocabulary.bytes_first
     splits = vocabulary.breaks_at_marks()
     pairs = {p[k : k + 2] for p in vocabulary.pieces for k in range(len(p) - 1)}
-    known: dict[str, bytes] = {}  # by word with the space before it
-    after: dict[str, bytes] = {}  # by word, for words with one space before them
 
     def best(text: str) -> bytes:
         ids = automaton.best(text.replace(" ", MARK), first)
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    stems = WordCache(lambda words: list(map(best, words)))  # words without the marks that end them
+
     def ids_of(word: str) -> bytes:
         if MARK in word:  # a mark of the text itself
             return struct.pack("<3i", *(first + b for b in MARK.encode())).join(map(best, word.split(MARK)))
@@ -158,29 +165,23 @@ def encoder(vocabulary: Vocabulary):
         while end and not word[end - 1].isalnum():
             end -= 1
         if 0 < end < len(word) and word[end - 1 : end + 1] not in pairs:
-            return cached(word[:end]) + cached(word[end:])
-        return best(word)
+            parts = [word[:end], word[end:]]
+            return b"".join(map(stems.fetch(parts).__getitem__, parts))
+        return stems.fetch([word])[word]
 
-    def cached(word: str) -> bytes:
-        ids = known.get(word)
-        if ids is None:
-            ids = known[word] = ids_of(word)
-        return ids
+    words_kept = WordCache(lambda words: [ids_of(" " + w) for w in words])  # words with one space before them
+    others = WordCache(lambda words: list(map(ids_of, words)))
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if len(known) + len(after) > MAX_WORDS:
-            known.clear()
-            after.clear()
         if not splits:
             return ids_of(" " + text)
         if text[0] == " " or text[-1] == " " or "  " in text:
-            return b"".join(map(cached, _WORDS.findall(" " + text)))
+            words = _WORDS.findall(" " + text)
+            return b"".join(map(others.fetch(words).__getitem__, words))
         words = text.split(" ")
-        for word in set(words).difference(after):
-            after[word] = cached(" " + word)
-        return b"".join(map(after.__getitem__, words))
+        return b"".join(map(words_kept.fetch(words).__getitem__, words))
 
     return encode
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lotwise.llm.common import MAX_WORDS, id_and_text, share
+from lotwise.llm.common import WordCache, id_and_text, share
 from lotwise.session import cut_lineage
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -360,19 +360,15 @@ def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def span_finder(field: SecretField):
     """`find(text) -> (base spans, all spans)`."""
-    known: dict[str, bytes] = {}
     plain_rows: dict[int, bytes] = {}
+    cache = WordCache(lambda tokens: [field.token_row(t, plain_rows) for t in tokens])
 
     def find(text: str) -> tuple[list, list]:
         base = base_spans(text)
         tokens = text.split()
         if not tokens:
             return base, base
-        if len(known) > MAX_WORDS:
-            known.clear()
-        for token in set(tokens).difference(known):
-            known[token] = field.token_row(token, plain_rows)
-        rows = np.frombuffer(b"".join(map(known.__getitem__, tokens)), np.float32).reshape(-1, 9)
+        rows = np.frombuffer(b"".join(map(cache.fetch(tokens).__getitem__, tokens)), np.float32).reshape(-1, 9)
         scores = rows[:, :3] + field.weights[hashed(file_features(text), "file")].sum(axis=0)
         scores[1:] += rows[:-1, 3:6]
         scores[:-1] += rows[1:, 6:]

@@ -507,12 +507,12 @@ def _plain_boosting_sql(trees: int, depth: int) -> str:
     return f"WITH {_STEP_ROWS}, p0 AS (SELECT *, 0.0::double AS p FROM t0), {first}{rest}"
 
 
-@query(f"{_plain_boosting_sql(1, 3)} SELECT p_partkey, round(p, 6) AS prediction FROM p1")
+@query(f"{_plain_boosting_sql(1, 3)} SELECT p_partkey, round(p, 4) AS prediction FROM p1")
 def forest_tree(spark, sf):
     """A forest of two trees of depth three without resampling, each of which sees every row and feature."""
     rows = _step_rows(spark, sf)
     out = models.random_forest(rows, "y", trees=2, max_depth=3).setBootstrap(False).fit(rows).transform(rows)
-    return rounded(out.select("p_partkey", "prediction"), 6, "prediction")
+    return rounded(out.select("p_partkey", "prediction"), 4, "prediction")
 
 
 @query(f"{_plain_boosting_sql(4, 3)} SELECT p_partkey, round(p, 6) AS prediction FROM p4")

@@ -12,7 +12,7 @@ from fixtures import LONG, documents, items, vectors
 from pyspark.sql import functions as F
 
 from lotwise.llm import (
-    deobfuscation, direct_codes, kd_shards, language_codes, piece_codec, pivot_simhash, projection_forest, secret_crf,
+    common, deobfuscation, direct_codes, kd_shards, language_codes, piece_codec, pivot_simhash, projection_forest, secret_crf,
     suffix_automaton, url_templates,
 )
 from lotwise.llm.queries import ORACLES, QUERIES, table, tokenizer_path
@@ -613,3 +613,37 @@ def test_decontamination_of_clashing_columns(spark, monkeypatch):
     tests = items(spark, [(k, t) for k, t in enumerate(["alpha beta", "gamma delta", "one two three four", "five six seven eight nine"])])
     kept = suffix_automaton.decontaminate(docs, tests)
     assert kept.columns == docs.columns and [(r["doc_id"], r["__row"], r["__items"]) for r in kept.collect()] == [(2, 77, "mine")]
+
+
+def test_word_cache_is_bounded_in_bytes():
+    made = []
+
+    def make(words):
+        made.extend(words)
+        return [w.encode() for w in words]
+
+    cache = common.WordCache(make, budget=200_000)
+    rng = random.Random(1)
+    for k in range(3000):
+        words = ["often", f"w{k}", f"w{rng.randrange(k + 1)}", "x" * 50_000, f"long{k}" * 30]
+        found = cache.fetch(words)
+        assert all(found[w] == w.encode() for w in words)
+    held = sum(len(w) + len(v) for d in (cache.young, cache.old) for w, v in d.items())
+    assert held < 200_000 and made.count("often") == 1 and made.count("x" * 50_000) == 3000
+    assert len(cache.young) + len(cache.old) < 1200
+
+
+def test_texts_without_blanks_are_not_remembered(monkeypatch):
+    """Texts of 2,500 characters without a blank: no cache of any encoder grows with them."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("日本語中文字天地人abc") for _ in range(2500)) for _ in range(300)]
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = direct_codes.BulkEncoder(f.read())
+    for k in range(0, 300, 50):
+        encoder.encode(texts[k : k + 50])
+    assert len(encoder.known) == 0
+    many = [" ".join(f"{'xyz'[k % 3]}{k}{i}" for i in range(900)) for k in range(40)]
+    monkeypatch.setattr(direct_codes, "MAX_RUNS", 2000)
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in many]
+    assert [x.tolist() for t in many for x in encoder.encode([t])] == want
+    assert len(encoder.known) <= 2000 + 900
