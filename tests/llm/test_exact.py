@@ -647,3 +647,97 @@ def test_texts_without_blanks_are_not_remembered(monkeypatch):
     want = [encoder.library.encode(t, add_special_tokens=False).ids for t in many]
     assert [x.tolist() for t in many for x in encoder.encode([t])] == want
     assert len(encoder.known) <= 2000 + 900
+
+
+def slow_ngrams(word):
+    """Buckets of the n-grams of the letter runs of one word."""
+    mask, found = (1 << 64) - 1, []
+    p1, p2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    for run in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in word.lower())):
+        marked = [0, *map(ord, run), 0]
+        keys = [c * p1 for c in marked[1:-1]]
+        keys += [a * p2 + b * p1 + 1 for a, b in zip(marked, marked[1:])]
+        keys += [(a * p2 + b) * p2 + c * p1 + 2 for a, b, c in zip(marked, marked[1:], marked[2:])]
+        found += [((k & mask) * p2 & mask) >> 32 for k in keys]
+    return [k % language_codes.BUCKETS for k in found]
+
+
+def test_language_brute_force(spark):
+    """Counts, bit classifiers, votes and loss-weighted decoding by plain loops, over the given texts."""
+    import math
+    from collections import Counter
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").where("lang is not null and length(text) < 3000").limit(120)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    model = language_codes.train_language_codes(documents(spark, [(i, t, la, "a") for i, t, la in rows]))
+    predict = language_codes.predictor(model)
+    counts = {}
+    for _, text, lang in rows:
+        counts.setdefault(lang, Counter()).update(k for w in text.split() for k in slow_ngrams(w))
+    languages = sorted(counts)
+    assert model.languages == languages
+    size = language_codes.BUCKETS
+    share = {la: [(counts[la][k] + 0.5) / (sum(counts[la].values()) + 0.5 * size) for k in range(size)] for la in languages}
+    code = model.code
+    weights = []
+    for b in range(code.shape[1]):
+        on, off = ([la for la, c in zip(languages, code[:, b]) if (c > 0) == side] for side in (True, False))
+        weights.append([
+            math.log(sum(share[la][k] for la in on) / len(on)) - math.log(sum(share[la][k] for la in off) / len(off)) for k in range(size)
+        ])
+    trust = [[sum(s for s, w in zip(share[la], weights[b]) if math.copysign(1, w) == code[i, b] and w) for b in range(code.shape[1])] for i, la in enumerate(languages)]
+    trust = [[t * code.shape[1] / sum(r) for t in r] for r in trust]
+    for _, text, _ in rows[:60]:
+        votes, n = [0.0] * code.shape[1], 0
+        for word in text.split():
+            grams = slow_ngrams(word)
+            n += bool(grams)
+            for b in range(code.shape[1]):
+                votes[b] += max(-4.0, min(4.0, sum(weights[b][k] for k in grams)))
+        bits = [v / max(n, 1) * math.sqrt(min(max(n, 1), 40)) for v in votes]
+        loss = [sum(t * math.log1p(math.exp(-c * x)) for t, c, x in zip(trust[i], code[i], bits)) for i in range(len(languages))]
+        p = [math.exp(min(loss) - x) for x in loss]
+        best = max(range(len(p)), key=lambda i: p[i])
+        lang, score, _ = predict(text)
+        assert lang == languages[best] and abs(score - p[best] / sum(p)) < 1e-3
+
+
+def slow_kd(groups, shards):
+    """Shard of every group, none being cut: recursive cuts at weighted medians along the widest dimension."""
+    span = [max(max(g[d] for g in groups) - min(g[d] for g in groups), 1) for d in range(3)]
+    home = {}
+
+    def cut(part, first, m):
+        if m == 1 or not part:
+            home.update({g: first for g in part})
+            return
+        widest = max(range(3), key=lambda d: ((max(g[d] for g in part) - min(g[d] for g in part)) / span[d], -d))
+        left, total = m // 2, sum(g[0] * g[3] for g in part)
+        target, before, sides = total * left // m, 0, ([], [])
+        for g in sorted(part, key=lambda g: (g[widest], g[:3])):
+            w, ahead = g[0] * g[3], target - before
+            sides[0 if w <= ahead or ahead > 0 and 2 * ahead >= w else 1].append(g)
+            before += w
+        cut(sides[0], first, left)
+        cut(sides[1], first + left, m - left)
+
+    cut(groups, 0, shards)
+    return home
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40])
+def test_shards_brute_force(spark, monkeypatch, shards):
+    monkeypatch.setattr(kd_shards, "LIGHT", 1e9)  # every group stays whole
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abc é日 ") for _ in range(int(rng.paretovariate(1.2) * 12) % 400)) for _ in range(700)]
+    texts += [rng.choice(texts[:20]) for _ in range(60)] + [None, ""]
+    got = kd_shards.kd_shards(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), shards).collect()
+    key = lambda t: (len(t.encode()) + 16, (len(t.encode()) - len(t)) * 1000 // max(len(t), 1), zlib.crc32(t.encode()))
+    counts = {}
+    for t in texts:
+        counts[key(t or "")] = counts.get(key(t or ""), 0) + 1
+    home = slow_kd([(*k, n) for k, n in counts.items()], shards)
+    assert len(got) == len(texts)
+    for r in got:
+        k = key(texts[r["doc_id"]] or "")
+        assert r["shard"] == home[(*k, counts[k])]
