@@ -27,7 +27,7 @@ LEAF_POINTS = 256
 # Cells of level 13 are about 20 cm wide; each level is four times finer per axis.
 FINEST_LEVEL = 13
 # Estimated bytes of the cell table up to which it is broadcast, and of its rows.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 64_000_000
 CELL_BYTES, PLACE_BYTES = 200, 64
 # In the shuffled form, a cell at which more listings stand than this share of them all gets a copy for every such
 # share; at most 1 / HOT_SHARE cells can be that crowded.
@@ -66,19 +66,15 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> tuple[DataFrame
     Cells with a single child are skipped, so the number of levels follows the density.
     """
     bounds = [f(a).alias(f"{a}{s}") for a in AXES for f, s in ((F.min, 0), (F.max, 1))]
-    levels = pts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST_LEVEL)))).withColumn(
-        "node", _cell_key(F.col("level"))
-    )
-    cells = levels.groupBy("category", "level", "node").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("w").alias("cnt"),
-        *bounds,
-        *[F.first(_cell(a, F.greatest(F.col("level") - 1, F.lit(0)))).alias(f"_p{a}") for a in AXES],
-        *[F.first(f"_i{a}").alias(f"_i{a}") for a in AXES],
-    )
-    cells = cells.withColumn(
-        "up", F.when(F.col("level") > 0, F.concat_ws(":", F.col("level") - 1, *[f"_p{a}" for a in AXES]))
+    # whole numbers name the cells as long as there is a row for every place and level
+    numbers = {f"_c{a}": _cell(a, F.col("level")).cast("int") for a in AXES}
+    levels = pts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST_LEVEL)))).withColumns(numbers)
+    cells = levels.groupBy("category", "level", *numbers).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("cnt"), *bounds, *[F.first(f"_i{a}").alias(f"_i{a}") for a in AXES]
     )
+    cells = cells.withColumns({
+        "node": _cell_key(F.col("level")), "up": F.when(F.col("level") > 0, _cell_key(F.col("level") - 1)),
+    })
     cells = cut_lineage(cells, "cells")
     full = (F.col("n") > leaf_points) & (F.col("level") < FINEST_LEVEL)
     inner = cells.where(full)
@@ -105,8 +101,9 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> tuple[DataFrame
     tree = tree.withColumns({"parent": F.coalesce("parent", F.lit("")), "depth": F.coalesce("depth", F.lit(0))})
     # A place lies in one leaf; the leaf's places are dealt into as many arrays as its number asks for.
     array = F.pmod(F.xxhash64("lat", "lon"), F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_points)))
+    where = ["category", "level", *numbers]
     leaf_pts = (
-        lookup_join(levels, leaves.select("category", "node", "n"), ["category", "node"], "inner")
+        lookup_join(levels, leaves.select(*where, "node", "n"), where, "inner")
         .groupBy("category", "node", array.alias("_array"))
         .agg(F.collect_list(F.struct("lat", "lon", "x", "y", "z", "w")).alias("pts"))
     )

@@ -5,8 +5,6 @@ from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-SLOW = {"model_grid"}
-
 
 @pytest.fixture(scope="module")
 def con(folder):
@@ -18,7 +16,7 @@ def test_against_sql(spark, folder, con, name):
     assert difference(queries()[name](spark, folder), con, oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_runs(spark, folder, name):
     assert queries()[name](spark, folder).count() > 0
 
