@@ -124,7 +124,7 @@ class Shard:
             block = np.cumsum(np.concatenate([[0], nearest[1:] != nearest[:-1]]))
             places, _ = self.rows_of(docs)
             key = np.repeat(block, self.offsets[docs + 1] - self.offsets[docs]) * self.n_terms + self.terms[places]
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             key = key[by]
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             self._blocks[term] = docs, starts, key[heads], np.maximum.reduceat(self.shares[places][by], heads)
