@@ -25,6 +25,7 @@ PUBLIC_SCHOOL_PARTS = [
 AREA_EDGES = [50.0, 80.0, 120.0, 200.0, 400.0]
 AREA_LABELS = ["Até 50", "50–80", "80–120", "120–200", "200–400", "400+"]
 
+# Property types that take part in a model.
 VALID_TYPES = ["casa", "apartamento", "comercial"]
 
 

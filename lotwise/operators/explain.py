@@ -55,7 +55,8 @@ def explain_linear(model: LinearRegressionModel, df: DataFrame, names: list[str]
 
 
 def tree_nodes(model, spark) -> list[tuple[float, dict]]:
-    """(weight, nodes by id) per tree, read from the saved form of a tree model."""
+    """(weight, nodes by id) per tree, read from the saved form of a tree model; as many rows as the model has nodes, that
+    is 2^(depth + 1) for a tree at most, which the driver held when it fitted the model."""
     if isinstance(model, BoostedTrees):
         plain = model.plain()
         trees = [

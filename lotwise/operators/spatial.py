@@ -63,30 +63,40 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> tuple[DataFrame
     """Cells as rows (category, node, parent, depth, leaf, cnt, n, bounds), and the places of the leaves as rows
     (category, node, pts) of some `leaf_points` places.
 
-    Cells with a single child are skipped, so the number of levels follows the density.
+    Level by level, only places in full cells go on to the next; cells with a single child are skipped, so the number of
+    levels follows the density.
     """
     bounds = [f(a).alias(f"{a}{s}") for a in AXES for f, s in ((F.min, 0), (F.max, 1))]
-    # whole numbers name the cells as long as there is a row for every place and level
-    numbers = {f"_c{a}": _cell(a, F.col("level")).cast("int") for a in AXES}
-    levels = pts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST_LEVEL)))).withColumns(numbers)
-    cells = levels.groupBy("category", "level", *numbers).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("cnt"), *bounds, *[F.first(f"_i{a}").alias(f"_i{a}") for a in AXES]
-    )
-    cells = cells.withColumns({
-        "node": _cell_key(F.col("level")), "up": F.when(F.col("level") > 0, _cell_key(F.col("level") - 1)),
-    })
-    cells = cut_lineage(cells, "cells")
-    full = (F.col("n") > leaf_points) & (F.col("level") < FINEST_LEVEL)
-    inner = cells.where(full)
-    inner_keys = inner.select("category", F.col("node").alias("up"))
-    small = cells.where(~full)
-    leaves = small.where("level = 0").unionByName(small.join(inner_keys, ["category", "up"], "left_semi"))
-    children = inner.where("level > 0").unionByName(leaves.where("level > 0"))
+    names = [f"_c{a}" for a in AXES]  # whole numbers name the cells of one level
+    listed = F.collect_list(F.struct("lat", "lon", "x", "y", "z", "w")).alias("pts")
+    found, leaf_pts, full = [], [], None
+    for level in range(FINEST_LEVEL + 1):
+        # a place in a full cell was in full cells all the way down
+        named = pts if full is None else pts.withColumns(numbers).join(full, ["category", *names], "left_semi")
+        numbers = {n: _cell(a, F.lit(level)).cast("int") for n, a in zip(names, AXES)}
+        named = named.withColumns(numbers)
+        cells = named.groupBy("category", *names).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("w").alias("cnt"), *bounds, *[F.first(f"_i{a}").alias(f"_i{a}") for a in AXES]
+        )
+        cells = cut_lineage(cells.withColumns({
+            "level": F.lit(level), "node": _cell_key(F.lit(level)), "up": _cell_key(F.lit(level - 1)) if level else F.lit(None).cast("string"),
+            "leaf": (F.col("n") <= leaf_points) | F.lit(level == FINEST_LEVEL),
+        }), "cells")
+        found.append(cells)
+        # a leaf's places are dealt into as many arrays as its number asks for
+        array = F.pmod(F.xxhash64("lat", "lon"), F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_points)))
+        mine = lookup_join(named, cells.where("leaf").select("category", *names, "node", "n"), ["category", *names], "inner")
+        leaf_pts.append(mine.groupBy("category", "node", array.alias("_array")).agg(listed))
+        full = cells.where("NOT leaf").select("category", *names)
+        if full.isEmpty():
+            break
+    cells = reduce(DataFrame.unionByName, found)
+    leaves, inner, children = cells.where("leaf"), cells.where("NOT leaf"), cells.where("level > 0")
     branching = (
         children.groupBy("category", F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     )
     kept = inner.join(branching.select("category", "node"), ["category", "node"], "left_semi")
-    nodes = leaves.withColumn("leaf", F.lit(True)).unionByName(kept.withColumn("leaf", F.lit(False)))
+    nodes = leaves.unionByName(kept)
     above = (
         nodes.where("level > 0")
         .withColumn("_above", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
@@ -99,16 +109,8 @@ def cell_tree(pts: DataFrame, leaf_points: int = LEAF_POINTS) -> tuple[DataFrame
     )
     tree = nodes.join(ancestors, ["category", "node"], "left")
     tree = tree.withColumns({"parent": F.coalesce("parent", F.lit("")), "depth": F.coalesce("depth", F.lit(0))})
-    # A place lies in one leaf; the leaf's places are dealt into as many arrays as its number asks for.
-    array = F.pmod(F.xxhash64("lat", "lon"), F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_points)))
-    where = ["category", "level", *numbers]
-    leaf_pts = (
-        lookup_join(levels, leaves.select(*where, "node", "n"), where, "inner")
-        .groupBy("category", "node", array.alias("_array"))
-        .agg(F.collect_list(F.struct("lat", "lon", "x", "y", "z", "w")).alias("pts"))
-    )
     cell_columns = ["category", "node", "parent", "depth", "leaf", "cnt", "n", *[f"{a}{s}" for a in AXES for s in (0, 1)]]
-    return tree.select(*cell_columns), leaf_pts.select("category", "node", "pts")
+    return tree.select(*cell_columns), reduce(DataFrame.unionByName, leaf_pts).select("category", "node", "pts")
 
 
 class PlaceIndex:

@@ -18,6 +18,16 @@ CARD_CLASS = "card"
 STREET_MARK = "rp-cardProperty-street-txt"
 DEFAULT_PAGE_COUNT = 10
 
+# Patterns of listing titles and texts.
+TITLE_WAY = r"(?Uiu)em\s+(Rua|Avenida|Av\.|R\.)\s+([^,]+)"
+TITLE_PLACE = r"(?U)em\s+(.+?)(?:,\s*[A-Z]|$)"
+TITLE_ROOMS = r"(?Uiu)(\d+)\s+quarto"
+TITLE_BATHS = r"(?Uiu)(\d+)\s+banheiro"
+TITLE_AREA = r"(?U)(\d+)\s*m²"
+TEXT_PRICE = r"(?U)R\$\s*([\d.]+(?:,\d{2})?)"
+SPAN_COUNT = r"\d+"
+SPAN_AREA = r"\d+[.,]?\d*"
+
 _BREAK, _PAIR, _IS = "\u0001", "\u0002", "\u0003"
 # Named characters of HTML 5 that end in a semicolon; those in common use stand first, as a lookup goes through them in turn.
 _COMMON = ["amp", "nbsp", "lt", "gt", "quot", "apos", "sup2", *sorted(name2codepoint)]
@@ -200,17 +210,16 @@ def listings_from_cards(
         }
     )
     title, href, spans = F.col("_title"), F.col("_href"), F.col("_spans")
-    way = r"(?Uiu)em\s+(Rua|Avenida|Av\.|R\.)\s+([^,]+)"
-    street_title = strip(F.concat_ws(" ", first_match(title, way, 1), first_match(title, way, 2)))
+    street_title = strip(F.concat_ws(" ", first_match(title, TITLE_WAY, 1), first_match(title, TITLE_WAY, 2)))
     street = F.coalesce(
         _element_text(inner, rf"(?is)<p\b[^>]*data-cy\s*=\s*[\"']{STREET_MARK}[\"'][^>]*>(.*?)</p\s*>"),
         F.nullif(street_title, F.lit("")),
     )
     address = F.coalesce(
         _element_text(inner, r"(?is)<h2\b[^>]*>(.*?)</h2\s*>"),
-        strip(first_match(title, r"(?U)em\s+(.+?)(?:,\s*[A-Z]|$)")),
+        strip(first_match(title, TITLE_PLACE)),
     )
-    price = first_match(F.col("_text"), r"(?U)R\$\s*([\d.]+(?:,\d{2})?)")
+    price = first_match(F.col("_text"), TEXT_PRICE)
 
     def from_title(pattern: str) -> Column:
         return first_match(title, pattern).try_cast("double")
@@ -221,16 +230,16 @@ def listings_from_cards(
             "rua": street,
             "endereco": address,
             "quartos": _first_nonzero(
-                from_title(r"(?Uiu)(\d+)\s+quarto"), spans, lambda t: F.contains(F.lower(t), F.lit("quarto")), r"\d+"
+                from_title(TITLE_ROOMS), spans, lambda t: F.contains(F.lower(t), F.lit("quarto")), SPAN_COUNT
             ),
             "banheiros": _first_nonzero(
-                from_title(r"(?Uiu)(\d+)\s+banheiro"), spans, lambda t: F.contains(F.lower(t), F.lit("banheiro")), r"\d+"
+                from_title(TITLE_BATHS), spans, lambda t: F.contains(F.lower(t), F.lit("banheiro")), SPAN_COUNT
             ),
             "area_m2": _first_nonzero(
-                from_title(r"(?U)(\d+)\s*m²"),
+                from_title(TITLE_AREA),
                 spans,
                 lambda t: F.contains(t, F.lit("m²")) | F.contains(F.lower(t), F.lit("m2")),
-                r"\d+[.,]?\d*",
+                SPAN_AREA,
             ),
             "link": F.when(F.startswith(href, F.lit("http")), href)
             .when(F.startswith(href, F.lit("/")), F.concat(F.lit(host), href))
