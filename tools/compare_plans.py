@@ -49,7 +49,7 @@ def main() -> None:
         naive = pairs.groupBy("c_custkey").agg(F.min(metres), F.count_if(metres <= 500))
         print(f"{poi.count()} POIs, all pairs        {seconds(lambda: drop(naive)):7.2f} s", flush=True)
         for label, limit in (("cells, broadcast", 10**9), ("cells, shuffled", 0)):
-            spent = seconds(lambda: drop(poi_features(listings, poi, {"x": 500}, broadcast_places=limit)))
+            spent = seconds(lambda: drop(poi_features(listings, poi, {"x": 500}, broadcast_bytes=limit)))
             print(f"{poi.count()} POIs, {label:16s} {spent:7.2f} s", flush=True)
     li = table(spark, folder, "lineitem")
     shared = seconds(lambda: drop(describe(li, COLS)))
