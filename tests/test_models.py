@@ -111,6 +111,16 @@ def test_wide_encoder_has_the_slots_of_the_narrow_one(spark, tmp_path):
     assert feature_names(wide, [], ["v"]) == feature_names(narrow, [], ["v"])
 
 
+def test_wide_encoder_names_no_slots_on_the_driver(spark, tmp_path):
+    """The vector column's metadata holds the number of slots, whatever it is, and the assembler takes it."""
+    fit = spark.createDataFrame([(float(i), f"t{i:05d}") for i in range(3000)], "x double, v string")
+    out = (model := DropFirstEncoder(["v"], widest=10, folder=f"{tmp_path}/labels").fit(fit)).transform(fit)
+    assert out.schema["v_onehot"].metadata == {"ml_attr": {"num_attrs": 2999}}
+    assert model.stages[-1].categorySizes[0] - 1 == 2999
+    both = FeatureAssembler(numeric=["x"], text=["v"]).fit(out).transform(out).where("x in (0, 7)").orderBy("x").collect()
+    assert [r["features"] for r in both] == [Vectors.sparse(3000, {}), Vectors.sparse(3000, {0: 7.0, 7: 1.0})]
+
+
 def test_encoder_drops_first_and_ignores_unknown(spark):
     fit = spark.createDataFrame([("b",), ("a",), ("c",), ("b",)], "v string")
     model = DropFirstEncoder(["v"]).fit(fit)
