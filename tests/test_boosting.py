@@ -1,5 +1,6 @@
 """Penalised boosting against a plain numpy version, and its edges."""
 
+import pickle
 import tempfile
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
 
 from lotwise.operators import boosting, explain, models
+from lotwise.session import spread
 
 SETTING = {
     "n_estimators": 3, "learning_rate": 0.4, "max_depth": 3, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 2.0,
@@ -132,3 +134,34 @@ def test_edges(spark):
     assert {r["prediction"] for r in flat.transform(table(spark, np.ones((5, 2)), np.full(5, 2.0))).collect()} == {2.0}
     with pytest.raises(ValueError):
         boosting.grow(gaps, "y", [SETTING], max_bins=1000)
+
+
+def test_broadcasts_carry_no_class_of_the_package():
+    """Executors have no copy of it."""
+    growth = boosting.Growth(0, {**SETTING, "n_estimators": 2}, 2)
+    growth.take([{"node": 0, "G": -3.0, "N": 6.0, "feature": 1, "bin": 0, "gl": -2.0, "nl": 2.0}])
+    growth.take([])
+    assert len(growth.trees) == 1 and b"lotwise" not in pickle.dumps((growth.task(), growth.waiting()))
+
+
+def test_predictions_are_written_before_they_are_dear(spark, monkeypatch):
+    """Many rows do not walk through all the trees of a setting with every pass."""
+    x, y = data(120)
+    df = table(spark, x, y)
+    s = {**SETTING, "n_estimators": 4, "max_depth": 2}
+    want = boosting.grow(df, "y", [s, {**s, "max_depth": 1}])
+    written, plain = [], boosting._advanced
+    monkeypatch.setattr(boosting, "WRITE_WORK", 100)
+    monkeypatch.setattr(boosting, "_advanced", lambda *a: written.append(1) or plain(*a))
+    assert [m.plain() for m in boosting.grow(df, "y", [s, {**s, "max_depth": 1}])] == [m.plain() for m in want]
+    assert len(written) >= 2
+
+
+def test_many_rows_of_one_task_are_spread(spark):
+    rows = spark.range(0, 45_000, 1, 1).withColumn("x", F.rand(1))
+    out = spread(rows)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 12_000
+    assert out.agg(F.sum("x"), F.count("id")).first() == pytest.approx(rows.agg(F.sum("x"), F.count("id")).first())
+    few = spark.range(0, 9_000, 1, 1)
+    assert spread(few) is few and spread(out) is out and spread(few.limit(0)).count() == 0
