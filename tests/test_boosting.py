@@ -149,12 +149,13 @@ def test_predictions_are_written_before_they_are_dear(spark, monkeypatch):
     x, y = data(120)
     df = table(spark, x, y)
     s = {**SETTING, "n_estimators": 4, "max_depth": 2}
-    want = boosting.grow(df, "y", [s, {**s, "max_depth": 1}])
     written, plain = [], boosting._advanced
     monkeypatch.setattr(boosting, "WRITE_WORK", 100)
     monkeypatch.setattr(boosting, "_advanced", lambda *a: written.append(1) or plain(*a))
-    assert [m.plain() for m in boosting.grow(df, "y", [s, {**s, "max_depth": 1}])] == [m.plain() for m in want]
+    model = boosting.grow(df, "y", [s, {**s, "max_depth": 1}])[0]
     assert len(written) >= 2
+    got = np.array([r[0] for r in model.transform(df).orderBy("id").select("prediction").collect()])
+    assert np.allclose(got, slow_boost(x, y, s), atol=1e-9)
 
 
 def test_many_rows_of_one_task_are_spread(spark):
