@@ -32,6 +32,7 @@ CELL_BYTES, PLACE_BYTES = 200, 64
 # In the shuffled form, a cell at which more listings stand than this share of them all gets a copy for every such
 # share; at most 1 / HOT_SHARE cells can be that crowded.
 HOT_SHARE = 1 / 256
+POINTS_A_TASK = 10_000  # distinct coordinates of listings that one task walks with at most
 AXES = ("x", "y", "z")
 
 
@@ -117,10 +118,9 @@ class PlaceIndex:
     """The written cell and leaf tables with their estimated bytes."""
 
     def __init__(self, poi: DataFrame, leaf_points: int = LEAF_POINTS, broadcast_bytes: int = BROADCAST_BYTES):
-        pts = places(poi).persist()
-        cells, leaf_pts = cell_tree(pts, leaf_points)
+        # written, not kept: a task reads a share of the files that has a fixed size, however many places there are
+        cells, leaf_pts = cell_tree(cut_lineage(places(poi), "places"), leaf_points)
         self.cells, self.leaf_pts = cut_lineage(cells, "tree"), cut_lineage(leaf_pts, "leaves")
-        pts.unpersist()
         size = self.cells.agg(
             F.max("depth").alias("d"), F.count(F.lit(1)).alias("cells"), F.sum(F.when(F.col("leaf"), F.col("n"))).alias("places")
         ).first()
@@ -165,13 +165,14 @@ class PlaceIndex:
 
 
 def distinct_points(listings: DataFrame) -> DataFrame:
-    """Distinct coordinates, spread by coordinate over all shuffle partitions.
+    """Distinct coordinates, spread by coordinate over all shuffle partitions, or more where one had over POINTS_A_TASK.
 
-    The walk makes much work from few bytes, so the partition count is fixed rather than
-    left to merging by size.
+    The walk makes much work from few bytes, so the partition count follows the number of points rather than
+    being left to merging by size.
     """
-    n = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = listings.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+    points = cut_lineage(points, "points")
+    n = max(int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(points.count() / POINTS_A_TASK))
     return points.withColumns(dict(zip(AXES, unit_xyz(F.col("lat"), F.col("lon"))))).repartition(n, "lat", "lon")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.geo import haversine_m, standard_geometry, wkt_centroid
 from lotwise.functions.scores import RADII, count_name, distance_name, with_scores
+from lotwise.operators import spatial
 from lotwise.operators.spatial import PlaceIndex, poi_features
 
 R = 6_371_000.0
@@ -146,3 +147,15 @@ def test_scores_without_poi_are_null(spark):
 
 def test_same_point(spark):
     assert spark.range(1).select(haversine_m(F.lit(1.5), F.lit(2.5), F.lit(1.5), F.lit(2.5))).first()[0] == 0.0
+
+
+def test_tasks_hold_a_bounded_number_of_points_and_places(spark, monkeypatch):
+    """More listings are walked by more tasks, and places are read from files, not from a fixed number of kept parts."""
+    rows = spark.range(2000).select((F.col("id") / -100.0).alias("lat"), F.lit(-50.0).alias("lon"))
+    monkeypatch.setattr(spatial, "POINTS_A_TASK", 100)
+    points = spatial.distinct_points(rows)
+    assert points.select(F.spark_partition_id().alias("p")).distinct().count() == 20 and points.count() == 2000
+    seen, plain = [], spatial.cell_tree
+    monkeypatch.setattr(spatial, "cell_tree", lambda pts, n: seen.append(pts) or plain(pts, n))
+    spatial.PlaceIndex(rows.withColumn("category", F.lit("a")))
+    assert seen[0].inputFiles() and not seen[0].is_cached
