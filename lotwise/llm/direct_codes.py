@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -135,16 +136,23 @@ class BulkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(tokenizer_json)
         self.plain = Tokenizer.from_str(tokenizer_json)
         self.plain.encode_special_tokens = True
-        self.added = [] if ordinary else [t.content for t in self.library.get_added_tokens_decoder().values()]
-        vocabulary = self.library.get_vocab()
+        self.vocabulary_text = tokenizer_json
+        self.added = [] if ordinary else [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        vocabulary = self.plain.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with the space's byte
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known, self.known_ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
         self.places, self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    @cached_property
+    def library(self):
+        """The library as it is, for texts that spell an added token; few do, and it takes 40 MB."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.vocabulary_text)
+
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of each text's ids)."""
         found = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
@@ -216,6 +224,11 @@ class BulkEncoder:
         return out
 
 
+def release() -> None:
+    """Give back what Arrow keeps of freed memory; a worker that waits for its next task would hold some 100 MB of it."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_encoder(tokenizer_json: str):
     """`encode(text) -> bytes` of little-endian u32 ids of one text, ordinary also where it spells an added token."""
     encoder = BulkEncoder(tokenizer_json, ordinary=True)
@@ -262,6 +275,7 @@ def write_codes(
                     yield close()
         if doc_ids:
             yield close()
+        release()
 
     ordered = (
         id_and_text(docs, id_col, text_col)
@@ -294,6 +308,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                      pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts, ends)], pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
+        release()
 
     return table.select("part", "start", "codes").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -455,6 +455,16 @@ def test_codes_text_encoder():
         assert np.frombuffer(encode(text), "<u4").tolist() == want, repr(text[:200])
 
 
+def test_codes_second_tokenizer_only_for_added_tokens():
+    """It takes 40 MB of a worker, and only a text that spells an added token needs it."""
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = direct_codes.BulkEncoder(f.read())
+    encoder.encode(["plain words", "", " twice  spaced\n"])
+    assert "library" not in vars(encoder)
+    token = encoder.added[0]
+    assert encoder.encode([f"one {token} two"])[0].tolist() == encoder.library.encode(f"one {token} two", add_special_tokens=False).ids
+
+
 def test_codes_of_added_tokens(spark):
     """The library at its defaults, which knows an added token wherever a text spells it."""
     from tokenizers import Tokenizer
