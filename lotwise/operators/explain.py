@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.operators.boosting import BoostedTrees
-from lotwise.session import shared_folder
+from lotwise.session import shared_folder, spread
 
 
 def contribution_array(names: list[str], values: Column, phi: Column) -> Column:
@@ -150,7 +150,9 @@ def expected_value(nodes: dict) -> float:
 
 
 def explain_trees(model, df: DataFrame, names: list[str]) -> DataFrame:
-    """`base` and `contributions` for a fitted tree, forest or boosted model, in Arrow batches."""
+    """`base` and `contributions` for a fitted tree, forest or boosted model, in Arrow batches. A row costs far more time than
+    its bytes tell, so rows are spread first."""
+    df = spread(df)
     trees = tree_nodes(model, df.sparkSession)
     base = float(sum(w * expected_value(n) for w, n in trees))
     shared = df.sparkSession.sparkContext.broadcast([(w, leaf_conditions(n)) for w, n in trees])

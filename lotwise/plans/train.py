@@ -28,10 +28,19 @@ class TrainingResult:
 
 
 def fit_full(train: DataFrame, estimator, label: str, numeric: list[str], text: list[str], scaler="standard"):
-    """Preprocessing and model as one saved unit."""
-    prep = preprocessor(numeric, text, scaler).fit(train)
-    seen = prep.transform(spread(train)).select("features", label)
-    return PipelineModel([*prep.stages, estimator.fit(seen)])
+    """Preprocessing and model as one saved unit. Rows that have to be spread are kept for the passes of both."""
+    needed = train.select(*dict.fromkeys([*numeric, *text, label]))
+    rows = spread(needed)
+    dealt = rows is not needed
+    if dealt:
+        rows.persist()
+    try:
+        # quantile sketches of all tasks meet in one, so there are no more of them than cores
+        prep = preprocessor(numeric, text, scaler).fit(rows.coalesce(train.sparkSession.sparkContext.defaultParallelism))
+        return PipelineModel([*prep.stages, estimator.fit(prep.transform(rows).select("features", label))])
+    finally:
+        if dealt:
+            rows.unpersist()
 
 
 def train(

@@ -257,3 +257,41 @@ def test_ridge_is_as_exact_with_many_features(spark, width):
     want = c.T @ np.linalg.solve(c @ c.T + 20.0 * np.eye(250), y - y.mean())
     assert np.abs(model.coefficients.toArray() - want).max() < 2e-6
     assert abs(model.intercept - (y.mean() - x.mean(axis=0) @ want)) < 2e-6
+
+
+def test_rows_are_spread_before_explaining(spark):
+    """Rows that lie in one task are dealt over several; a column of maps passes through."""
+    rows = spark.range(0, 30_000, 1, 1).select(
+        "id", F.create_map(F.lit("k"), F.col("id")).alias("m"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+    ).withColumn("y", F.col("a") * 2 + F.col("b"))
+    data = FeatureAssembler(numeric=["a", "b"], text=[]).fit(rows).transform(rows)
+    model = models.decision_tree(data, "y", 3).fit(data)
+    out = explain.explain_trees(model, model.transform(data), ["a", "b"])
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("contributions").alias("n"), F.count("m").alias("maps")).collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 15_000 and sum(sizes) == 30_000
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["phi"])
+    assert out.where(F.abs(total - F.col("prediction")) > 1e-9).count() == 0
+
+
+def test_preprocessing_is_fitted_on_spread_rows(spark):
+    """The rows are computed once for all passes of preprocessing and model, from one task into several."""
+    read = spark.sparkContext.accumulator(0)
+
+    def value(k):
+        read.add(1)
+        return float(k % 13)
+
+    n = 25_000
+    rows = spark.range(0, n, 1, 1).select(F.udf(value, "double")("id").alias("a"), (F.col("id") % 3).cast("string").alias("t"), F.col("id").cast("double").alias("y"))
+    model = fit_full(rows, models.linear(rows, "y"), "y", ["a"], ["t"])
+    assert read.value == n
+    assert model.transform(rows).where("prediction is null").count() == 0
+
+
+def test_comparison_rows_are_spread(spark):
+    """Models are fitted over several tasks, though the rows come from one."""
+    rows = spark.range(0, 60_000, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    board = models.ModelComparison(rows, "y", ["a"], ["id"]).prepare()
+    sizes = [r["n"] for r in board.train.groupBy(F.spark_partition_id()).agg(F.count("y").alias("n")).collect()]
+    board.close()
+    assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
