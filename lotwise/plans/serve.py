@@ -12,6 +12,7 @@ from lotwise.operators.geocode import lookup_status, one_per_key
 from lotwise.operators.joins import lookup_join
 from lotwise.operators.spatial import poi_features
 from lotwise.plans.score import score
+from lotwise.session import cut_lineage, spread
 from lotwise.sources.predictions import append_predictions, prediction_rows
 
 COUNTRY = "Brasil"
@@ -35,10 +36,14 @@ def price_new_listings(
     version: str,
     table: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(priced rows, rows without coordinates and their status); priced rows are appended to `table`."""
-    checked = with_status(new, cache)
+    """(priced rows, rows without coordinates and their status); priced rows are appended to `table`.
+
+    Listings are spread, and written once with their status and once with their place: each table is read more than once.
+    """
+    checked = cut_lineage(with_status(spread(new), cache), "checked")
     places = one_per_key(cache, "endereco_geo")
     good = lookup_join(checked.where("status = 'sucesso'"), places, ["endereco_geo"], written=False)
+    good = cut_lineage(good, "placed")
     featured = with_scores(poi_features(good, poi, RADII)).drop("score_educacao")
     priced = score(model, featured, missing="zero", model_name=model_name, version=version)
     if table is not None:

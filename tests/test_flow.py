@@ -89,3 +89,27 @@ def test_comparison_saves_its_best(spark):
     assert path.endswith("/run1")
     again = PipelineModel.load(path).transform(rows)
     assert again.where(F.abs(F.col("prediction") - F.col("y")) > 1e-6).count() == 0
+
+
+def test_listings_are_read_once(spark, lookups):
+    """Status, places and prices come from written tables; rows of one task are spread first."""
+    cache, _, poi = lookups
+    homes = spark.range(60).select(
+        *[(F.col("id") % (k + 2)).cast("double").alias(c) for k, c in enumerate(NUM_FEATURES)], F.col("id").cast("double").alias("log_preco")
+    )
+    model = fit_full(homes, models.linear(homes, "log_preco"), "log_preco", NUM_FEATURES, [])
+    read = spark.sparkContext.accumulator(0)
+
+    def street(k):
+        read.add(1)
+        return f"Rua {k % 12}"
+
+    n = 25_000
+    new = spark.range(0, n, 1, 1).select(
+        F.udf(street)("id").alias("rua"), F.lit("Bairro 1").alias("bairro"), F.lit("Cidade").alias("cidade"), F.lit("PR").alias("estado"),
+        F.lit(80.0).alias("area_m2"), *[F.lit(1).alias(c) for c in ("quartos", "banheiros", "vagas_garagem")],
+    )
+    priced, aside = price_new_listings(new, cache, poi, model, "m", "1.0.0")
+    assert priced.count() == spark.range(n).where("id % 12 % 4 > 0").count()
+    assert aside.count() == n - priced.count()
+    assert read.value == n
