@@ -119,6 +119,14 @@ MAX_RUNS, LONGEST = 500_000, 64  # runs remembered, and the bytes of one at most
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _UNEVEN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "](?: |\\z)"
 _CUT = re.compile(r"(?<=\S)(?= )")
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())  # ASCII punctuation
+_SOLID = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]\\z"  # letters and digits in every version of Unicode
+
+
+def _picked(flat: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The entries of stretches that begin at `places`, one stretch after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(places - ends + sizes, sizes)]
 
 
 class BulkEncoder:
@@ -126,8 +134,8 @@ class BulkEncoder:
 
     The tokenizer's pattern never looks behind, and no word of it holds a space but as its first character; so a text falls
     apart before every space that follows a non-space, without changing its ids. The pieces of a chunk of texts are
-    numbered in bulk, each different one is encoded once, and the texts' ids are gathered by number. Runs of one word are
-    remembered within bounds, compactly. A text that spells an added token goes to the library whole, unless `ordinary` texts are wanted.
+    numbered in bulk, each different one is encoded once but for its ending punctuation, and the texts' ids are gathered by
+    number. Runs of one word are remembered within bounds, compactly. A text that spells an added token goes to the library whole, unless `ordinary` texts are wanted.
     """
 
     def __init__(self, tokenizer_json: str, ordinary: bool = False):
@@ -160,8 +168,33 @@ class BulkEncoder:
 
     def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each run's begin, how many they are) of different runs with one space before them, none within
-        and no blank at their end. Runs not met before go to the library many at a time; one id of each begins with the
-        space, its first."""
+        and no blank at their end. Punctuation that ends a run after a letter or digit is a word of its own, so a run is
+        its stem and one of few endings."""
+        stems = pc.utf8_rtrim(runs, characters=MARKS)
+        over = pc.subtract(pc.binary_length(runs), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
+        cut = (over > 0) & pc.match_substring_regex(stems, _SOLID).to_numpy(zero_copy_only=False)
+        stems = pc.if_else(pa.array(cut), stems, runs).dictionary_encode()
+        flat, places, sizes = self._stems(stems.dictionary)
+        which = stems.indices.to_numpy(zero_copy_only=False)
+        places, sizes = places[which], sizes[which]
+        if not cut.any():
+            return flat, places, sizes
+        number: dict[str, int] = {}
+        ending = [number.setdefault(w[-n:], len(number)) for w, n in zip(runs.filter(pa.array(cut)).to_pylist(), over[cut].tolist())]
+        marks, few = self._ids(list(number))
+        begin, few = (np.cumsum(few) - few)[ending], few[ending]
+        whole = sizes[cut] + few
+        first = np.cumsum(whole) - whole
+        joined = np.empty(whole.sum(), np.uint32)
+        every = np.arange(len(joined))
+        joined[_picked(every, first, sizes[cut])] = _picked(flat, places[cut], sizes[cut])
+        joined[_picked(every, first + sizes[cut], few)] = _picked(marks, begin, few)
+        places[cut], sizes[cut] = len(flat) + first, whole
+        return np.concatenate([flat, joined]), places, sizes
+
+    def _stems(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for runs as they are. Those not met before go to the library many at a time; one id of each begins
+        with the space, its first."""
         found = pc.index_in(runs, value_set=self.known)
         hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
         at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)
@@ -186,9 +219,8 @@ class BulkEncoder:
             stay[: np.searchsorted(np.cumsum(stay), stay.sum() - MAX_RUNS // 2)] = False
             known, places, sizes = known.filter(pa.array(stay)), places[stay], sizes[stay]
             met = np.zeros(len(places), bool)
-        ends = np.cumsum(sizes)
-        self.known_ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(places - ends + sizes, sizes)]
-        self.known, self.places, self.sizes, self.met = known, ends - sizes, sizes, met
+        self.known_ids = _picked(flat, places, sizes)
+        self.known, self.places, self.sizes, self.met = known, np.cumsum(sizes) - sizes, sizes, met
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""

@@ -455,6 +455,27 @@ def test_codes_text_encoder():
         assert np.frombuffer(encode(text), "<u4").tolist() == want, repr(text[:200])
 
 
+def test_codes_encode_a_stem_once():
+    """Punctuation that ends a run does not make another word of it for the library; the ids are the library's."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = direct_codes.BulkEncoder(f.read(), ordinary=True)
+    sent, ids = [], encoder._ids
+    encoder._ids = lambda texts: sent.extend(texts) or ids(texts)
+    marks = ["", ".", ",", "!!", "***", "')", "'"]
+    first = encoder.encode(["x " + " ".join(f"Wanderweg{m}" for m in marks)])[0]
+    assert first.tolist() == library.encode("x " + " ".join(f"Wanderweg{m}" for m in marks), add_special_tokens=False).ids
+    assert sum(t.count("Wanderweg") for t in sent) == 1
+    rng = random.Random(16)
+    parts = ["Haus", "é", "ñ", "7", "it's", "'ll", "\n", "\u2013", "e\u0301", "\u0663", "日本", "_", "²", "\U0001f600", "\u00d7", "Ж", *marks]
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(12)) for _ in range(20)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_codes_second_tokenizer_only_for_added_tokens():
     """It takes 40 MB of a worker, and only a text that spells an added token needs it."""
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
