@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_boosting import SETTING, data, slow_boost, table
 
 from lotwise.operators import boosting, models
+from lotwise.plans import train as train_plan
 from lotwise.queries import QUERIES
 
 
@@ -33,6 +34,20 @@ def test_param_search_runs_all_trials_over_the_full_ranges(spark, parts):
     assert all(0 < r["rmse"] < 5 for r in board) and len({r["rmse"] for r in board}) > 40
 
 
+def test_train_and_register_searches_the_full_ranges(spark, parts, monkeypatch):
+    boards, search = [], train_plan.search
+
+    def kept(*args):
+        best, board = search(*args)
+        boards.append(board.orderBy("trial").collect())
+        return best, board
+
+    monkeypatch.setattr(train_plan, "search", kept)
+    out = {r["metric"]: r["value"] for r in QUERIES["train_and_register"](spark, parts).collect()}
+    assert len(boards) == 1 and whole([r["params"] for r in boards[0]])
+    assert out["scored_rows"] == 60 and {"rmse", "r2", "baseline_rmse"} <= set(out)
+
+
 SETTINGS = [
     {**SETTING, "n_estimators": 12, "max_depth": 6, "subsample": 0.6, "colsample_bytree": 0.6, "reg_alpha": 0.0},
     SETTING,
